@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ashlar.llm.line_dedup import line_dedup
 from ashlar.llm.mixing import mix
+from ashlar.llm.near_dedup import near_dedup
 from ashlar.llm.quality_rules import quality_rules
 from ashlar.llm.text import table
 
@@ -22,10 +23,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), k=2)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2("text", 256).alias("text_sha256"), "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op9_near_dedup, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
