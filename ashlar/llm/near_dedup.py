@@ -8,7 +8,7 @@ Documents with one set are a class and stand in by their smallest id. In a
 band's bucket every member is first compared with the bucket's smallest id, so
 a bucket of any size gives no more pairs than members. Once components are
 known, what is left to compare are pairs of one bucket in different components:
-small buckets pair them by a join, large ones in blocks of signatures, so no
+small buckets pair them by a join, large ones in blocks of full sets, so no
 link between different texts that share a band is lost. With 40 bands of 5
 minima a pair of similarity 0.8 shares no band with a chance of 1.3e-7.
 
@@ -33,7 +33,7 @@ from ashlar.lineage import cut, drop_cut
 
 BANDS, ROWS = 40, 5
 #: Buckets of up to that many classes are compared by a join, larger ones in blocks.
-SMALL, BLOCK = 24, 1024
+SMALL, BLOCK = 12, 1024
 MASK = 2**64 - 1
 
 
@@ -96,20 +96,26 @@ def likely(sig_a: pd.Series, sig_b: pd.Series, least: float) -> pd.Series:
     return pd.Series((a == b).mean(axis=1) >= least)
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, k: int, percent: int, least: float) -> DataFrame:
-    """The pairs (a, b) of class ids whose full sets are similar enough."""
-    screen = F.pandas_udf(lambda x, y: likely(x, y, least), "boolean")
+def full_sets(docs: DataFrame, id_col: str, k: int, ids: DataFrame) -> DataFrame:
+    """id, s: the shingle sets of the documents in ids."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "s": [shingle_hashes(t, k).view(np.int64) for t in pdf["text"]]})
 
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return texts.mapInPandas(sets, "id long, s array<long>")
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, k: int, percent: int, least: float) -> DataFrame:
+    """The pairs (a, b) of class ids whose full sets are similar enough."""
+    screen = F.pandas_udf(lambda x, y: likely(x, y, least), "boolean")
+
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"s_{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
     near = cut(near.where(screen("s_a", "s_b")).select("a", "b", "n_a", "n_b"), "near-pairs")
     needed = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), "text").join(needed, "id", "left_semi").dropDuplicates(["id"])
-    full = cut(texts.mapInPandas(sets, "id long, s array<long>"), "near-sets")
+    full = cut(full_sets(docs, id_col, k, needed), "near-sets")
     both = near.join(full.select(F.col("id").alias("b"), F.col("s").alias("t_b")), "b").join(full.select(F.col("id").alias("a"), F.col("s").alias("t_a")), "a")
     common = F.size(F.array_intersect("t_a", "t_b"))
     links = cut(both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "near-links")
@@ -150,29 +156,52 @@ def components(links: DataFrame, most: int = 64) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
 
-def _blocks(members: DataFrame, least: float, percent: int) -> DataFrame:
-    """Pairs of large buckets in different components whose signatures agree, block against block."""
+def _family_links(members: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, k: int, percent: int, least: float) -> DataFrame:
+    """Links (a, b) that join different components within families of large buckets, found block against block.
+
+    members: a (the bucket's smallest id), id, component. Buckets that share
+    members are a family, so that a pair is compared once. A block's task holds
+    two blocks of full sets and gives links that join what is still apart, never
+    all pairs.
+    """
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        a, b = (np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(len(x), -1) for x in (left, right))
-        ids_a, ids_b, comp_a, comp_b, n_a, n_b = (x[c].to_numpy() for c in ("id", "component", "n") for x in (left, right))
-        out_a, out_b = [], []
-        for i in range(len(left)):
-            open_ = np.flatnonzero((comp_b != comp_a[i]) & (100 * n_b >= percent * n_a[i]) & (100 * n_a[i] >= percent * n_b))
-            hit = open_[(b[open_] == a[i]).mean(axis=1) >= least] if len(open_) else open_
-            out_a += [ids_a[i]] * len(hit)
-            out_b += ids_b[hit].tolist()
-        return pd.DataFrame({"a": np.minimum(out_a, out_b), "b": np.maximum(out_a, out_b)}, dtype="int64")
-
-    dealt = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        links: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            (a, b) = (np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(len(x), -1) for x in (left, right))
+            ids_a, ids_b, comp_a, comp_b, n_a, n_b, set_a, set_b = (x[c].to_numpy() for c in ("id", "component", "n", "s") for x in (left, right))
+            above: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while x in above:
+                    x = above[x]
+                return x
+
+            for i in range(len(left)):
+                open_ = np.flatnonzero((comp_b != comp_a[i]) & (100 * n_b >= percent * n_a[i]) & (100 * n_a[i] >= percent * n_b))
+                for j in open_[(b[open_] == a[i]).mean(axis=1) >= least] if len(open_) else ():
+                    x, y = top(comp_a[i]), top(comp_b[j])
+                    if x == y:
+                        continue
+                    common = len(np.intersect1d(set_a[i], set_b[j], assume_unique=True))
+                    if 100 * common >= percent * (n_a[i] + n_b[j] - common):
+                        links.append((min(ids_a[i], ids_b[j]), max(ids_a[i], ids_b[j])))
+                        above[max(x, y)] = min(x, y)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    family = components(members.where("a <> id").select("a", F.col("id").alias("b")).distinct()).withColumnRenamed("component", "family")
+    placed = cut(members.select("id", "component").distinct().join(family, "id"), "families")
+    sizes = placed.groupBy("family").agg(F.count("*").alias("size"))
+    full = cut(full_sets(docs, id_col, k, placed.select("id")), "family-sets")
+    dealt = placed.join(sizes, "family").join(classes.select("id", "n", "sig"), "id").join(full, "id")
+    dealt = dealt.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("at"), j).alias("x"), F.greatest(F.col("at"), j).alias("y")))
-    sent = dealt.select("h", "id", "component", "n", "sig", "at", F.explode(pairs).alias("p")).select("h", "id", "component", "n", "sig", "at", "p.x", "p.y")
+    sent = dealt.withColumn("p", F.explode(pairs)).select("family", "id", "component", "n", "sig", "s", "at", "p.x", "p.y")
     sides = F.when(F.col("x") == F.col("y"), F.array(F.lit(0), F.lit(1))).when(F.col("at") == F.col("x"), F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
-    sent = sent.withColumn("side", F.explode(sides))
-    return sent.groupBy("h", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    links = cut(sent.withColumn("side", F.explode(sides)).drop("at").groupBy("family", "x", "y").applyInPandas(compare, "a long, b long"), "family-links")
+    drop_cut(full)
+    return links
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> DataFrame:
@@ -190,13 +219,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", k: int = 5, percent: int
     # pairs of one bucket that the stars left in different components
     placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = placed.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
-    open_ = cut(placed.where("size > 2").join(apart, "h", "left_semi").select("h", "id", "component", "size"), "open-buckets")
+    open_ = cut(placed.where("size > 2").join(apart, "h", "left_semi").select("h", "a", "id", "component", "size"), "open-buckets")
     few = open_.where(F.col("size") <= SMALL)
     other = few.select("h", F.col("id").alias("b"), F.col("component").alias("component_b"))
     pairs = few.select("h", F.col("id").alias("a"), "component").join(other, "h").where("a < b and component <> component_b").select("a", "b").distinct()
-    many = open_.where(F.col("size") > SMALL).join(classes.select("id", "n", "sig"), "id")
-    pairs = cut(pairs.union(_blocks(many, least, percent)).distinct().join(stars, ["a", "b"], "left_anti"), "open-pairs")
+    pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"), "open-pairs")
     more = confirm(pairs, classes, docs, id_col, k, percent, least)
+    large = open_.where(F.col("size") > SMALL)
+    if not large.isEmpty():
+        more = more.union(_family_links(large.select("a", "id", "component"), classes, docs, id_col, k, percent, least))
     if not more.isEmpty():
         found = cut(components(links.union(more)), "components")
 

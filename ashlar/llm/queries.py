@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ashlar.llm.ann import nearest
 from ashlar.llm.bpe import encode_decode
 from ashlar.llm.lattice_lm import lattice_lm
 from ashlar.llm.line_dedup import line_dedup
+from ashlar.llm.main_text import extract
 from ashlar.llm.mixing import mix
 from ashlar.llm.near_dedup import near_dedup
+from ashlar.llm.quality_classifier import quality_scores
 from ashlar.llm.quality_rules import quality_rules
+from ashlar.llm.secret_scan import secret_scan, span_digest
 from ashlar.llm.text import table
 
 
@@ -26,6 +30,27 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    out = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan(table(spark, sf_dir, "documents"))
+    counts = {f"n_{k}": F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long") for k in ("assign", "access", "hex")}
+    digest = F.sha2(span_digest(["assign", "access", "hex"]), 256)
+    return out.select("doc_id", *(c.alias(n) for n, c in counts.items()), digest.alias("base_sha256"), span_digest().alias("spans"))
+
+
 def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
     out = lattice_lm(table(spark, sf_dir, "documents"), ~held_out, public_tokenizers.path("piece_bpe_32k.model"))
@@ -45,5 +70,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2("text", 256).alias("text_sha256"), "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op7_lattice_lm, op8_bpe, op9_near_dedup, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_main_text, op4_ann, op5_quality_classifier, op6_secret_scan, op7_lattice_lm, op8_bpe, op9_near_dedup, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
