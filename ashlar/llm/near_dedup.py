@@ -103,7 +103,8 @@ def full_sets(docs: DataFrame, id_col: str, k: int, ids: DataFrame) -> DataFrame
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "s": [shingle_hashes(t, k).view(np.int64) for t in pdf["text"]]})
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    # merged at every size, so that small inputs tell what large ones need
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
     return texts.mapInPandas(sets, "id long, s array<long>")
 
 
@@ -166,7 +167,7 @@ def _family_links(members: DataFrame, classes: DataFrame, docs: DataFrame, id_co
     """
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        left, right = pdf[pdf["side"] != 1], pdf[pdf["side"] != 0]
         links: list[tuple[int, int]] = []
         if len(left) and len(right):
             (a, b) = (np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(len(x), -1) for x in (left, right))
@@ -198,8 +199,8 @@ def _family_links(members: DataFrame, classes: DataFrame, docs: DataFrame, id_co
     dealt = dealt.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("at"), j).alias("x"), F.greatest(F.col("at"), j).alias("y")))
     sent = dealt.withColumn("p", F.explode(pairs)).select("family", "id", "component", "n", "sig", "s", "at", "p.x", "p.y")
-    sides = F.when(F.col("x") == F.col("y"), F.array(F.lit(0), F.lit(1))).when(F.col("at") == F.col("x"), F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
-    links = cut(sent.withColumn("side", F.explode(sides)).drop("at").groupBy("family", "x", "y").applyInPandas(compare, "a long, b long"), "family-links")
+    side = F.when(F.col("x") == F.col("y"), 2).when(F.col("at") == F.col("x"), 0).otherwise(1)  # 2: a block with itself
+    links = cut(sent.withColumn("side", side).drop("at").groupBy("family", "x", "y").applyInPandas(compare, "a long, b long"), "family-links")
     drop_cut(full)
     return links
 
