@@ -5,7 +5,7 @@ token-position rows, which a recursive query joins with the merge table: every
 round contracts each word's leftmost pair of least rank, until no pair is left.
 Decoding joins the ids with the vocabulary and aggregates the bytes in order.
 Texts stay in their tasks: nothing is shuffled. Words go to DuckDB in bounded
-chunks, and what a partition has encoded is kept in a bounded table of words.
+chunks, and what a worker has encoded is kept in a bounded table of words.
 
 Defined cases: null and empty texts have no ids and decode to no bytes; special
 tokens' strings are ordinary text; very long words are contracted in several
@@ -19,12 +19,13 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of texts in a chunk, words kept for later chunks, rounds of one recursive query, bytes of words in one query.
-CHUNK, KEPT, ROUNDS, QUERY_BYTES = 2_000_000, 400_000, 24, 400_000
+CHUNK, KEPT, ROUNDS, QUERY_BYTES = 2_000_000, 1_200_000, 24, 400_000
 
 #: State: (w, p, t): word, place of the token's first byte, token. A pair's key is rank, place and length of its left token in one number, so a word's least key is its leftmost pair of least rank, and says which row goes: the one that starts where the left token ends.
 CONTRACT = f"""
@@ -135,17 +136,25 @@ class Coder:
         """The bytes of each text's ids."""
         pa = self.pa
         out = [b""] * len(ids)
-        self.db.register("coded", pa.table({"d": pa.array(range(len(ids)), pa.int32()), "ids": pa.array(ids, pa.string())}))
-        rows = self.db.execute("""
-            SELECT d, string_agg(b, '' ORDER BY pos) FROM (
-                SELECT d, unnest(l)::INTEGER AS id, generate_subscripts(l, 1) AS pos FROM (SELECT d, string_split(ids, ',') AS l FROM coded WHERE ids <> '')
-            ) JOIN vocab USING (id) GROUP BY d
-        """)
+        counts = np.array([x.count(",") + 1 if x else 0 for x in ids], np.int32)
+        flat = np.fromstring(",".join(x for x in ids if x), np.int32, sep=",") if counts.any() else np.empty(0, np.int32)
+        self.db.register("coded", pa.table({"d": np.repeat(np.arange(len(ids), dtype=np.int32), counts), "pos": np.arange(len(flat), dtype=np.int32), "id": flat}))
+        rows = self.db.execute("SELECT d, array_to_string(list(b ORDER BY pos), '') FROM coded JOIN vocab USING (id) GROUP BY d")
         for d, b in rows.fetchall():
             out[d] = bytes.fromhex(b)
         return out
 
 
+#: A worker process keeps its coder, with the words that it has encoded, for the partitions that come after.
+_CODERS: dict[tuple[str, str], Coder] = {}
+
+
+def coder_of(path: str, pattern: str) -> Coder:
+    if (path, pattern) not in _CODERS:
+        _CODERS[path, pattern] = Coder(path, pattern)
+    return _CODERS[path, pattern]
+
+
 def chunks(texts: list[str]) -> Iterator[slice]:
     """Slices of bounded size; a longer text has one of its own."""
     begin = size = 0
@@ -162,9 +171,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     """One row for each row of docs: id_col, n_tokens, ids_sha256, decoded_sha256, and with ids also ids (array) and decoded (binary)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = None
+        coder = coder_of(path, pattern)
         for pdf in batches:
-            coder = coder or Coder(path, pattern)
             texts = ["" if x is None else x for x in pdf["text"]]
             for part in chunks(texts):
                 coded = coder.encode(texts[part])
