@@ -37,8 +37,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 START = "▁"
 
 
-def piece_weights(path: str, byte_share: float = 0.02) -> tuple[dict[str, float], list[float], float]:
-    """(natural log weights of pieces, of the 256 bytes, of the end) from a SentencePiece model.
+def piece_weights(path: str, byte_share: float = 0.02) -> tuple[dict[str, float], float, float]:
+    """(natural log weights of pieces, of each of the 256 bytes, of the end) from a SentencePiece model.
 
     Models of ranks (scores 0, -1, -2 ...) are read by Zipf's law, others as
     log-probabilities. Byte pieces share byte_share; the end weighs as the
@@ -54,31 +54,50 @@ def piece_weights(path: str, byte_share: float = 0.02) -> tuple[dict[str, float]
     top = max(scores.values())
     total = math.log(sum(math.exp(s - top) for s in scores.values()) + 1.0) + top  # the end included
     keep = math.log1p(-byte_share)
-    return {p: s - total + keep for p, s in scores.items()}, [math.log(byte_share / 256)] * 256, top - total + keep
+    return {p: s - total + keep for p, s in scores.items()}, math.log(byte_share / 256), top - total + keep
 
 
-def forward(word: str, pieces: dict[str, float], byte: list[float], longest: int) -> float:
-    """Natural log of the sum over all segmentations of the word's pieces."""
+def arcs(pieces: dict[str, float]) -> dict[str, float | None]:
+    """pieces and, with None, what only begins pieces."""
+    out: dict[str, float | None] = {p[:i]: None for p in pieces for i in range(1, len(p))}
+    return out | pieces
+
+
+def forward(word: str, table: dict[str, float | None], byte: float) -> float:
+    """Natural log of the sum over all segmentations of the word into pieces of table (see arcs) and bytes."""
     text = START + word
-    alpha = [0.0]
-    for end in range(1, len(text) + 1):
-        terms = [alpha[begin] + w for begin in range(max(0, end - longest), end) if (w := pieces.get(text[begin:end])) is not None]
-        terms.append(alpha[end - 1] + sum(byte[c] for c in text[end - 1].encode()))
-        top = max(terms)
-        alpha.append(top + math.log(sum([math.exp(x - top) for x in terms])) if len(terms) > 1 else top)
-    return alpha[-1]
+    n = len(text)
+    into: list[list[float]] = [[] for _ in range(n + 1)]  # log weights of the paths' last steps
+    alpha = 0.0
+    for begin in range(n):
+        c = text[begin]
+        into[begin + 1].append(alpha + (byte if c < "\x80" else byte * len(c.encode())))
+        for end in range(begin + 1, n + 1):
+            part = text[begin:end]
+            if part not in table:
+                break
+            w = table[part]
+            if w is not None:
+                into[end].append(alpha + w)
+        terms = into[begin + 1]
+        if len(terms) == 1:
+            alpha = terms[0]
+        else:
+            top = max(terms)
+            alpha = top + math.log(sum([math.exp(x - top) for x in terms]))
+    return alpha
 
 
 def lattice_scores(vocabulary: DataFrame, path: str) -> DataFrame:
     """vocabulary with lattice, the natural log of each word's marginal by pieces alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = None
+        table: dict[str, float | None] = {}
         for pdf in batches:
-            if pieces is None:
+            if not table:
                 pieces, byte, _ = piece_weights(path)
-                longest = max(map(len, pieces))
-            yield pdf.assign(lattice=[forward(w, pieces, byte, longest) for w in pdf["word"]])
+                table = arcs(pieces)
+            yield pdf.assign(lattice=[forward(w, table, byte) for w in pdf["word"]])
 
     return vocabulary.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in vocabulary.dtypes) + ", lattice double")
 
