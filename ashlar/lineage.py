@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether Spark deletes the shuffle files of a query when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where it is unset and Spark is one local process, a temporary folder, set for later calls."""
@@ -23,9 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back. Lost executors cost no recomputation beyond this point."""
-    path = f"{shared_dir(df.sparkSession)}/ashlar-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/ashlar-{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")  # nothing reads this write's shuffles once it is done
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_cut(df: DataFrame) -> None:
