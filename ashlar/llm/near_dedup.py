@@ -121,6 +121,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     common = F.size(F.array_intersect("t_a", "t_b"))
     links = cut(both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "near-links")
     drop_cut(full)
+    drop_cut(near)
     return links
 
 
@@ -208,8 +209,10 @@ def _family_links(members: DataFrame, classes: DataFrame, docs: DataFrame, id_co
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> DataFrame:
     """One row for each row of docs: id_col, n_shingles, component_id, kept (whether it is its component's smallest id)."""
     least = percent / 100 - 4.5 * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
-    signed = cut(signatures(docs, id_col, k, bands, rows, seed), "signatures")
-    classes = cut(signed.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
+    full = cut(signatures(docs, id_col, k, bands, rows, seed), "signatures")
+    signed = cut(full.select("id", "n", "key"), "sets")
+    classes = cut(full.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
+    drop_cut(full)
     by_band = classes.select("id", F.explode("bands").alias("h"))
     buckets = cut(by_band.groupBy("h").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1"), "buckets")
     members = cut(by_band.join(buckets, "h"), "bucket-members")
