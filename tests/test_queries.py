@@ -7,7 +7,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from ashlar.plans import changing, incremental, relational, streams, vault  # noqa: F401
+from ashlar.plans import changing, geo, incremental, relational, streams, vault  # noqa: F401
 from ashlar.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

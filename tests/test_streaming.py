@@ -59,3 +59,14 @@ def test_malformed_json_is_dropped(spark):
     df = spark.createDataFrame([(1, '{"k": 3}'), (2, "no json"), (3, None)], "id long, raw string")
     rows = ev.enrich_events(df, "raw", "k long", F.when(F.col("k") > 2, "high").otherwise("low")).collect()
     assert [(r.id, r.k, r.tier) for r in rows] == [(1, 3, "high")]
+
+
+def test_redelivered_batch_changes_nothing(spark, tmp_path):
+    out = f"file://{tmp_path}/out"
+    for i, name in enumerate("ab"):
+        land(spark, tmp_path / "in", name, [(i, 1, at(spark, i), 5)])
+        ev.running_events(read(spark, tmp_path / "in"), "k", "id", F.col("v"), out)
+    for f in ("1", ".1.crc"):  # as if the job had ended after its writes, before the batch was marked as done
+        (tmp_path / "out/checkpoint/commits" / f).unlink(missing_ok=True)
+    rows = ev.running_events(read(spark, tmp_path / "in"), "k", "id", F.col("v"), out).collect()
+    assert {r.id: r.running for r in rows} == {0: 5, 1: 10} and len(rows) == 2
