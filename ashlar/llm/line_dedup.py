@@ -47,24 +47,27 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", depth: int = 3, min
     """id and the sorted places (from 0) of the lines to drop."""
     lines = cut(line_templates(docs, id_col, depth, min_tokens), "lines")
 
-    def recurring(rows: DataFrame, key: str) -> DataFrame:
-        """Keys found in min_docs documents or more, and the first of these."""
-        ends = rows.groupBy(key).agg(F.min("id").alias("first"), F.max("id").alias("final")).where("first < final")
-        if min_docs > 2:
-            counts = rows.select(key, "id").distinct().groupBy(key).agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-            ends = ends.join(counts, key, "left_semi")
-        return ends.select(key, "first")
+    def recurring(rows: DataFrame) -> DataFrame:
+        """Keys of rows (key, id) found in min_docs documents or more, and the first of these."""
+        key = rows.columns[0]
+        return rows.distinct().groupBy(key).agg(F.min("id").alias("first"), F.count("id").alias("docs")).where(F.col("docs") >= min_docs).select(key, "first")
 
-    exact = cut(recurring(lines, "exact"), "exact-templates")
-    same = lines.join(exact, "exact").where("id <> first").select("id", "at")
-    # what no exact template explains, in leaves that several documents share
-    others = lines.where("q is not null").join(exact, "exact", "left_anti")
-    leaves = others.groupBy("leaf").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("leaf")
-    others = others.join(leaves, "leaf", "left_semi")
+    # each exact template once: its lines, recurring or not, take part in its general templates
+    exact = cut(lines.groupBy("exact").agg(F.min("id").alias("first"), F.max("id").alias("final"), F.first("leaf").alias("leaf"), F.first("q").alias("q")), "exact-templates")
+    leaves = exact.groupBy("leaf").agg(F.min("first").alias("a"), F.max("final").alias("b"), F.count("*").alias("templates")).where("a < b and templates > 1").select("leaf")
+    shared = exact.where("q is not null").join(leaves, "leaf", "left_semi")
     keys = F.array(*(F.xxhash64("leaf", F.lit(k), *(F.get("q", F.lit(q)) for q in range(QUARTERS) if q != k)) for k in range(QUARTERS)))
-    others = cut(others.select("id", "at", F.explode(keys).alias("general")), "general-lines")
-    alike = others.join(recurring(others, "general"), "general").where("id <> first").select("id", "at")
-    return same.unionByName(alike).groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("drop"))
+    general = cut(shared.select("exact", "first", "final", F.explode(keys).alias("general")), "general-templates")
+    if min_docs > 2:
+        same = recurring(lines.select("exact", "id"))
+        alike = recurring(lines.select("exact", "id").join(general.select("exact", "general"), "exact").select("general", "id"))
+    else:
+        same = exact.where("first < final").select("exact", "first")
+        alike = general.groupBy("general").agg(F.min("first").alias("first"), F.max("final").alias("final")).where("first < final").select("general", "first")
+    alike = general.select("exact", "general").join(alike, "general").select("exact", "first")
+    firsts = same.unionByName(alike).groupBy("exact").agg(F.min("first").alias("first"))
+    drop = lines.join(firsts, "exact").where("id <> first")
+    return drop.groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("drop"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", depth: int = 3, min_tokens: int = 5, min_docs: int = 2) -> DataFrame:

@@ -234,3 +234,14 @@ def test_line_dedup(spark, odd, empty):
     got = {r.doc_id: r.text for r in line_dedup(df).collect()}
     assert got == {1: f"own text one\n{line}", 2: "other text", 3: None, 4: "short\nshort", 5: "short"}
     assert line_dedup(odd).count() == len(ODD) and line_dedup(empty).count() == 0
+
+
+def test_line_dedup_variants_that_recur_exactly(spark):
+    """A variant that recurs exactly and one that doesn't share their general template: only its first document keeps the line."""
+    head, tail = "please note that this long passage is shared by", "and goes on for several more words after it"
+    variants = [(1, "alpha"), (2, "beta"), (3, "alpha"), (4, "beta"), (5, "gamma")]
+    df = spark.createDataFrame([(i, f"own text {w} number {i}\n{head} {w} {tail}") for i, w in variants], "doc_id long, text string")
+    for least in (2, 5):
+        got = {r.doc_id: r["__dropped"] for r in line_dedup(df, min_docs=least).collect()}
+        assert got == {1: 0, 2: 1, 3: 1, 4: 1, 5: 1}
+    assert {r["__dropped"] for r in line_dedup(df, min_docs=6).collect()} == {0}
