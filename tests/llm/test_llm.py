@@ -4,6 +4,7 @@ import base64
 import hashlib
 import html
 import math
+import random
 import re
 from collections import Counter
 
@@ -245,3 +246,46 @@ def test_line_dedup_variants_that_recur_exactly(spark):
         got = {r.doc_id: r["__dropped"] for r in line_dedup(df, min_docs=least).collect()}
         assert got == {1: 0, 2: 1, 3: 1, 4: 1, 5: 1}
     assert {r["__dropped"] for r in line_dedup(df, min_docs=6).collect()} == {0}
+
+
+def plain_line_dedup(texts, min_docs=2, share=70, short_docs=10, min_tokens=5, depth=3):
+    """Lines to drop of {id: text}: every pair of templates compared."""
+    where, short = {}, {}
+    for i, text in texts.items():
+        for at, line in enumerate((text or "").split("\n")):
+            raw = [x for x in re.split(r"[\x20\x09-\x0D]+", line) if x]
+            t = tuple("<*>" if re.search("[0-9]", x) else x for x in raw)
+            if sum(x != "<*>" for x in t) >= min_tokens:
+                where.setdefault(t, []).append((i, at))
+            elif any(x.isalpha() for x in line):
+                short.setdefault(tuple(raw), []).append((i, at))
+    leaves, drop = {}, {}
+    for t in where:
+        leaves.setdefault((len(t), t[:depth]), []).append(t)
+    groups = [(where[t], [x for o in leaf if 100 * sum(a == b for a, b in zip(t, o)) >= share * len(t) for x in where[o]], min_docs) for leaf in leaves.values() for t in leaf]
+    for own, of, least in groups + [(x, x, short_docs) for x in short.values()]:
+        ids = {i for i, _ in of}
+        for i, at in own:
+            if len(ids) >= least and i != min(ids):
+                drop.setdefault(i, set()).add(at)
+    return {i: "\n".join(x for at, x in enumerate(text.split("\n")) if at not in drop.get(i, ())) for i, text in texts.items() if text is not None}
+
+
+@pytest.mark.parametrize("min_docs", [2, 4])
+def test_line_dedup_by_all_pairs(spark, docs, min_docs):
+    """Variants in any words, of lines of any length, and short lines by how often they recur."""
+    r = random.Random(5)
+    words_ = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+    bases = [[r.choice(words_) for _ in range(n)] for n in (5, 6, 7, 8, 9, 11, 12, 13, 20, 31, 57)]
+    texts = {}
+    for i in range(150):
+        lines = [f"Own {i} line"]
+        for base in r.sample(bases, 3):
+            at = set(r.sample(range(len(base)), r.randint(0, len(base) * 2 // 5)))
+            lines.append(" ".join(r.choice([*words_, "7", "x9"]) if k in at and (k > 2 or r.random() < 0.1) else x for k, x in enumerate(base)))
+        texts[i] = "\n".join(lines + ["All rights reserved."] * (i % 10 == 3) + ["Page 4"] * (i % 20 == 3) + ["---"])
+    got = {x.doc_id: x.text for x in line_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), min_docs=min_docs).collect()}
+    assert got == plain_line_dedup(texts, min_docs)
+    texts = {x.doc_id: x.text for x in docs.select("doc_id", "text").collect()}
+    got = {x.doc_id: x.text for x in line_dedup(docs.select("doc_id", "text"), min_docs=min_docs).where("text is not null").collect()}
+    assert got == plain_line_dedup(texts, min_docs)
