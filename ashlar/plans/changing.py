@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ashlar.functions import money, total
+from ashlar.lineage import cut
 from ashlar.operators import graph, merge, quality, search
 from ashlar.plans.catalog import Tables, query
-from ashlar.plans.relational import FOLLOWS, V1, V2, follows, versions
+from ashlar.plans.relational import FOLLOWS, LINKS, TREE, V1, V2, follows, links, tree, versions
 
 
 @query(f"with a as ({V1}), b as ({V2}) select o_orderkey, case when b.o_orderkey is not null then b.o_totalprice else a.o_totalprice end as o_totalprice from a full join b using (o_orderkey)")
@@ -140,6 +141,16 @@ def g3_reachable(t: Tables) -> DataFrame:
     return graph.reachable(follows(t))
 
 
+@query(f"with recursive e as ({LINKS}), r as (select cast(10 as bigint) as node, 0 as hops union select dst, hops + 1 from r join e on src = node where hops < 3) select node, min(hops) as hops from r where node <> 10 group by 1")
+def g1_k_hop_links(t: Tables) -> DataFrame:
+    return graph.k_hop(cut(links(t), "links"), 10, 3).where("node <> 10")
+
+
+@query(f"with recursive e as ({TREE}), r as (select src, dst from e union select r.src, e.dst from r join e on e.src = r.dst) select src, dst from r")
+def g3_reachable_tree(t: Tables) -> DataFrame:
+    return graph.reachable(tree(t))
+
+
 @query("select o_custkey as src, l_suppkey as dst, count(*) as weight from orders join lineitem on o_orderkey = l_orderkey group by 1, 2")
 def g6_edges(t: Tables) -> DataFrame:
     return t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).agg(F.count("*").alias("weight"))

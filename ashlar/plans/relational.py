@@ -164,6 +164,36 @@ def j9_mutual_pairs(t: Tables) -> DataFrame:
     return e.join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"]).where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
+LINKS = "select distinct 2 * o_custkey as src, 2 * l_suppkey + 1 as dst from orders join lineitem on o_orderkey = l_orderkey union all select distinct 2 * l_suppkey + 1, 2 * o_custkey from orders join lineitem on o_orderkey = l_orderkey where l_returnflag = 'R'"
+
+
+def links(t: Tables) -> DataFrame:
+    """src, dst over the whole tables: customers (2 x key) to the suppliers (2 x key + 1) of their lines, and back where a line was returned."""
+    lines = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select((2 * F.col("o_custkey")).alias("c"), (2 * F.col("l_suppkey") + 1).alias("s"), "l_returnflag")
+    back = lines.where("l_returnflag = 'R'").select(F.col("s").alias("src"), F.col("c").alias("dst")).distinct()
+    return lines.select(F.col("c").alias("src"), F.col("s").alias("dst")).distinct().union(back)
+
+
+TREE = "select o_orderkey as src, o_orderkey // 2 as dst from orders where o_orderkey > 0"
+
+
+def tree(t: Tables) -> DataFrame:
+    """src, dst: every order and its parent, the order of half its key."""
+    return t.orders.where("o_orderkey > 0").select(F.col("o_orderkey").alias("src"), F.expr("o_orderkey div 2").alias("dst"))
+
+
+@query("select a.o_orderkey, a.o_totalprice, b.o_orderkey as parent, b.o_totalprice as parent_price from orders a join orders b on a.o_orderkey // 2 = b.o_orderkey where a.o_orderkey > 0")
+def j8_self_join_orders(t: Tables) -> DataFrame:
+    child = t.orders.where("o_orderkey > 0").select("o_orderkey", "o_totalprice", F.expr("o_orderkey div 2").alias("parent"))
+    return child.join(t.orders.select(F.col("o_orderkey").alias("parent"), F.col("o_totalprice").alias("parent_price")), "parent")
+
+
+@query(f"with e as ({LINKS}) select distinct a.src as a, a.dst as b from e a join e b on a.src = b.dst and a.dst = b.src where a.src < a.dst")
+def j9_mutual_links(t: Tables) -> DataFrame:
+    e = links(t)
+    return e.join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"]).where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+
+
 @query("select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
 def j10_semi(t: Tables) -> DataFrame:
     return t.customer.join(t.orders.where("o_totalprice > 300000"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")

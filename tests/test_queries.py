@@ -47,3 +47,13 @@ def test_matches_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_graphs_take_whole_tables(spark, db):
+    """Every order is in the closure and the self join, and all linked customers and suppliers can be in pairs and hops."""
+    orders = db.execute("select count(*) from orders where o_orderkey > 0").fetchone()[0]
+    for name, key in (("g3_reachable_tree", "src"), ("j8_self_join_orders", "o_orderkey")):
+        assert QUERIES[name](spark, SF).select(key).distinct().count() == orders > 97
+    returned = db.execute("select count(*) from (select distinct o_custkey, l_suppkey from orders join lineitem on o_orderkey = l_orderkey where l_returnflag = 'R')").fetchone()[0]
+    assert QUERIES["j9_mutual_links"](spark, SF).count() == returned > 291
+    assert QUERIES["g1_k_hop_links"](spark, SF).where("node >= 2 * 97").count() > 0
