@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +55,46 @@ def knn(base: DataFrame, id_col: str, vector: str, query: list[float], k: int, w
     return rows.select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
+def knn_many(base: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, where: Column | None = None, block: int = 4000) -> DataFrame:
+    """query_id, id_col, score: the k nearest by cosine of each query among base, filtered before ranking; ties go to the smaller id.
+
+    Blocks of queries meet blocks of base, one pair of them in a task; each gives
+    its k best per query, which are then merged. Vectors that are null or zero
+    have no score and are left out.
+    """
+    kind = base.schema[id_col].dataType.simpleString()
+    usable = lambda df: df.where(F.exists(vector, lambda x: x != 0)).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    sides = [usable(base if where is None else base.where(where)), usable(queries)]
+    n_base, n_queries = (max(1, math.ceil(x.count() / block)) for x in sides)
+    # each row goes to all blocks of the other side
+    at = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = sides[1].select("id", "v", at(n_queries).alias("x"), every(n_base).alias("y"))
+    right = sides[0].select("id", "v", at(n_base).alias("y"), every(n_queries).alias("x"))
+
+    def unit(pdf: pd.DataFrame) -> np.ndarray:
+        v = np.stack(pdf["v"].to_numpy())
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def best(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: list[pd.DataFrame] = []
+        if len(q) and len(b):
+            b = b.sort_values("id")
+            ids, vectors, asked = b["id"].to_numpy(), unit(b).T, unit(q)
+            for s in range(0, len(q), 256):
+                scores = np.round(asked[s : s + 256] @ vectors, 6)
+                least = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+                for i, row in enumerate(scores):
+                    among = np.flatnonzero(row >= least[i])
+                    among = among[np.argsort(-row[among], kind="stable")[:k]]
+                    out.append(pd.DataFrame({"query_id": q["id"].iloc[s + i], id_col: ids[among], "score": row[among]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], id_col: [], "score": []})
+
+    found = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(best, f"query_id {kind}, `{id_col}` {kind}, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
+    return found.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+
+
 def recall_at_k(found: DataFrame, truth: DataFrame, query: str, item: str, k: int) -> DataFrame:
     """recall: the mean share of each query's k true items that were found."""
     hits = truth.join(found.select(query, item).distinct(), [query, item], "left_semi").groupBy(query).agg((F.count("*") / k).alias("r"))

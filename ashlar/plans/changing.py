@@ -173,6 +173,19 @@ def e2_filtered_knn(t: Tables) -> DataFrame:
     return search.knn(t.embeddings, "vec_id", "embedding", first, 10, F.col("label") == 3)
 
 
+KNN = "with e as (select vec_id, label, cast(embedding as double[]) as v from embeddings), s as (select q.vec_id as query_id, b.vec_id, round(list_dot_product(b.v, q.v) / sqrt(list_dot_product(b.v, b.v) * list_dot_product(q.v, q.v)), 6) as score from e q, e b where q.vec_id % 20 = 0 and {}) select * from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10"
+
+
+@query(KNN.format("true"))
+def e1_knn(t: Tables) -> DataFrame:
+    return search.knn_many(t.embeddings, t.embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", 10)
+
+
+@query(KNN.format("b.label = 3"))
+def e2_filtered_knn_many(t: Tables) -> DataFrame:
+    return search.knn_many(t.embeddings, t.embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", 10, F.col("label") == 3)
+
+
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n, max(value) as hi from events group by 1, 2")
 def t4_tumble(t: Tables) -> DataFrame:
     w = F.window(F.col("ts").cast("timestamp"), "1 hour")
