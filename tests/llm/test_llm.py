@@ -193,6 +193,19 @@ def test_bpe(docs, odd, empty):
     assert encode_decode(odd, BPE, public_tokenizers.PATTERN).count() == len(ODD) and encode_decode(empty, BPE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_long_words():
+    """Words of any length end soon, in bounded memory, and come out as tiktoken has them."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BPE, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder, r = Coder(BPE, public_tokenizers.PATTERN), random.Random(2)
+    pick = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    texts = [pick("abcdefghijklmnopqrstuvwxyz", 100_000), pick("abcdefghijABCDEFGHIJ", 5_000_000), pick("0123456789", 20_000), "a" * 300_000, "otch" * 20_000, "ab" * 5000 + "aab" * 3000, pick("abcde", 3000), "\u6211\u4eec\u90fd\u77e5\u9053" * 3000, pick("=-", 3000)]
+    for x in texts:
+        coded = coder.encode([x, "short", x[:70]])
+        assert coded == [",".join(map(str, own.encode_ordinary(y))) for y in (x, "short", x[:70])]
+        assert coder.decode(coded)[0] == x.encode()
+
+
 def test_near_dedup(docs, odd, empty):
     sets = {}
     for r in docs.collect():
