@@ -31,8 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of texts in a chunk, words kept for later chunks, bytes of words in one query, rounds of one query, rows that a query may hold.
-CHUNK, KEPT, QUERY_BYTES, ROUNDS, ROWS = 2_000_000, 1_200_000, 120_000, 24, 4_000_000
+#: Bytes of texts in a chunk, words kept for later chunks, bytes of words in one query, rounds of one query, rows that a query may hold, tokens decoded by one query.
+CHUNK, KEPT, QUERY_BYTES, ROUNDS, ROWS, DECODED = 2_000_000, 1_200_000, 120_000, 24, 4_000_000, 500_000
 #: Longer words are cut before they are contracted; longer pieces have a query each.
 CUT, LONG = 64, 256
 #: Bytes of memory that DuckDB may take for each byte of a long piece.
@@ -238,15 +238,16 @@ class Coder:
 
     def decode(self, ids: list[str]) -> list[bytes]:
         """The bytes of each text's ids."""
-        pa = self.pa
-        out = [b""] * len(ids)
         counts = np.array([x.count(",") + 1 if x else 0 for x in ids], np.int32)
         flat = np.fromstring(",".join(x for x in ids if x), np.int32, sep=",") if counts.any() else np.empty(0, np.int32)
-        self.db.register("coded", pa.table({"d": np.repeat(np.arange(len(ids), dtype=np.int32), counts), "pos": np.arange(len(flat), dtype=np.int32), "id": flat}))
-        rows = self.db.execute("SELECT d, array_to_string(list(b ORDER BY pos), '') FROM coded JOIN vocab USING (id) GROUP BY d")
-        for d, b in rows.fetchall():
-            out[d] = bytes.fromhex(b)
-        return out
+        text = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+        parts: list[list[bytes]] = [[] for _ in ids]
+        for at in range(0, len(flat), DECODED):
+            some = slice(at, at + DECODED)
+            self.db.register("coded", self.pa.table({"d": text[some], "pos": np.arange(len(flat[some]), dtype=np.int32), "id": flat[some]}))
+            for d, b in self.db.execute("SELECT d, array_to_string(list(b ORDER BY pos), '') FROM coded JOIN vocab USING (id) GROUP BY d").fetchall():
+                parts[d].append(bytes.fromhex(b))
+        return [b"".join(x) for x in parts]
 
 
 #: A worker process keeps its coder, with the words that it has encoded, for the partitions that come after.
