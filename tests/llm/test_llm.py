@@ -6,6 +6,7 @@ import html
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -18,7 +19,7 @@ from ashlar.llm.ann import nearest
 from ashlar.llm.bpe import Coder, encode_decode
 from ashlar.llm.lattice_lm import arcs, forward, lattice_lm
 from ashlar.llm.line_dedup import line_dedup
-from ashlar.llm.main_text import main_text
+from ashlar.llm.main_text import extract, main_text
 from ashlar.llm.mixing import mix, source_targets, take_mix
 from ashlar.llm.near_dedup import components, near_dedup
 from ashlar.llm.quality_classifier import quality_scores
@@ -109,6 +110,39 @@ def test_main_text():
     assert main_text(f"<body><div>hi</div><ul class=menu><li>a</li></ul><p>{long}</p><p>{long}</p></body>").count("word") == 80
 
 
+def test_main_text_is_found_by_its_distribution():
+    """No article element: lengths, window and threshold decide; inside one they do as well."""
+    long, link = "word " * 40, "<li><a href=x>elsewhere</a></li>"
+    page = f"<body><div>Top</div><ul>{link * 5}</ul><h1>Head</h1><p>{long}</p><p>x</p><p><a href=y>link line</a></p><p>{long}</p><ul>{link * 5}</ul><p>tail</p>"
+    body = [long.strip(), "x", "link line", long.strip()]
+    assert main_text(page).split("\n") == ["Head", *body]
+    assert main_text(page, window=1).split("\n") == [long.strip(), "x", long.strip()]
+    short = f"<body><p>{long}</p><ul>{link * 5}</ul><p>{'mid ' * 20}</p><p>mid</p>"
+    assert main_text(short, threshold=80).count("mid") == 21 and main_text(short, threshold=90).count("mid") == 0
+    ads = "<div class=ad><p>buy</p></div>"
+    page = f"<article><h1>Head</h1><p>{long}</p>{ads * 4}<p>End.</p><p>{long}</p></article>"
+    assert main_text(page).split("\n") == ["Head", long.strip(), "End.", long.strip()]
+    late = f"<article><p>{long}</p>{ads * 4}<p>End.</p></article>"
+    assert main_text(late).split("\n") == [long.strip()]  # too little after a dive
+    assert main_text(late, threshold=20).split("\n") == main_text(late, window=6).split("\n") == [long.strip(), "End."]
+
+
+def test_main_text_odd_pages(spark):
+    deep = "<div>" * 50_000 + "text " * 40 + "</b>" * 50_000
+    broken = "<a <a " * 50_000 + "<p class=\"x>" + "text " * 40
+    for page in (deep, broken, "<p>" * 100_000 + "y " * 60, "<" * 200_000):
+        begin = time.monotonic()
+        main_text(page)
+        assert time.monotonic() - begin < 5
+    assert main_text(deep) == ("text " * 40).strip()
+    assert main_text("a < b and c > d") == "a < b and c > d" and main_text("<p>x&#8212;y&nbsp;z") == "x\u2014y z"
+    rows = [(1, "u", "<p>" + "text " * 40, "k"), (1, "u", "<p>" + "text " * 40, "k"), (None, None, None, None), (2, "v", "", "k")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, __html string")
+    want = ("text " * 40).strip()
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in extract(df).collect()) == [(0, "", 0), (1, want, len(want)), (1, want, len(want)), (2, "", 0)]
+    assert extract(df.limit(0)).count() == 0
+
+
 def test_main_text_on_pages(spark):
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
         body = re.search(r"<article>(.*?)(?:</article>|<footer|$)", r.html, re.DOTALL)[1]
