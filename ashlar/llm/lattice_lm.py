@@ -1,20 +1,26 @@
 """LM scoring: subword lattice likelihood.
 
 A word's probability is the sum over all its segmentations. The lattice's arcs
-are the pieces of an existing unigram vocabulary, weighted by its scores, byte
-pieces for what no piece covers, and one arc for the whole word, weighted by
-the word's count in the training documents. A forward recursion in log space
-sums the paths. A text's probability is the product over its words and one
-end.
+are the pieces of an existing unigram vocabulary, byte pieces for what no piece
+covers, and one arc for the whole word, with the word's count in the training
+documents. A forward recursion in log space sums the paths. A text's
+probability is the product over its words and one end.
+
+The vocabulary's scores are the prior of the pieces' weights. They are
+re-estimated once from the training documents: the expected count of each piece
+over all segmentations (forward and backward) of each word that is seen once,
+as new words are like those, plus ``prior`` counts shared by the scores.
 
 Words are scored once each: the corpus's words are counted by Spark, the
 lattice runs over the distinct words, and the values come back to the texts by
-a join. The commonest words, a bounded number, are sent to all tasks instead,
-so that only rare words are shuffled.
+a join. The commonest words, a bounded number of them above a count that a
+histogram gives, are sent to all tasks instead, so that only rare words are
+shuffled.
 
 Defined cases: null and empty texts are one end; characters outside the
-vocabulary are spelled by byte pieces; an empty table gives an empty table;
-with no training documents counts are 0 and the pieces alone weigh.
+vocabulary are spelled by byte pieces; repeated rows are texts of their own; an
+empty table gives an empty table; with no training documents counts are 0 and
+the scores alone weigh; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -31,8 +37,8 @@ from pyspark.sql import functions as F
 from ashlar.lineage import cut
 from ashlar.llm.text import words
 
-#: Common words that are sent to all tasks.
-COMMON = 200_000
+#: Most words that are sent to all tasks, and the longest of them; counts of the scores when weights are re-estimated.
+COMMON, COMMON_CHARS, PRIOR = 200_000, 64, 10_000.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 START = "▁"
 
@@ -63,11 +69,20 @@ def arcs(pieces: dict[str, float]) -> dict[str, float | None]:
     return out | pieces
 
 
-def forward(word: str, table: dict[str, float | None], byte: float) -> float:
-    """Natural log of the sum over all segmentations of the word into pieces of table (see arcs) and bytes."""
+def log_sum(terms: list[float]) -> float:
+    if len(terms) == 1:
+        return terms[0]
+    top = max(terms)
+    return top + math.log(sum([math.exp(x - top) for x in terms]))
+
+
+def forward(word: str, table: dict[str, float | None], byte: float, whole: float | None = None) -> float:
+    """Natural log of the sum over all segmentations of the word into pieces of table (see arcs) and bytes, and of the whole word's arc if it has one."""
     text = START + word
     n = len(text)
-    into: list[list[float]] = [[] for _ in range(n + 1)]  # log weights of the paths' last steps
+    into: list[list[float] | None] = [[] for _ in range(n + 1)]  # log weights of the paths' last steps
+    if whole is not None:
+        into[n].append(whole)
     alpha = 0.0
     for begin in range(n):
         c = text[begin]
@@ -79,27 +94,77 @@ def forward(word: str, table: dict[str, float | None], byte: float) -> float:
             w = table[part]
             if w is not None:
                 into[end].append(alpha + w)
-        terms = into[begin + 1]
-        if len(terms) == 1:
-            alpha = terms[0]
-        else:
-            top = max(terms)
-            alpha = top + math.log(sum([math.exp(x - top) for x in terms]))
+        alpha = log_sum(into[begin + 1])
+        into[begin] = None
     return alpha
 
 
-def lattice_scores(vocabulary: DataFrame, path: str) -> DataFrame:
-    """vocabulary with lattice, the natural log of each word's marginal by pieces alone."""
+def expected_pieces(word: str, table: dict[str, float | None], byte: float, counts: dict[str, float]) -> None:
+    """Add to counts how often each piece (and byte, under "") is expected in the word's segmentations."""
+    text = START + word
+    n = len(text)
+    alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
+    into: list[list[float]] = [[] for _ in range(n + 1)]
+    steps: list[list[tuple[int, str, float]]] = []  # from each place: end, piece, weight
+    for begin in range(n):
+        if begin:
+            alpha[begin] = log_sum(into[begin])
+        c = text[begin]
+        found = [(begin + 1, "", byte if c < "\x80" else byte * len(c.encode()))]
+        for end in range(begin + 1, n + 1):
+            part = text[begin:end]
+            if part not in table:
+                break
+            w = table[part]
+            if w is not None:
+                found.append((end, part, w))
+        for end, _, w in found:
+            into[end].append(alpha[begin] + w)
+        steps.append(found)
+    total = log_sum(into[n])
+    for begin in range(n - 1, -1, -1):
+        onward = [w + beta[end] for end, _, w in steps[begin]]
+        beta[begin] = log_sum(onward)
+        for (_, part, _), x in zip(steps[begin], onward, strict=True):
+            times = 1 if part or text[begin] < "\x80" else len(text[begin].encode())
+            counts[part] = counts.get(part, 0.0) + times * math.exp(alpha[begin] + x - total)
+
+
+def learned_weights(hapaxes: DataFrame, path: str, prior: float) -> tuple[dict[str, float], float]:
+    """(natural log weights of pieces, of each byte), re-estimated from words (word) by expected counts."""
+    pieces, byte, _ = piece_weights(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table: dict[str, float | None] = {}
+        counts: dict[str, float] = {}
         for pdf in batches:
             if not table:
-                pieces, byte, _ = piece_weights(path)
-                table = arcs(pieces)
-            yield pdf.assign(lattice=[forward(w, table, byte) for w in pdf["word"]])
+                old, old_byte, _ = piece_weights(path)
+                table = arcs(old)
+            for word in pdf["word"]:
+                expected_pieces(word, table, old_byte, counts)
+        yield pd.DataFrame({"piece": list(counts), "n": list(counts.values())}, columns=["piece", "n"]).astype({"piece": object, "n": float})
+
+    # no more rows than the vocabulary has pieces
+    sums = hapaxes.select("word").mapInPandas(run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+    seen = dict(zip(sums["piece"], sums["n"], strict=True))
+    total = sum(seen.values()) + prior
+    new = {p: math.log((seen.get(p, 0.0) + prior * math.exp(w)) / total) for p, w in pieces.items()}
+    return new, math.log((seen.get("", 0.0) + 256 * prior * math.exp(byte)) / total / 256)
 
-    return vocabulary.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in vocabulary.dtypes) + ", lattice double")
+
+def lattice_scores(vocabulary: DataFrame, pieces: dict[str, float], byte: float, unseen: float) -> DataFrame:
+    """vocabulary (word, c) with lattice: the natural log of each word's marginal over its pieces and its whole-word arc of weight c / unseen."""
+    sent = vocabulary.sparkSession.sparkContext.broadcast((pieces, byte))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table: dict[str, float | None] = {}
+        for pdf in batches:
+            if not table:
+                table = arcs(sent.value[0])
+            yield pdf.assign(lattice=[forward(w, table, sent.value[1], math.log(c / unseen) if c else None) for w, c in zip(pdf["word"], pdf["c"], strict=True)])
+
+    return vocabulary.mapInPandas(run, "word string, c long, lattice double")
 
 
 def word_counts(docs: DataFrame, trains: Column) -> DataFrame:
@@ -108,7 +173,20 @@ def word_counts(docs: DataFrame, trains: Column) -> DataFrame:
     return raw.groupBy(F.translate("word", UPPER, LOWER).alias("word")).agg(F.sum("c").alias("c"))
 
 
-def lattice_lm(docs: DataFrame, trains: Column, path: str, id_col: str = "doc_id", common: int = COMMON) -> DataFrame:
+def common_count(counts: DataFrame, most: int) -> int:
+    """The least count such that at most so many words have it or a greater one, by a histogram of eighths of octaves."""
+    bucket = F.floor(F.log2("c") * 8).cast("int").alias("b")
+    rows = counts.where("c > 0").groupBy(bucket).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("b")).collect()  # some 500 at most
+    least, total = 2**62, 0
+    for r in rows:
+        total += r["n"]
+        if total > most:
+            break
+        least = r["c"]
+    return least
+
+
+def lattice_lm(docs: DataFrame, trains: Column, path: str, id_col: str = "doc_id", common: int = COMMON, prior: float = PRIOR) -> DataFrame:
     """One row for each row of docs: id_col, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
     trains: whether a row's text is learned from. base_score is add-one over
@@ -116,21 +194,19 @@ def lattice_lm(docs: DataFrame, trains: Column, path: str, id_col: str = "doc_id
     """
     spark = docs.sparkSession
     docs = docs.select(id_col, "text", F.coalesce(trains, F.lit(False)).alias("__train"))
-    counts = cut(lattice_scores(word_counts(docs, F.col("__train")), path), "lm-words")
+    counts = cut(word_counts(docs, F.col("__train")), "lm-counts")
     ends = docs.agg(F.count_if("__train")).first()[0]
     tokens, types, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
     n, v = tokens + ends, types + (ends > 0)
     # whole-word arcs have the training counts; the pieces share what words seen once have, at least one token's mass
     unseen = float(max(once, 1))
+    pieces, byte = learned_weights(counts.where("c = 1"), path, prior)
     base = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
-    # log10 of (c + unseen * exp(lattice)) / (n + unseen), kept in log space where the word is new
-    new = F.col("lattice") / math.log(10) + math.log10(unseen)
-    seen = F.log10(F.col("c").cast("double")) + F.log1p(F.exp(F.col("lattice") + math.log(unseen) - F.log(F.col("c").cast("double")))) / math.log(10)
-    model = F.when(F.col("c") > 0, seen).otherwise(new) - math.log10(n + unseen)
-    values = counts.select("word", "c", base.alias("base"), model.alias("model"))
+    model = F.col("lattice") / math.log(10) + (math.log10(unseen) - math.log10(n + unseen))
+    values = cut(lattice_scores(counts, pieces, byte, unseen).select("word", "c", base.alias("base"), model.alias("model")), "lm-words")
     end_base = math.log10((ends + 1) / (n + v + 1))
     end_model = math.log10((ends + unseen * math.exp(piece_weights(path)[2])) / (n + unseen))
-    top = values.orderBy(F.desc("c"), "word").limit(common).toPandas()
+    top = values.where((F.col("c") >= common_count(counts, common)) & (F.length("word") <= COMMON_CHARS)).toPandas()
     sent = spark.sparkContext.broadcast((dict(zip((w.encode() for w in top["word"]), range(len(top)), strict=True)), top["c"].to_numpy() > 0, top["base"].to_numpy(), top["model"].to_numpy()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

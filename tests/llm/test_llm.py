@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ashlar.llm.ann import nearest
 from ashlar.llm.bpe import Coder, encode_decode
-from ashlar.llm.lattice_lm import arcs, forward, lattice_lm
+from ashlar.llm.lattice_lm import arcs, forward, lattice_lm, piece_weights
 from ashlar.llm.line_dedup import line_dedup
 from ashlar.llm.main_text import extract, main_text
 from ashlar.llm.mixing import mix, source_targets, take_mix
@@ -200,6 +200,54 @@ def test_lattice():
         assert math.isclose(forward(word, arcs(pieces), byte), math.log(every("▁" + word)))
 
 
+def segmentations(text, pieces, byte):
+    """(weight, pieces; "" for a byte) of every way to spell the text."""
+    if not text:
+        return [(0.0, [])]
+    out = [(w + v, [p, *x]) for p, w in pieces.items() if text.startswith(p) for v, x in segmentations(text[len(p) :], pieces, byte)]
+    k = len(text[0].encode())
+    return out + [(byte * k + v, [""] * k + x) for v, x in segmentations(text[1:], pieces, byte)]
+
+
+def test_lm_by_enumeration(spark):
+    """Scores of small texts, with weights re-estimated, against all segmentations."""
+    path, prior = PIECES, 3.0
+    texts = {i: t for i, t in enumerate(["the cat sat", "the dog sat on it", "a cat \u00e9t\u00e9", "the the the", "", None, "\u65e5 ab"])}
+    train = {0, 1, 2, 3, 4}
+    token = {i: (t or "").encode().lower().decode().split() + [None] for i, t in texts.items()}
+    c = Counter(w for i in train for w in token[i])
+    n, unseen = sum(c.values()), max(1, sum(k == 1 and w is not None for w, k in c.items()))
+    pieces, byte, end = piece_weights(path)
+    near = {p: w for p, w in pieces.items() if any(p in "\u2581" + w for x in token.values() for w in x if w)}
+    counts = Counter()
+    for w in (w for w, k in c.items() if k == 1 and w):
+        ways = segmentations("\u2581" + w, near, byte)
+        total = sum(math.exp(x) for x, _ in ways)
+        for x, used in ways:
+            for p in used:
+                counts[p] += math.exp(x) / total
+    all_ = sum(counts.values()) + prior
+    new = {p: math.log((counts[p] + prior * math.exp(w)) / all_) for p, w in near.items()}
+    new_byte = math.log((counts[""] + 256 * prior * math.exp(byte)) / all_ / 256)
+    word = {w: math.log10((c[w] + unseen * sum(math.exp(x) for x, _ in segmentations("\u2581" + w, new, new_byte))) / (n + unseen)) for x in token.values() for w in x if w}
+    word[None] = math.log10((c[None] + unseen * math.exp(end)) / (n + unseen))
+    df = spark.createDataFrame([*texts.items(), (0, texts[0])], "doc_id long, text string").withColumn("word", F.lit(1)).withColumn("c", F.lit("clash"))
+    for common in (0, 3, 1000):
+        for r in lattice_lm(df, F.col("doc_id") < 0, path).collect():
+            assert r.n_known == 0
+        got = lattice_lm(df.dropDuplicates(["doc_id"]), F.col("doc_id").isin(*train), path, common=common, prior=prior).collect()
+        assert {r.doc_id for r in got} == set(texts)
+        for r in got:
+            assert math.isclose(r.score, sum(word[w] for w in token[r.doc_id]), rel_tol=1e-9)
+
+
+def test_lm_learns(docs):
+    """Weights re-estimated from training texts make held-out ones likelier."""
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    total = {p: lattice_lm(docs, ~held, PIECES, prior=p).where(held).agg(F.sum("score")).first()[0] for p in (1e4, 1e12)}
+    assert total[1e4] > total[1e12]
+
+
 def test_lm(docs, odd, empty):
     trains = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2
     texts = {r.doc_id: (r.text, r.t) for r in docs.withColumn("t", trains).collect()}
