@@ -24,10 +24,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one: all that it writes on the way lies there."""
+    return f"{shared_dir(spark)}/ashlar-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name of this application."""
+    return f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application wrote on the way. Call it when the results are stored: nothing made before may be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back. Lost executors cost no recomputation beyond this point."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ashlar-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")  # nothing reads this write's shuffles once it is done
     try:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ashlar.lineage import cut
 from ashlar.operators.merge import latest, upsert
+from ashlar.operators.quality import validate
+from ashlar.sources.files import ingest_landing
 
 
 def delta_aggregate(state: DataFrame, delta: DataFrame, keys: list[str], value: Column) -> DataFrame:
@@ -98,3 +103,30 @@ def promote_batches(df: DataFrame, batch: str, gates: dict[str, Column]) -> Data
     failing = df.where(bad).select(F.col(batch).alias("_b")).distinct().withColumn("_bad", F.lit(True))
     out = df.join(failing, df[batch].eqNullSafe(failing["_b"]), "left")
     return out.withColumn("_status", F.when(F.col("_bad"), "quarantined").otherwise("promoted")).drop("_b", "_bad")
+
+
+def run_shards(events: DataFrame, table: str, ledger: str, shard: str, wanted: Column, *aggs: Column) -> None:
+    """Recompute the wanted shards of a table partitioned by shard, in one job, and note each in the ledger.
+
+    A shard is replaced as a whole, so a rerun leaves the same rows; the
+    ledger has a row for each attempt that ended.
+    """
+    redone = events.where(wanted).groupBy(shard).agg(*aggs)
+    redone.write.partitionBy(shard).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(table)
+    done = events.where(wanted).select(shard).distinct().withColumn("run", F.lit(uuid.uuid4().hex))
+    done.write.mode("append").parquet(ledger)
+
+
+def medallion(spark: SparkSession, landing: str, columns: list[str], types: dict[str, str], rules: list[tuple[str, Column]], key: str, by: list[str], *aggs: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(silver, quarantine, gold) of landed CSV files, file by file in order of name and line.
+
+    Bronze has all rows as strings with their provenance. Rows that break a rule
+    are quarantined with the first reason; of the others the newest row of each
+    key is typed and merged into silver; gold aggregates silver by groups.
+    """
+    bronze = cut(ingest_landing(spark, landing, columns, spark.createDataFrame([], "_source_file string")), "bronze")
+    good, bad = validate(bronze, rules)
+    newest = latest(good, [key], "_source_file", "_line")
+    typed = newest.select(*(F.col(c).cast(k).alias(c) for c, k in types.items()))
+    silver = cut(upsert(typed.limit(0), typed, [key]), "silver")
+    return silver, bad, silver.groupBy(*by).agg(*aggs)

@@ -65,3 +65,37 @@ def enrich_or_reject(df: DataFrame, dim: DataFrame, on: str) -> tuple[DataFrame,
     good = joined.where("_known").drop("_known")
     bad = joined.where("_known is null").select(*df.columns).withColumn("reason", F.concat(F.lit("unknown " + on + " "), F.coalesce(F.col(on).cast("string"), F.lit("null"))))
     return good, bad
+
+
+def join_dim(fact: DataFrame, dim: DataFrame, on: str, how: str = "left", most_rows: int = 1_000_000) -> DataFrame:
+    """fact with a dimension: broadcast if it has no more than most_rows rows, else left to the engine."""
+    few = dim.limit(most_rows + 1).count() <= most_rows
+    return fact.join(F.broadcast(dim) if few else dim, on, how)
+
+
+def maintain_join(view: DataFrame, left: DataFrame, right: DataFrame, changed: DataFrame, on: str) -> DataFrame:
+    """The view left x right after a batch of changes: rows of changed keys are made anew from both sides' latest state, others stay."""
+    keys = changed.select(on).distinct()
+    new = left.join(keys, on, "left_semi").join(right.join(keys, on, "left_semi"), on)
+    return view.join(keys, on, "left_anti").unionByName(new.select(view.columns))
+
+
+def not_in(a: DataFrame, b: DataFrame, col: str, other: str) -> DataFrame:
+    """Rows of a whose col is NOT IN b's other: none if b has a null, and none of a's nulls unless b is empty.
+
+    One look at b for a null and for emptiness, then a plain anti join, so that
+    b isn't broadcast whatever its size.
+    """
+    first = b.agg(F.count_if(F.col(other).isNull()).alias("nulls"), F.count("*").alias("n")).first()
+    if first["nulls"]:
+        return a.limit(0)
+    rows = a.where(F.col(col).isNotNull()) if first["n"] else a
+    right = b.select(F.col(other).alias("_other")).distinct()
+    return rows.join(right, F.col(col) == F.col("_other"), "left_anti")
+
+
+def repair_rollup(base: DataFrame, rollup: DataFrame, touched: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
+    """A rollup after deletes and updates in base: touched groups computed anew, groups that are empty now dropped."""
+    these = touched.select(*keys).distinct()
+    again = base.join(these, keys, "left_semi").groupBy(*keys).agg(*aggs)
+    return rollup.join(these, keys, "left_anti").unionByName(again)

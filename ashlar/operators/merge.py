@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def union(*dfs: DataFrame) -> DataFrame:
+    """Rows of all tables, columns by name; what a table lacks is null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
+
+
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The newest row of each key by the columns of order."""
     newest = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order))
@@ -17,7 +25,8 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], when_newer: li
 
     precombine: of several source rows of a key the highest counts. when_newer:
     a source row replaces only an older one. delete_flag: source rows where it
-    holds remove theirs.
+    holds remove theirs. A null key equals a null key. Without precombine the
+    source has each key once: a key that it repeats gives a row for each.
     """
     if precombine:
         source = latest(source, keys, precombine)
@@ -25,7 +34,9 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], when_newer: li
     t, s = target.select(F.struct(*target.columns).alias("t"), *keys), source.select(F.struct(*source.columns).alias("s"), *keys)
     newer = F.struct(*(F.col(f"s.{c}") for c in when_newer)) > F.struct(*(F.col(f"t.{c}") for c in when_newer)) if when_newer else F.lit(True)
     wins = F.col("s").isNotNull() & (F.col("t").isNull() | newer)
-    joined = t.join(s, keys, "full_outer").where(~(wins & flag))
+    right = s.select("s", *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
+    joined = t.join(right, same, "full_outer").where(~(wins & flag))
     return joined.select(*(F.when(wins, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in target.columns))
 
 
@@ -97,3 +108,66 @@ def align_schema(df: DataFrame, target: dict[str, str], renames: dict[str, str]
     have = set(df.columns)
     pick = lambda c: F.col(old.get(c, c)) if old.get(c, c) in have else F.lit((defaults or {}).get(c))
     return df.select(*(pick(c).cast(t).alias(c) for c, t in target.items()))
+
+
+def first_seen(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The first row of each key by the columns of order."""
+    rest = [c for c in df.columns if c not in keys]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return first.select(*keys, "_r.*").select(df.columns)
+
+
+def checksum(df: DataFrame, cols: list[str] | None = None, row_hash: Callable[..., Column] = F.xxhash64) -> DataFrame:
+    """rows and digest: one row that doesn't depend on the rows' order. The digest sums row hashes, so repeated rows count."""
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(row_hash(*(cols or df.columns)).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("digest"))
+
+
+def column_checksums(df: DataFrame, cols: list[str], cell_hash: Callable[..., Column] = F.xxhash64) -> DataFrame:
+    """column, digest: order-insensitive, all columns in one pass."""
+    sums = F.array(*(F.struct(F.lit(c).alias("column"), F.sum(cell_hash(c).cast("decimal(38,0)")).alias("digest")) for c in cols))
+    return df.agg(sums.alias("s")).select(F.inline("s"))
+
+
+def agree(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, rows, digest, agrees: whether each table has the rows of the first."""
+    sums = union(*(checksum(df).withColumn("name", F.lit(n)) for n, df in tables.items()))
+    first = F.first_value(F.struct("rows", "digest")).over(Window.orderBy(F.col("name") != next(iter(tables))))  # one row a table
+    return sums.withColumn("agrees", F.struct("rows", "digest") == first)
+
+
+def drift(source: DataFrame, target: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """keys and drift: missing (in source only), extra (in target only) or stale (other values)."""
+    kind = F.when(F.col("change") == "delete", "missing").when(F.col("change") == "insert", "extra").otherwise("stale")
+    return table_diff(source, target, keys, cols).where("change <> 'same'").select(*keys, kind.alias("drift"))
+
+
+def compare_versions(before: DataFrame, after: DataFrame, keys: list[str], **measures: Column) -> DataFrame:
+    """keys and, for each measure, its value before and after and the difference; a group that one version lacks counts 0."""
+    sides = [df.groupBy(*keys).agg(*(c.alias(f"{n}_{side}") for n, c in measures.items())) for df, side in ((before, "before"), (after, "after"))]
+    out = sides[0].join(sides[1], keys, "full_outer").fillna(0)
+    return out.withColumns({f"{n}_delta": F.col(f"{n}_after") - F.col(f"{n}_before") for n in measures})
+
+
+def apply_diff(main: DataFrame, base: DataFrame, branch: DataFrame, keys: list[str]) -> DataFrame:
+    """main after the edits that made branch of base; a key that main changed too takes the branch's row."""
+    cols = [c for c in main.columns if c not in keys]
+    edits = table_diff(base, branch, keys, cols).where("change <> 'same'").select(*keys, "new", (F.col("change") == "delete").alias("_gone"))
+    edits = edits.select(*keys, *(F.col("new").getField(c).alias(c) for c in cols), "_gone")
+    return upsert(main, edits, keys, delete_flag="_gone")
+
+
+def sync_derived(before: DataFrame, after: DataFrame, derived: DataFrame, keys: list[str], cols: list[str], derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """derived after a change of its source: only inserted and updated rows are derived again, deleted ones go. derive: rows of after to rows of derived."""
+    changed = table_diff(before, after, keys, cols).where("change <> 'same'").select(*keys, "change")
+    touched = after.join(changed.where("change <> 'delete'").select(*keys), keys, "left_semi")
+    return derived.join(changed.select(*keys), keys, "left_anti").unionByName(derive(touched))
+
+
+def replay_version(log: DataFrame, seq: str, upto: int, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A version rebuilt by rule from the log's start up to an offset."""
+    return rule(log.where(F.col(seq) <= upto))
+
+
+def swap_when_caught_up(current: DataFrame, rebuilt: DataFrame, rebuilt_upto: int, log_end: int) -> DataFrame:
+    """The rebuilt version once it has read the whole log, the current one until then."""
+    return rebuilt if rebuilt_upto >= log_end else current

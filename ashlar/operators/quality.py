@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,3 +38,45 @@ def delivery_audit(sent: DataFrame, received: DataFrame, key: str) -> DataFrame:
     s = sent.agg(F.count("*").alias("sent"))
     missing = sent.join(received, key, "left_anti").agg(F.count("*").alias("missing"))
     return s.crossJoin(r).crossJoin(missing).withColumn("duplicates", F.col("received") - F.col("distinct_received"))  # one row each
+
+
+def assert_none(df: DataFrame, wrong: Column) -> DataFrame:
+    """Rows that violate a rule: none is a pass. A rule that is null of a row doesn't hold for it."""
+    return df.where(F.coalesce(wrong, F.lit(True)))
+
+
+def invariants(checks: dict[str, DataFrame]) -> DataFrame:
+    """invariant, violations, holds. checks: for each invariant, the rows that break it."""
+    counts = [df.agg(F.count("*").alias("violations")).withColumn("invariant", F.lit(n)) for n, df in checks.items()]
+    return reduce(DataFrame.unionByName, counts).withColumn("holds", F.col("violations") == 0)
+
+
+def offset_audit(df: DataFrame, part: list[str], offset: str) -> DataFrame:
+    """Per part: low, high, rows, distinct offsets, missing and repeated ones, and the verdict."""
+    out = df.groupBy(*part).agg(F.min(offset).alias("low"), F.max(offset).alias("high"), F.count("*").alias("n"), F.count_distinct(offset).alias("ids"))
+    out = out.withColumns({"missing": F.col("high") - F.col("low") + 1 - F.col("ids"), "repeated": F.col("n") - F.col("ids")})
+    return out.withColumn("verdict", F.when(F.col("repeated") > 0, "duplicates").when(F.col("missing") > 0, "gaps").otherwise("continuous"))
+
+
+def duplicate_epochs(commits: DataFrame, query: str, epoch: str) -> DataFrame:
+    """Commits of one query and epoch that were made twice or more, with the rows that these add."""
+    return commits.groupBy(query, epoch).agg(F.count("*").alias("commits"), (F.sum("rows") - F.max("rows")).alias("extra_rows")).where("commits > 1")
+
+
+def compat_audit(old: DataFrame, new: DataFrame, old_schema: dict[str, tuple[str, bool]], new_schema: dict[str, tuple[str, bool]]) -> DataFrame:
+    """reader, field, missing, unreadable, verdict: stored rows (all strings) that the other side's schema can't read.
+
+    Schemas are name: (type, required). BACKWARD: the new schema reads the old
+    rows; FORWARD: the old one reads the new rows; FULL: both; NONE. One pass a side.
+    """
+
+    def failures(rows: DataFrame, schema: dict[str, tuple[str, bool]], reader: str) -> DataFrame:
+        have = set(rows.columns)
+        value = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+        cells = [F.struct(F.lit(reader).alias("reader"), F.lit(c).alias("field"), F.count_if(value(c).isNull() & F.lit(required)).alias("missing"), F.count_if(value(c).isNotNull() & value(c).try_cast(kind).isNull()).alias("unreadable")) for c, (kind, required) in schema.items()]
+        return rows.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+    both = failures(old, new_schema, "new").unionByName(failures(new, old_schema, "old"))
+    bad = F.sum(F.when(F.col("reader") == "new", F.col("missing") + F.col("unreadable")).otherwise(0)).over(Window.partitionBy()), F.sum(F.when(F.col("reader") == "old", F.col("missing") + F.col("unreadable")).otherwise(0)).over(Window.partitionBy())  # a row a field
+    verdict = F.when((bad[0] == 0) & (bad[1] == 0), "FULL").when(bad[0] == 0, "BACKWARD").when(bad[1] == 0, "FORWARD").otherwise("NONE")
+    return both.withColumn("verdict", verdict)

@@ -6,7 +6,6 @@ folder that the cluster shares, so that a restart goes on where it stopped.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ashlar.lineage import shared_dir
+from ashlar.lineage import scratch
 
 
 def read_events(spark: SparkSession, pattern: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -24,7 +23,7 @@ def read_events(spark: SparkSession, pattern: str, schema: StructType, files_per
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/ashlar-stream-{label}-{uuid.uuid4().hex}"
+    return scratch(spark, f"stream-{label}")
 
 
 def write_stream(stream: DataFrame, folder: str) -> DataFrame:
@@ -38,11 +37,11 @@ def each_batch(stream: DataFrame, folder: str, apply: Callable[[DataFrame, int],
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(apply).trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert_sink(stream: DataFrame, keys: list[str], folder: str, mode: str = "update") -> DataFrame:
-    """The last row of each key. A batch is written under its id, so one that comes twice changes nothing."""
+def upsert_sink(stream: DataFrame, keys: list[str], folder: str, mode: str = "update", order: str | None = None) -> DataFrame:
+    """The last row of each key, by batch or by the column order. A batch is written under its id, so one that comes twice changes nothing."""
     each_batch(stream, folder, lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch_id={batch}"), mode)
     log = stream.sparkSession.read.parquet(f"{folder}/rows")
-    last = F.max_by(F.struct(*stream.columns), "batch_id").alias("row")
+    last = F.max_by(F.struct(*stream.columns), F.struct(order, "batch_id") if order else F.col("batch_id")).alias("row")
     return log.groupBy(*keys).agg(last).select("row.*")
 
 
