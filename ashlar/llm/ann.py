@@ -15,7 +15,8 @@ that a third of the rows share costs no more than another. Points of a large
 cell and queries for one cell are dealt in blocks.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
-components take no part; with fewer candidates than k, all are returned; ties
+components take no part, nor do those of another length than most have (of two
+lengths as common, the shorter counts); with fewer candidates than k, all are returned; ties
 go to the smaller id; an empty table gives an empty table. Ids are unique;
 repeated rows of one id and vector count once.
 """
@@ -149,11 +150,12 @@ def nearest(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector: st
     """query_id, rank, id_col, score: the k nearest by cosine to each row where queries holds, itself excluded."""
     need = k + 1  # of the distinct vector, with the query's own id
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
-    base = rows.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).dropDuplicates(["id"])
+    base = rows.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    dims = base.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    base = base.where(F.size("v") == (dims[0] if dims else 0)).dropDuplicates(["id"])
     first = Window.partitionBy("v").orderBy("id")
     kept = base.withColumn("r", F.row_number().over(first)).where(F.col("r") <= need)
     distinct = kept.groupBy("v").agg(F.min("id").alias("key"), F.sort_array(F.collect_list("id")).alias("ids"))
-    dims = base.select(F.size("v").alias("n")).first()
     if dims is None:
         return rows.select(F.col(id_col).cast("long").alias("query_id"), F.lit(1).alias("rank"), F.col(id_col).cast("long").alias(id_col), F.lit(0.0).alias("score")).limit(0)
     turn = directions(dims[0], DIMS, seed)

@@ -288,5 +288,5 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                 yield pd.DataFrame(out)
 
     more = ", ids array<int>, decoded binary" if ids else ""
-    out = docs.select(F.col(id_col).alias("id"), "text").mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
-    return out.withColumnRenamed("id", id_col)
+    out = docs.select(F.col(id_col).cast("string").alias("id"), "text").mapInPandas(run, f"id string, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return out.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)

@@ -39,6 +39,8 @@ from ashlar.llm.text import words
 
 #: Most words that are sent to all tasks, and the longest of them; counts of the scores when weights are re-estimated.
 COMMON, COMMON_CHARS, PRIOR = 200_000, 64, 10_000.0
+#: Words of one lattice task: few bytes, but much work.
+WORDS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 START = "▁"
 
@@ -196,14 +198,14 @@ def lattice_lm(docs: DataFrame, trains: Column, path: str, id_col: str = "doc_id
     docs = docs.select(id_col, "text", F.coalesce(trains, F.lit(False)).alias("__train"))
     counts = cut(word_counts(docs, F.col("__train")), "lm-counts")
     ends = docs.agg(F.count_if("__train")).first()[0]
-    tokens, types, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
+    tokens, types, once, all_ = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count("*")).first()
     n, v = tokens + ends, types + (ends > 0)
     # whole-word arcs have the training counts; the pieces share what words seen once have, at least one token's mass
     unseen = float(max(once, 1))
-    pieces, byte = learned_weights(counts.where("c = 1"), path, prior)
+    pieces, byte = learned_weights(counts.where("c = 1").repartition(-(-once // WORDS) or 1), path, prior)
     base = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
     model = F.col("lattice") / math.log(10) + (math.log10(unseen) - math.log10(n + unseen))
-    values = cut(lattice_scores(counts, pieces, byte, unseen).select("word", "c", base.alias("base"), model.alias("model")), "lm-words")
+    values = cut(lattice_scores(counts.repartition(-(-all_ // WORDS) or 1), pieces, byte, unseen).select("word", "c", base.alias("base"), model.alias("model")), "lm-words")
     end_base = math.log10((ends + 1) / (n + v + 1))
     end_model = math.log10((ends + unseen * math.exp(piece_weights(path)[2])) / (n + unseen))
     top = values.where((F.col("c") >= common_count(counts, common)) & (F.length("word") <= COMMON_CHARS)).toPandas()
@@ -223,11 +225,11 @@ def lattice_lm(docs: DataFrame, trains: Column, path: str, id_col: str = "doc_id
                 for w, k in rare.items():
                     for x, y in zip(out.values(), (row, None, None, None, None, None, w.decode(), k), strict=True):
                         x.append(y)
-            yield pd.DataFrame({k: pd.array(x, "Int64") if k in ("id", "n_tokens", "n_known") else x for k, x in out.items()})
+            yield pd.DataFrame({k: pd.array(x, "Int64") if k in ("n_tokens", "n_known") else x for k, x in out.items()})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), "text")
-    parts = cut(rows.mapInPandas(run, "row long, id long, n_tokens long, n_known long, base double, model double, word string, times long"), "lm-texts")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("id"), "text")
+    parts = cut(rows.mapInPandas(run, "row long, id string, n_tokens long, n_known long, base double, model double, word string, times long"), "lm-texts")
     found = parts.where("word is not null").select("row", "word", "times").join(values, "word")
     found = found.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.col("base")).alias("b"), F.sum(F.col("times") * F.col("model")).alias("m"))
     out = parts.where("word is null").drop("word", "times").join(found, "row", "left")

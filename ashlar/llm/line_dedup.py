@@ -21,7 +21,9 @@ dropped in all but the first; others stay.
 
 Defined cases: null text stays null, empty text stays empty; a line that
 repeats within one document only stays; rows that repeat an id are one document;
-an empty table gives an empty table; other columns are kept.
+rows without an id keep all their lines and count for nothing;
+an empty table gives an empty table; other columns are kept, whatever their
+names, but for those named like a result.
 """
 
 from __future__ import annotations
@@ -114,9 +116,13 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", depth: int = 3, min
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", depth: int = 3, min_tokens: int = 5, min_docs: int = 2, share: int = SHARE, short_docs: int = SHORT_DOCS) -> DataFrame:
     """docs with recurring lines dropped from text, plus __lines and __dropped (numbers of lines)."""
-    drop = recurring_lines(docs, id_col, depth, min_tokens, min_docs, share, short_docs).select(F.col("id").alias("__id"), F.col("drop").alias("__drop"))
-    rows = docs.join(drop, docs[id_col] == drop["__id"], "left").drop("__id").withColumn("__all", F.split("text", "\n"))
-    keep = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), "__drop")
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.col("__all")[i]), "\n"))
-    counts = {"__lines": F.when(F.col("text").isNotNull(), F.size("__all")).otherwise(0).cast("long"), "__dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("long")}
-    return rows.withColumns(counts).withColumn("text", text).select(*docs.columns, "__lines", "__dropped")
+    kept = [c for c in docs.columns if c not in ("__lines", "__dropped")]
+    col = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    texts = docs.select(col(id_col).alias("id"), col("text").alias("text"))
+    drop = recurring_lines(texts, "id", depth, min_tokens, min_docs, share, short_docs)
+    rows = docs.select(F.struct(*(col(c) for c in kept)).alias("row"), col(id_col).alias("id"), F.split(col("text"), "\n").alias("lines"))
+    rows = rows.join(drop, "id", "left")
+    keep = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
+    text = F.when(F.col("drop").isNull(), F.col("row")["text"]).otherwise(F.array_join(F.transform(keep, lambda i: F.col("lines")[i]), "\n"))
+    counts = F.when(F.col("lines").isNotNull(), F.size("lines")).otherwise(0).cast("long"), F.coalesce(F.size("drop"), F.lit(0)).cast("long")
+    return rows.select(*((text if c == "text" else F.col("row").getField(c)).alias(c) for c in kept), counts[0].alias("__lines"), counts[1].alias("__dropped"))

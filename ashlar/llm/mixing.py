@@ -120,8 +120,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", weights: Sequence[float] = (1.0
 
 
 def take_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with each row repeated as often as the mix takes it. Copies are read per (id, source)."""
-    once = mixed.where("copies > 0").groupBy(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
-    rows = docs.join(once, docs[id_col].eqNullSafe(once["__id"]) & docs["source"].eqNullSafe(once["__source"]))
-    rows = rows.where(F.size(words(F.col("text"))) == F.col("__size"))
-    return rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """docs, all columns, with each row repeated as often as the mix takes it. Copies are read per id, source and size."""
+    col = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    once = mixed.where("copies > 0").groupBy(F.col(id_col).alias("id"), F.col("source").alias("source"), F.col("size").alias("size")).agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.struct(*map(col, docs.columns)).alias("row"), col(id_col).alias("d_id"), col("source").alias("d_source"), F.size(words(col("text"))).cast("long").alias("d_size"))
+    rows = rows.join(once, F.col("d_id").eqNullSafe(F.col("id")) & F.col("d_source").eqNullSafe(F.col("source")) & (F.col("d_size") == F.col("size")))
+    rows = rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("n"))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

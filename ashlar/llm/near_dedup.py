@@ -6,16 +6,23 @@ them, and components come from alternating large-star and small-star.
 
 Documents with one set are a class and stand in by their smallest id. In a
 band's bucket every member is first compared with the bucket's smallest id, so
-a bucket of any size gives no more pairs than members. Once components are
-known, what is left to compare are pairs of one bucket in different components:
-small buckets pair them by a join, large ones in blocks of full sets, so no
-link between different texts that share a band is lost. With 40 bands of 5
-minima a pair of similarity 0.8 shares no band with a chance of 1.3e-7.
+a bucket of any size gives no more pairs than members. Large buckets whose
+members are in several components then have further stars, around members drawn
+by hash, for a few rounds. What is left to compare are pairs of one bucket in
+different components: small buckets pair them by a join, large ones in blocks
+of full sets, so no link between different texts that share a band is lost.
+
+With 40 bands of 5 minima a pair of similarity 0.8 shares no band with a chance
+of 1.3e-7. The screen drops a pair of that similarity if fewer than 0.63 (six
+standard deviations below 0.8) of its 200 minima are equal, with a chance of
+2.0e-8 by the binomial sum. Pairs of a higher similarity are missed less often.
 
 Defined cases: null, empty or wordless text has an empty set, links with
 nothing and is kept; fewer words than a shingle make the whole sequence one
-shingle; rows that repeat an id are one document; an empty table gives an empty
-table.
+shingle; rows that repeat an id are one document, whose text is the one with
+the greatest hash where they differ; a row without an id links with nothing, is
+kept and has no component; an empty table gives an empty table; other columns,
+whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -34,6 +41,8 @@ from ashlar.lineage import cut, drop_cut
 BANDS, ROWS = 40, 5
 #: Buckets of up to that many classes are compared by a join, larger ones in blocks.
 SMALL, BLOCK = 12, 1024
+#: Standard deviations below the limit at which the screen drops a pair; rounds of further stars.
+SIGMAS, STARS = 6, 3
 MASK = 2**64 - 1
 
 
@@ -69,23 +78,23 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, k: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """id, n (set size), key (16 bytes that name the set), sig (16 bits of each minimum), bands (one hash each; both null for empty sets)."""
+    """id, h (the text's hash), n (set size), key (16 bytes that name the set), sig (16 bits of each minimum), bands (one hash each; both null for empty sets)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = hash_family(bands * rows, seed)
         for pdf in batches:
             out = []
-            for i, text in zip(pdf["id"], pdf["text"], strict=True):
+            for i, h, text in zip(pdf["id"], pdf["h"], pdf["text"], strict=True):
                 s = shingle_hashes(text, k)
                 if not len(s):
-                    out.append((i, 0, None, None, None))
+                    out.append((i, h, 0, None, None, None))
                     continue
                 m = minima(s, a, b)
                 band = m.reshape(bands, rows)
-                out.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), (m & 0xFFFF).astype(np.uint16).tobytes(), [xxhash.xxh3_64_intdigest(band[j].tobytes(), seed=j) - 2**63 for j in range(bands)]))
-            yield pd.DataFrame(out, columns=["id", "n", "key", "sig", "bands"])
+                out.append((i, h, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), (m & 0xFFFF).astype(np.uint16).tobytes(), [xxhash.xxh3_64_intdigest(band[j].tobytes(), seed=j) - 2**63 for j in range(bands)]))
+            yield pd.DataFrame(out, columns=["id", "h", "n", "key", "sig", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), "text").mapInPandas(run, "id long, n long, key binary, sig binary, bands array<long>")
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64("text").alias("h"), "text").mapInPandas(run, "id string, h long, n long, key binary, sig binary, bands array<long>").withColumn("id", F.col("id").cast("long"))
 
 
 def likely(sig_a: pd.Series, sig_b: pd.Series, least: float) -> pd.Series:
@@ -104,7 +113,8 @@ def full_sets(docs: DataFrame, id_col: str, k: int, ids: DataFrame) -> DataFrame
             yield pd.DataFrame({"id": pdf["id"], "s": [shingle_hashes(t, k).view(np.int64) for t in pdf["text"]]})
 
     # merged at every size, so that small inputs tell what large ones need
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
+    texts = texts.groupBy("id").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
     return texts.mapInPandas(sets, "id long, s array<long>")
 
 
@@ -208,22 +218,48 @@ def _family_links(members: DataFrame, classes: DataFrame, docs: DataFrame, id_co
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> DataFrame:
     """One row for each row of docs: id_col, n_shingles, component_id, kept (whether it is its component's smallest id)."""
-    least = percent / 100 - 4.5 * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
+    least = percent / 100 - SIGMAS * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
     full = cut(signatures(docs, id_col, k, bands, rows, seed), "signatures")
-    signed = cut(full.select("id", "n", "key"), "sets")
-    classes = cut(full.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
+    signed = cut(full.select("id", "h", "n", "key"), "sets")
+    one = full.where("n > 0 and id is not null")
+    texts_of = signed.where("id is not null").groupBy("id").agg(F.max("h").alias("h"), F.min("h").alias("other"))
+    several = cut(texts_of.where("h <> other").select("id", "h"), "repeated-ids")
+    if not several.isEmpty():
+        lost = signed.join(several.withColumnRenamed("h", "own"), "id").where("h <> own").select("id", "h").distinct()
+        one = one.join(lost, ["id", "h"], "left_anti")
+    classes = cut(one.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
     drop_cut(full)
     by_band = classes.select("id", F.explode("bands").alias("h"))
     buckets = cut(by_band.groupBy("h").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1"), "buckets")
     members = cut(by_band.join(buckets, "h"), "bucket-members")
+    drop_cut(buckets)
     stars = members.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     links = confirm(stars, classes, docs, id_col, k, percent, least)
     found = cut(components(links), "components")
 
-    # pairs of one bucket that the stars left in different components
-    placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = placed.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
-    open_ = cut(placed.where("size > 2").join(apart, "h", "left_semi").select("h", "a", "id", "component", "size"), "open-buckets")
+    def open_buckets(found: DataFrame) -> DataFrame:
+        """Members, with components, of the buckets that hold several components."""
+        placed = members.where("size > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        apart = placed.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
+        return cut(placed.join(apart, "h", "left_semi").select("h", "a", "id", "component", "size"), "open-buckets")
+
+    open_ = open_buckets(found)
+    for turn in range(STARS):
+        large = open_.where(F.col("size") > SMALL)
+        if large.isEmpty():
+            break
+        centre = large.groupBy("h").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("c"))
+        pairs = large.join(centre, "h").where(F.col("component") != F.col("c.component"))
+        pairs = cut(pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct(), "star-pairs")
+        new = confirm(pairs, classes, docs, id_col, k, percent, least)
+        drop_cut(pairs)
+        if new.isEmpty():
+            break
+        links = links.union(new)
+        found = cut(components(links), "components")
+        drop_cut(open_)
+        open_ = open_buckets(found)
+
     few = open_.where(F.col("size") <= SMALL)
     other = few.select("h", F.col("id").alias("b"), F.col("component").alias("component_b"))
     pairs = few.select("h", F.col("id").alias("a"), "component").join(other, "h").where("a < b and component <> component_b").select("a", "b").distinct()
@@ -234,7 +270,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", k: int = 5, percent: int
         more = more.union(_family_links(large.select("a", "id", "component"), classes, docs, id_col, k, percent, least))
     if not more.isEmpty():
         found = cut(components(links.union(more)), "components")
+    for old in (pairs, open_, members):
+        drop_cut(old)
 
     by_key = classes.select("key", F.col("id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("id", "n", "key").join(by_key, "key", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    rows_ = signed
+    if not several.isEmpty():  # all rows of an id have the component of the text that counts
+        counted = signed.join(several, ["id", "h"], "left_semi").select("id", F.col("key").alias("own")).dropDuplicates(["id"])
+        rows_ = signed.join(counted, "id", "left").withColumn("key", F.coalesce("own", "key"))
+    out = rows_.select("id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(by_key, "key", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

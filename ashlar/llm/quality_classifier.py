@@ -10,7 +10,8 @@ left out by a hash of their id, a documented bound of the fit alone; all
 documents are scored.
 
 Defined cases: null and empty texts have the statistics of no words; rows that
-repeat an id share a label, the largest; null labels teach nothing; without
+repeat an id share a label, the largest, and teach by the greatest vector of
+statistics among them; null labels teach nothing; without
 labels every score is 0.5; an empty table gives an empty table.
 """
 
@@ -65,7 +66,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learns: Column, id_col: s
     """
     stats = cut(statistics(docs.select(id_col, "text"), [id_col]), "classifier-statistics")
     truth = labels.where(F.col(label).isNotNull() & F.coalesce(learns, F.lit(False))).groupBy(id_col).agg((F.max(label) > 0).cast("double").alias("y"))
-    rows = stats.join(truth, id_col).dropDuplicates([id_col]).withColumn("u", uniform(F.col(id_col), F.lit(seed)))
+    rows = stats.join(truth, id_col).groupBy(id_col).agg(F.max("x").alias("x"), F.max("y").alias("y")).withColumn("u", uniform(F.col(id_col), F.lit(seed)))
     rows = cut(rows, "classifier-labelled")
     n = rows.count()
     if not n:
@@ -102,8 +103,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learns: Column, id_col: s
     else:
         level = np.linspace(BIN_LOW, BIN_HIGH, BINS).clip(0, 1)
     table = F.array(*(F.lit(float(x)) for x in level))
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = stats.mapInPandas(raw, f"`{id_col}` {kind}, raw double")
+    scored = stats.select(F.col(id_col).cast("string").alias("id"), "x").mapInPandas(raw, "id string, raw double")
     # within a bin of equal level the raw score still orders
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.999 * F.element_at(table, place + 1) + 0.001 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("raw")))))
-    return scored.select(id_col, score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return scored.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

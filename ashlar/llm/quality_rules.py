@@ -10,7 +10,7 @@ Defined cases: null or empty text has no words and fails the base limits; null
 languages and sources are groups of their own; a group with fewer than
 ``min_group`` documents is judged by its language, or by all documents where
 the language is small too; repeated rows are judged alike; an empty table gives
-an empty table; other columns are kept unless named like a result.
+an empty table; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations

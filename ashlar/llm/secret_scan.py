@@ -9,7 +9,8 @@ pattern. A rule without a mandatory trigram scans all documents.
 
 Defined cases: null and empty texts have no spans; trigrams are of ASCII
 lower-cased UTF-8 bytes, so they only ever admit more; texts are searched
-whole; repeated rows are searched alike; an empty table gives an empty table.
+whole; repeated rows are searched alike; an empty table gives an empty table;
+other columns, whatever their names, aren't read.
 Places are code points, ends exclusive.
 """
 
@@ -121,19 +122,24 @@ def trigram_query(pattern: str, flags: int = 0) -> list[frozenset[str]]:
     return list(dict.fromkeys(needs))
 
 
+def places(asked: list[str]) -> np.ndarray:
+    """For each three bytes, which of the asked trigrams they are, or -1."""
+    wanted = np.full(1 << 24, -1, np.int16)
+    for i, t in enumerate(asked):
+        b = t.encode()
+        wanted[b[0] << 16 | b[1] << 8 | b[2]] = i
+    return wanted
+
+
 class Segment:
     """Postings of the asked trigrams over one batch of texts."""
 
-    def __init__(self, texts: list[str], asked: list[str]) -> None:
+    def __init__(self, texts: list[str], asked: list[str], wanted: np.ndarray) -> None:
         self.n = len(texts)
         raw = [x.encode().lower() for x in texts]
         ends = np.cumsum([len(x) + 2 for x in raw])  # two zero bytes part texts
         text = np.frombuffer(b"\0\0".join(raw) + b"\0\0", np.uint8)
         self.of = {}
-        wanted = np.full(1 << 24, -1, np.int16)
-        for i, t in enumerate(asked):
-            b = t.encode()
-            wanted[b[0] << 16 | b[1] << 8 | b[2]] = i
         for begin in range(0, max(len(text) - 2, 0), 1 << 20):
             part = text[begin : begin + (1 << 20) + 2].astype(np.int32)
             which = wanted[part[:-2] << 16 | part[1:-1] << 8 | part[2:]]
@@ -159,18 +165,18 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", rules: tuple[Rule, ...]
         queries = [[q for q in trigram_query(r.pattern, r.flags) if all(len(t.encode()) == 3 for t in q)] for r in rules]
         finders = [re.compile(r.pattern, r.flags) for r in rules]
         asked = sorted({t for q in queries for any_of in q for t in any_of})
+        wanted = places(asked)
         for pdf in batches:
             texts = ["" if x is None else x for x in pdf["text"]]
-            segment = Segment(texts, asked)
+            segment = Segment(texts, asked, wanted)
             spans: list[list[tuple]] = [[] for _ in texts]
             for order, (rule, query, finder) in enumerate(zip(rules, queries, finders, strict=True)):
                 for i in segment.candidates(query):
                     spans[i] += [(m.start(), order, rule.kind, m.end(), m[0]) for m in finder.finditer(texts[i]) if m.end(rule.group) - m.start(rule.group) >= rule.least]
             yield pd.DataFrame({"id": pdf["id"], "spans": [[{"kind": k, "start": s, "end": e, "text": t} for s, _, k, e, t in sorted(x, key=lambda y: y[:2])] for x in spans]})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), "text").mapInPandas(run, f"id {kind}, spans array<struct<kind:string,start:int,end:int,text:string>>")
-    return out.withColumnRenamed("id", id_col)
+    out = docs.select(F.col(id_col).cast("string").alias("id"), "text").mapInPandas(run, f"id string, spans array<struct<kind:string,start:int,end:int,text:string>>")
+    return out.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 
 def span_digest(kinds: list[str] | None = None) -> Column:

@@ -2,8 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of documents. Nulls, empty tables and repeated rows
-have the results that the operators state; an id stands for all rows that
-carry it, and near-dedup keeps one row of each id.
+have the results that the operators state. An id stands for all rows that carry
+it; near-dedup keeps one row of each id, that of the text with the greatest
+hash, and all rows without an id. Other columns of the input aren't read.
 """
 
 from __future__ import annotations
@@ -18,32 +19,42 @@ from ashlar.llm.line_dedup import line_dedup
 from ashlar.llm.mixing import mix, take_mix
 from ashlar.llm.near_dedup import near_dedup
 from ashlar.llm.quality_rules import quality_rules
-from ashlar.llm.text import table
+from ashlar.llm.text import table, words
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The quality rules' least number of words.
+MIN_WORDS = 50
 
 
 def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """docs but for the ids that are not kept."""
-    out = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(out, docs["doc_id"].eqNullSafe(out["__id"]), "left_anti")
+    return docs.join(judged.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality rules reject."""
-    return _without(docs.select(COLUMNS), quality_rules(docs))
+    row = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row"))  # so that rows of one id, or of none, are judged on their own
+    rejected = quality_rules(row, "row").where(~F.col("kept")).select("row").distinct()
+    return row.join(rejected, "row", "left_anti").select(COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines of templates that recur across documents; n_chars follows."""
-    out = line_dedup(docs.select(COLUMNS)).drop("__lines", "__dropped")
+    """Without lines of templates that recur across documents; n_chars follows.
+
+    A document that lost lines and is left with fewer words than the quality
+    rules ask for was made of lines that other documents have: it goes.
+    """
+    out = line_dedup(docs.select(COLUMNS))
+    out = out.where((F.col("__dropped") == 0) | (F.size(words(F.col("text"))) >= MIN_WORDS)).select(COLUMNS)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
     kept = _without(docs.select(COLUMNS), near_dedup(docs, k=5))
-    return kept.dropDuplicates(["doc_id"])
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    one = kept.where("doc_id is not null").groupBy("doc_id").agg(F.max_by(F.struct(*rest), F.struct(F.xxhash64("text"), F.xxhash64(*rest))).alias("r"))
+    return one.select("doc_id", "r.*").select(COLUMNS).unionByName(kept.where("doc_id is null"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +69,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_stage), ("line dedup", line_stage), ("near-dedup", near_stage), ("mixing", mix_stage), ("byte-level BPE", bpe_stage)]
 
-#: SQL can't express MinHash components, the covariance estimates or BPE; tests compare the stages with plain versions.
+#: SQL can't express MinHash components, the covariance estimates or BPE; tests/llm/test_pipeline.py compares the stages with plain versions.
 ORACLE_SQL = None
 
 

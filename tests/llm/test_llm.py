@@ -22,9 +22,9 @@ from ashlar.llm.line_dedup import line_dedup
 from ashlar.llm.main_text import extract, main_text
 from ashlar.llm.mixing import mix, source_targets, take_mix
 from ashlar.llm.near_dedup import components, near_dedup
-from ashlar.llm.quality_classifier import quality_scores
+from ashlar.llm.quality_classifier import pool, quality_scores
 from ashlar.llm.quality_rules import base_statistics, quality_rules
-from ashlar.llm.secret_scan import secret_scan, trigram_query
+from ashlar.llm.secret_scan import RULES, secret_scan, trigram_query
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __extra int"
@@ -384,3 +384,84 @@ def test_line_dedup_by_all_pairs(spark, docs, min_docs):
     texts = {x.doc_id: x.text for x in docs.select("doc_id", "text").collect()}
     got = {x.doc_id: x.text for x in line_dedup(docs.select("doc_id", "text"), min_docs=min_docs).where("text is not null").collect()}
     assert got == plain_line_dedup(texts, min_docs)
+
+
+CLASHES = ["id", "h", "n", "t", "at", "row", "word", "c", "p", "v", "q", "b", "x", "key", "sig", "size", "copies", "drop", "lines", "line", "leaf", "exact", "kept", "g", "d2", "x0", "m0", "doc", "d_id", "component", "__id", "__drop", "__all", "__lines", "__dropped", "__words", "__h", "__train", "__html"]
+
+
+def test_columns_that_clash(spark, docs):
+    """Extra columns of any name change nothing."""
+    rows = docs.limit(60).collect()
+    plain = spark.createDataFrame(rows, docs.schema).coalesce(1)
+    other = plain.withColumns({c: F.lit("clash") for c in CLASHES})
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    same = {
+        "quality": lambda d: quality_rules(d),
+        "mix": lambda d: mix(d),
+        "take": lambda d: take_mix(d, mix(d)).select(docs.columns),
+        "classifier": lambda d: quality_scores(d, labels, ~held).withColumn("score", F.round("score", 9)),
+        "secrets": lambda d: secret_scan(d).withColumn("spans", F.col("spans").cast("string")),
+        "bpe": lambda d: encode_decode(d, BPE, public_tokenizers.PATTERN),
+        "near": lambda d: near_dedup(d, k=2),
+        "lines": lambda d: line_dedup(d).select("doc_id", "text", "__lines", "__dropped"),
+    }
+    for name, f in same.items():
+        assert sorted(map(repr, f(plain).collect())) == sorted(map(repr, f(other).collect())), name
+    kept = line_dedup(other)
+    assert sorted(kept.columns) == sorted(other.columns) and kept.select("id", "drop").distinct().collect() == [("clash", "clash")]
+    assert take_mix(other, mix(other)).columns == other.columns
+    vectors = spark.createDataFrame([(i, [float(i), 1.0, 0.5], "x", "y") for i in range(30)] + [(30, [1.0], "x", "y")], "vec_id long, embedding array<float>, id string, v string")
+    assert nearest(vectors, F.col("vec_id") % 10 == 0).groupBy("query_id").count().collect() and nearest(vectors, F.col("vec_id") == 30).count() == 0
+
+
+def test_near_dedup_repeated_and_missing_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    df = spark.createDataFrame([(1, a), (1, a), (2, a), (3, b), (3, a), (None, a), (None, b), (4, b), (None, None)], "doc_id long, text string")
+    counts = {t: h for t, h in df.select("text", F.xxhash64("text")).distinct().collect()}
+    three = 1 if counts[a] > counts[b] else 3
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept, r.n_shingles) for r in near_dedup(df, k=2).collect())
+    four = 4 if three == 1 else 3
+    assert got == sorted([("1", "1", True, 59), ("1", "1", True, 59), ("2", "1", False, 59), ("3", str(three), three == 3, 59), ("3", str(three), three == 3, 59), ("4", str(four), four == 4, 59), ("None", "None", True, 59), ("None", "None", True, 59), ("None", "None", True, 0)])
+
+
+def test_secrets_by_plain_search(spark, docs):
+    """Every rule searched in every text, without the index."""
+    want, r = {}, random.Random(4)
+    parts = ["password: hunter2hunter2", "API_KEY='abcd-efgh_1'", "token=short", "AKIA" + "Q2" * 8, "akia" + "Q2" * 8, "0f" * 17, "sk_live_" + "a1" * 9, "plain words", "\u00e9t\u00e9", "ghp_" + "Zz9" * 12, "-----BEGIN RSA PRIVATE KEY-----"]
+    made = [(10**6 + i, " ".join(r.choice(parts) for _ in range(r.randint(1, 6)))) for i in range(60)]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    for r in docs.collect():
+        spans = [(m.start(), k, rule.kind, m.end(), m[0]) for k, rule in enumerate(RULES) for m in re.finditer(rule.pattern, r.text or "", rule.flags) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+        want[r.doc_id] = [(x[2], x[0], x[3], x[4]) for x in sorted(spans, key=lambda y: y[:2])]
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan(docs).collect()} == want and any(want.values())
+    rows = spark.createDataFrame([(None, None, 1), (7, "token=abcdefgh", 2), (7, "token=abcdefgh", 2)], "doc_id long, text string, spans int")
+    assert sorted((str(r.doc_id), len(r.spans)) for r in secret_scan(rows).collect()) == [("7", 1), ("7", 1), ("None", 0)]
+
+
+def test_isotonic_by_its_formula():
+    r = np.random.default_rng(1)
+    for n in (1, 2, 7, 30):
+        total = r.integers(1, 9, n).astype(float)
+        good = np.floor(total * r.random(n))
+        mean = lambda a, b: good[a : b + 1].sum() / total[a : b + 1].sum()
+        want = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        assert np.allclose(pool(total, good), want)
+
+
+def test_nearest_on_the_given_vectors(spark):
+    """Recall against brute force of at least 0.9."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = df.orderBy("vec_id").collect()
+    ids, u = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    got = {}
+    for r in nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = u @ u[q]
+        s[q] = -9
+        hits += len(got[ids[q]] & set(ids[np.lexsort((ids, -s))[:5]].tolist()))
+        total += 5
+    assert hits >= 0.9 * total
