@@ -48,3 +48,50 @@ def shortest_path(edges: DataFrame, start: object, goal: object, most: int) -> D
         front = cut(new.join(seen, "node", "left_anti").select("node", F.concat("nodes", F.array("node")).alias("nodes")), "path")
         seen = seen.union(front.select("node"))
     return front.select("nodes", (F.size("nodes") - 1).alias("hops")).limit(0)
+
+
+def reachable_delta(closure: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """The closure after edges (src, dst) are added and removed: only sources that reached a changed edge's start are made anew."""
+    starts = added.select("src").union(removed.select("src")).distinct()
+    touched = cut(closure.join(starts.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src").union(starts).distinct(), "touched")
+    now = cut(edges.select("src", "dst").join(removed.select("src", "dst"), ["src", "dst"], "left_anti").union(added.select("src", "dst")).distinct(), "edges")
+    step = now.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+    again = front = cut(now.join(touched, "src", "left_semi"), "closure")
+    for _ in range(most_rounds):
+        new = front.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
+        front = cut(new.join(again, ["src", "dst"], "left_anti"), "closure")
+        if front.isEmpty():
+            return closure.join(touched, "src", "left_anti").unionByName(again)
+        again = cut(again.union(front), "closure")
+    raise RuntimeError("the closure did not settle")
+
+
+def network_picks(edges: DataFrame, start: object, hops: int, bought: DataFrame) -> DataFrame:
+    """item, buyers: what the network within so many hops bought and the start did not. bought: node, item."""
+    friends = k_hop(edges, start, hops).where(F.col("node") != F.lit(start)).select("node").distinct()
+    theirs = bought.join(friends, "node", "left_semi").distinct()
+    own = bought.where(F.col("node") == F.lit(start)).select("item").distinct()
+    return theirs.join(own, "item", "left_anti").groupBy("item").agg(F.count("*").alias("buyers"))
+
+
+def network_spend(edges: DataFrame, start: object, hops: int, spent: DataFrame, *keys: str) -> DataFrame:
+    """keys, total: what the network within so many hops spent. spent: node, amount and keys."""
+    friends = k_hop(edges, start, hops).where(F.col("node") != F.lit(start)).select("node").distinct()
+    return spent.join(friends, "node", "left_semi").groupBy(*keys).agg(F.sum("amount").alias("total"))
+
+
+def lineage_edges(runs: DataFrame) -> DataFrame:
+    """src, dst: each input data set of a job to each of its outputs. runs: job, side (input or output), dataset."""
+    sides = [runs.where(F.col("side") == s).select("job", F.col("dataset").alias(n)).distinct() for s, n in (("input", "src"), ("output", "dst"))]
+    return sides[0].join(sides[1], "job").select("src", "dst").distinct()
+
+
+def upstream(edges: DataFrame, dataset: str) -> DataFrame:
+    """dataset: all that a data set is made from, at any distance."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    seen = front = cut(back.where(F.col("src") == F.lit(dataset)).select(F.col("dst").alias("dataset")).distinct(), "upstream")
+    while not front.isEmpty():
+        new = back.join(front.withColumnRenamed("dataset", "src"), "src").select(F.col("dst").alias("dataset")).distinct()
+        front = cut(new.join(seen, "dataset", "left_anti"), "upstream")
+        seen = seen.union(front)
+    return seen

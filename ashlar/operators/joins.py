@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ashlar.operators.ordered import in_ranges
+
 
 def reconcile(a: DataFrame, b: DataFrame, keys: list[str], compare: str) -> DataFrame:
     """Full outer join with status: left_only, right_only, mismatch or ok."""
@@ -19,39 +21,78 @@ def top_n_per(parents: DataFrame, children: DataFrame, on: str, order: list[Colu
     return parents.join(ranked, on, how)
 
 
+#: Bins of a level are so many times as wide as those of the level below.
+STEP = 16
+
+
+def _level(length: Column, bin_width: int) -> Column:
+    """The level whose bins are at least as wide as a range, so that it lies in two of them at most."""
+    return F.greatest(F.ceil(F.round(F.log(F.greatest(length, F.lit(1)) / bin_width) / F.log(F.lit(float(STEP))), 9)), F.lit(0)).cast("int")
+
+
+def _width(level: Column, bin_width: int) -> Column:
+    return (F.pow(F.lit(float(STEP)), level) * bin_width).cast("long")
+
+
 def overlap_join(a: DataFrame, b: DataFrame, key: str, start: str, end: str, bin_width: int) -> DataFrame:
     """Pairs whose half-open integer ranges [start, end) meet, with the intersection.
 
-    Ranges are dealt to bins of bin_width, so that a hot key isn't paired
-    wholly; a pair is given in the first bin that both are in. b's columns are
-    prefixed with other_.
+    Ranges are dealt to bins, so that a hot key isn't paired wholly. Bins come
+    in levels: a range is in the level of its length, where it lies in one or
+    two bins, and in all coarser ones that are in use, so a range of any length
+    gives few rows. A pair meets in the coarser of its two levels, in the bin
+    where its intersection begins. b's columns are prefixed with other_.
     """
-    cut_up = lambda df: df.where(F.col(start) < F.col(end)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / bin_width), F.floor((F.col(end) - 1) / bin_width))))
-    left, right = cut_up(a), cut_up(b)
-    right = right.select(*(F.col(c).alias(c if c in (key, "_bin") else f"other_{c}") for c in right.columns))
+    fits = lambda df: df.where(F.col(start) < F.col(end)).withColumn("_own", _level(F.col(end) - F.col(start), bin_width))
+    sides = [fits(a), fits(b)]
+    top = max(df.agg(F.coalesce(F.max("_own"), F.lit(0))).first()[0] for df in sides)
+
+    def deal(df: DataFrame) -> DataFrame:
+        rows = df.withColumn("_level", F.explode(F.sequence(F.col("_own"), F.lit(top)))) if top else df.withColumn("_level", F.lit(0))
+        width = _width(F.col("_level"), bin_width)
+        return rows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
+
+    left, right = map(deal, sides)
+    right = right.select(*(F.col(c).alias(c if c in (key, "_bin", "_level") else f"other_{c}") for c in right.columns))
     lo, hi = F.greatest(start, f"other_{start}"), F.least(end, f"other_{end}")
-    return left.join(right, [key, "_bin"]).where((lo < hi) & (F.col("_bin") == F.floor(lo / bin_width))).withColumns({"from_": lo, "to_": hi}).drop("_bin")
+    met = (lo < hi) & (F.col("_level") == F.greatest("_own", "other__own")) & (F.col("_bin") == F.floor(lo / _width(F.col("_level"), bin_width)))
+    return left.join(right, [key, "_level", "_bin"]).where(met).withColumns({"from_": lo, "to_": hi}).drop("_bin", "_level", "_own", "other__own")
 
 
 def contains_join(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str, end: str, bin_width: int) -> DataFrame:
-    """Points with the ranges [start, end) of their key that contain them."""
-    binned = ranges.where(F.col(start) < F.col(end)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / bin_width), F.floor((F.col(end) - 1) / bin_width))))
-    return points.withColumn("_bin", F.floor(F.col(at) / bin_width)).join(binned, [key, "_bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bin")
+    """Points with the ranges [start, end) of their key that contain them. A range is in the one or two bins of its level, a point in one bin of each level in use."""
+    fits = ranges.where(F.col(start) < F.col(end)).withColumn("_level", _level(F.col(end) - F.col(start), bin_width))
+    top = fits.agg(F.coalesce(F.max("_level"), F.lit(0))).first()[0]
+    width = _width(F.col("_level"), bin_width)
+    binned = fits.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
+    dealt = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(top))) if top else F.lit(0)).withColumn("_bin", F.floor(F.col(at) / width))
+    return dealt.join(binned, [key, "_level", "_bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bin", "_level")
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts: str, values: list[str], ttl_seconds: int | None = None, tie: str | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts: str, values: list[str], ttl_seconds: int | None = None, tie: str | None = None, ranges: int | None = None) -> DataFrame:
     """left with the values of the latest right row at or before left_ts.
 
     Both sides meet in one window per key, in order of time, so no range join
     is needed. Rows older than ttl_seconds (inclusive) give nulls; among equal
-    times the largest tie wins.
+    times the largest tie wins. Where keys may be hot, ranges deals each key's
+    time line to so many tasks; what a range ends with is carried to the next.
     """
     tied = F.col(tie) if tie else F.lit(None).cast("bigint")
     lefts = left.select(F.col(on), F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[tie].dataType if tie else "bigint").alias("_tie"), F.struct(*left.columns).alias("_row"))
     rights = right.select(F.col(on), F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), tied.alias("_tie"), F.struct(F.col(right_ts).alias("_at"), *values).alias("_found"))
     both = lefts.unionByName(rights, allowMissingColumns=True)
-    order = Window.partitionBy(on).orderBy("_ts", "_side", F.col("_tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_f", F.last("_found", ignorenulls=True).over(order)).where("_side = 1")
+    by_time = ["_ts", "_side", F.col("_tie").asc_nulls_first()]
+    if ranges:
+        both = in_ranges(both, [on, "_ts"], ranges)
+    parts = [on, "_range"] if ranges else [on]
+    order = Window.partitionBy(*parts).orderBy(*by_time).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_f", F.last("_found", ignorenulls=True).over(order))
+    if ranges:
+        found = F.max_by("_found", F.when(F.col("_side") == 0, F.struct("_ts", "_tie"))).alias("_end")
+        ends = both.groupBy(*parts).agg(found)
+        before = F.last("_end", ignorenulls=True).over(Window.partitionBy(on).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+        out = out.join(ends.select(*parts, before.alias("_before")), parts).withColumn("_f", F.coalesce("_f", "_before"))
+    out = out.where("_side = 1")
     fresh = F.col("_f").isNotNull()
     if ttl_seconds is not None:
         fresh &= F.unix_timestamp(F.col("_ts").cast("timestamp")) - F.unix_timestamp(F.col("_f")["_at"].cast("timestamp")) <= ttl_seconds

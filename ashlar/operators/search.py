@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ashlar.lineage import cut
+
 
 def postings(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """id, term, tf, len: lower-cased ASCII word tokens."""
@@ -27,6 +29,55 @@ def bm25(index: DataFrame, terms: list[str], k: int, n_docs: int, mean_len: floa
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
+def bm25_docs(docs: DataFrame, id_col: str, fields: dict[str, float], terms: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """id, score: the k best by BM25, summed over text fields with their boosts; ties go to the smaller id.
+
+    Every field is tokenised once and reduced to its length and the counts of
+    the asked terms; these small rows are kept, and the collection's figures are
+    sums over them. Nothing is exploded.
+    """
+    columns = []
+    for name in fields:
+        tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(name), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+        counts = F.aggregate(tokens, F.array(F.lit(0), *(F.lit(0) for _ in terms)), lambda acc, x: F.zip_with(acc, F.array(F.lit(1), *((x == t).cast("int") for t in terms)), lambda p, q: p + q))
+        columns.append(counts.alias(f"_{name}"))
+    small = cut(docs.select(F.col(id_col).alias("id"), *columns), "bm25")
+    sums = small.agg(F.count("*"), *(f for name in fields for f in (F.avg(F.col(f"_{name}")[0]), *(F.count_if(F.col(f"_{name}")[i + 1] > 0) for i in range(len(terms)))))).first()
+    n, rest = sums[0], iter(sums[1:])
+    score = F.lit(0.0)
+    hit = F.lit(False)
+    for name, boost in fields.items():
+        mean = next(rest) or 1.0
+        length = F.col(f"_{name}")[0]
+        for i in range(len(terms)):
+            df, tf = next(rest), F.col(f"_{name}")[i + 1]
+            idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
+            score = score + F.lit(boost * idf * (k1 + 1)) * tf / (tf + k1 * (1 - b + b * length / mean))
+            hit = hit | (tf > 0)
+    return small.where(hit).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
+def snippet(text: Column, terms: list[str], around: int = 30) -> Column:
+    """The passage around the first term that is met, with the terms marked; null without a hit."""
+    any_of = "|".join(terms)
+    passage = F.regexp_extract(text, rf"(?is)(.{{0,{around}}}\b(?:{any_of})\b.{{0,{around}}})", 1)
+    return F.when(passage != "", F.regexp_replace(passage, rf"(?i)\b({any_of})\b", "[$1]"))
+
+
+def retrieve(changes: DataFrame, path: str, seq: str, text: str, queries: DataFrame, k: int, dim: int = 256) -> DataFrame:
+    """query_id, path, score: the k nearest documents of each query, by hashed embeddings, in the index after all file changes.
+
+    changes: added, edited (a later text) and removed (null text) files;
+    documents without a word are no part of the index. queries: query_id, text.
+    """
+    from ashlar.operators.vectors import hash_embed
+
+    now = changes.groupBy(path).agg(F.max_by(text, seq).alias("text")).where(F.col("text").rlike("[A-Za-z0-9]"))
+    docs = hash_embed(now.select(F.col(path).alias("path"), "text"), "path", "text", dim)
+    asked = hash_embed(queries.select(F.col("query_id").cast("string").alias("path"), "text"), "path", "text", dim)
+    return knn_many(docs, asked, "path", "vector", k)
+
+
 def rrf(lists: list[DataFrame], k: int, c: int = 60) -> DataFrame:
     """id, score: reciprocal-rank fusion of lists of (id, rank)."""
     every = lists[0]
@@ -45,18 +96,20 @@ def chunk(df: DataFrame, id_col: str, text: str, most: int, overlap: int) -> Dat
 
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
 def knn(base: DataFrame, id_col: str, vector: str, query: list[float], k: int, where: Column | None = None) -> DataFrame:
-    """The k nearest to one vector by cosine, filtered before ranking; ties go to the smaller id."""
+    """The k nearest to one vector by cosine, filtered before ranking; ties go to the smaller id. Null and zero vectors have no score and are left out."""
     rows = base if where is None else base.where(where)
     score = F.round(cosine(F.col(vector), F.array(*(F.lit(float(x)) for x in query))), 6)
-    return rows.select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    return rows.select(id_col, score.alias("score")).where("score is not null").orderBy(F.desc("score"), id_col).limit(k)
+
 
+def knn_many(base: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, where: Column | None = None, block: int = 4000, metric: str = "cosine") -> DataFrame:
+    """query_id, id_col, score: the k nearest of each query among base, filtered before ranking; ties go to the smaller id.
 
-def knn_many(base: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, where: Column | None = None, block: int = 4000) -> DataFrame:
-    """query_id, id_col, score: the k nearest by cosine of each query among base, filtered before ranking; ties go to the smaller id.
+    metric: cosine, or l2, whose score is the distance's negative.
 
     Blocks of queries meet blocks of base, one pair of them in a task; each gives
     its k best per query, which are then merged. Vectors that are null or zero
@@ -74,7 +127,7 @@ def knn_many(base: DataFrame, queries: DataFrame, id_col: str, vector: str, k: i
 
     def unit(pdf: pd.DataFrame) -> np.ndarray:
         v = np.stack(pdf["v"].to_numpy())
-        return v / np.linalg.norm(v, axis=1, keepdims=True)
+        return v / np.linalg.norm(v, axis=1, keepdims=True) if metric == "cosine" else v
 
     def best(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
@@ -82,7 +135,11 @@ def knn_many(base: DataFrame, queries: DataFrame, id_col: str, vector: str, k: i
             b = b.sort_values("id")
             ids, vectors, asked = b["id"].to_numpy(), unit(b).T, unit(q)
             for s in range(0, len(q), 256):
-                scores = np.round(asked[s : s + 256] @ vectors, 6)
+                part = asked[s : s + 256]
+                scores = part @ vectors
+                if metric == "l2":
+                    scores = -np.sqrt(np.maximum((part * part).sum(axis=1)[:, None] - 2 * scores + (vectors * vectors).sum(axis=0), 0))
+                scores = np.round(scores, 6)
                 least = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
                 for i, row in enumerate(scores):
                     among = np.flatnonzero(row >= least[i])

@@ -21,12 +21,18 @@ def load_satellite(satellite: DataFrame, staged: DataFrame, key: str, attributes
 
 
 def point_in_time(hub: DataFrame, satellites: dict[str, DataFrame], dates: DataFrame, key: str, as_of: str, load_date: str) -> DataFrame:
-    """For each key and date, every satellite's latest load date up to then. dates: a short list of one row a date."""
+    """For each key and date, every satellite's latest load date up to then. dates: a short list of one row a date.
+
+    Keys and dates are the result's size. A satellite's loads join them in one
+    window a key, in order of time, so that no date meets all loads of its key.
+    """
     out = hub.select(key).join(dates.select(as_of))
+    so_far = Window.partitionBy(key).orderBy(as_of, "_asks").rowsBetween(Window.unboundedPreceding, 0)
     for name, sat in satellites.items():
-        loads = sat.select(F.col(key), F.col(load_date).alias("_at")).distinct()
-        last = F.max(F.when(F.col("_at") <= F.col(as_of), F.col("_at"))).alias(name)
-        out = out.join(loads, key, "left").groupBy(*out.columns).agg(last)
+        loads = sat.select(key, F.col(load_date).alias(as_of), F.col(load_date).alias("_at"), F.lit(0).alias("_asks")).distinct()
+        both = out.withColumn("_asks", F.lit(1)).unionByName(loads, allowMissingColumns=True)
+        both = both.withColumn(name, F.last("_at", ignorenulls=True).over(so_far)).where("_asks = 1")
+        out = both.drop("_at", "_asks")
     return out
 
 

@@ -29,10 +29,12 @@ def m3_insert_new(t: Tables) -> DataFrame:
     return merge.insert_new(*versions(t), ["o_orderkey"])
 
 
-@query("select user_id, event_id, value from (select *, row_number() over (partition by user_id order by event_id desc) as rn from events) where rn = 1")
+@query("select user_id, event_id, value from events where event_id <= 300 or user_id % 4 <> 0 qualify row_number() over (partition by user_id order by event_id desc) = 1")
 def m4_precombine(t: Tables) -> DataFrame:
-    empty = t.events.select("user_id", "event_id", "value").limit(0)
-    return merge.upsert(empty, t.events.select("user_id", "event_id", "value"), ["user_id"], precombine="event_id")
+    """A stored state of the first events, and a batch with several rows a user: the highest id of each wins."""
+    e = t.events.select("user_id", "event_id", "value")
+    state = merge.latest(e.where("event_id <= 300"), ["user_id"], "event_id")
+    return merge.upsert(state, e.where("event_id > 300 and user_id % 4 <> 0"), ["user_id"], precombine="event_id")
 
 
 @query("select o_orderkey, case when o_orderstatus = 'F' then 0.0 else o_totalprice end as o_totalprice from orders where not (o_totalprice < 1000)")
@@ -66,7 +68,9 @@ def m9_as_of(t: Tables) -> DataFrame:
 def m12_apply_cdc(t: Tables) -> DataFrame:
     op = F.when(F.col("event_type") == "error", "d").when(F.col("event_type") == "signup", "c").otherwise("u")
     changes = t.events.select("user_id", "value", "event_id", op.alias("op"))
-    return merge.apply_cdc(changes.select("user_id", "value").limit(0), changes, "user_id", "event_id")
+    empty = changes.select("user_id", "value").limit(0)
+    state = merge.apply_cdc(empty, changes.where("event_id % 2 = 0 or event_type <> 'error'").where("event_id < 600"), "user_id", "event_id")
+    return merge.apply_cdc(state, changes, "user_id", "event_id")  # rows of the state are updated, deleted and left
 
 
 @query("select event_type, count(*) as n from events where event_type <> 'view' or event_id % 2 = 0 group by 1")
@@ -163,13 +167,13 @@ def x1_postings(t: Tables) -> DataFrame:
 
 @query("with p as (select id, len, term, count(*) as tf from (select doc_id as id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) as len, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents) where term in ('licensed', 'license') group by all), d as (select term, count(*) as df from p group by 1), s as (select count(*) as n, avg(len(regexp_extract_all(lower(text), '[a-z0-9]+'))) as a from documents) select id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) as score from p join d using (term), s group by 1 order by 2 desc, 1 limit 10")
 def x2_bm25(t: Tables) -> DataFrame:
-    lens = t.documents.agg(F.count("*").alias("n"), F.avg(F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("a")).first()
-    return search.bm25(search.postings(t.documents, "doc_id", "text"), ["licensed", "license"], 10, lens["n"], lens["a"])
+    return search.bm25_docs(t.documents, "doc_id", {"text": 1.0}, ["licensed", "license"], 10)
 
 
 @query("with q as (select cast(embedding as double[]) as v from embeddings where vec_id = 0) select vec_id, round(list_dot_product(cast(embedding as double[]), v) / sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[])) * list_dot_product(v, v)), 6) as score from embeddings, q where label = 3 order by 2 desc, 1 limit 10")
 def e2_filtered_knn(t: Tables) -> DataFrame:
-    first = t.embeddings.where("vec_id = 0").first()["embedding"]
+    first = t.embeddings.where("vec_id = 0").first()
+    first = first["embedding"] if first else [0.0]
     return search.knn(t.embeddings, "vec_id", "embedding", first, 10, F.col("label") == 3)
 
 

@@ -206,9 +206,8 @@ def j11_anti(t: Tables) -> DataFrame:
 
 @query("select c_custkey from customer where c_custkey not in (select case when o_orderkey % 2 = 0 then o_custkey else o_custkey + 1 end from orders)")
 def j12_not_in(t: Tables) -> DataFrame:
-    t.customer.createOrReplaceTempView("ashlar_customer")
-    t.orders.createOrReplaceTempView("ashlar_orders")
-    return t.spark.sql("select c_custkey from ashlar_customer where c_custkey not in (select case when o_orderkey % 2 = 0 then o_custkey else o_custkey + 1 end from ashlar_orders)")
+    used = t.orders.select(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") + 1).alias("used"))
+    return joins.not_in(t.customer.select("c_custkey"), used, "c_custkey", "used")
 
 
 @query("select c_custkey from customer left join orders on o_custkey = c_custkey where o_orderkey is null")
@@ -241,16 +240,31 @@ def j16_contains_join(t: Tables) -> DataFrame:
     return joins.contains_join(points, stays(t).withColumnRenamed("id", "range_id"), "k", "at", "s", "e", 30).where("id <> range_id").select("k", "id", "range_id")
 
 
-@query("with f as (select user_id, ts, value, event_id from events where event_type = 'view'), l as (select user_id, ts, event_id from events where event_type = 'purchase') select l.event_id, arg_max(case when l.ts - f.ts <= interval 1 day then f.value end, (f.ts, f.event_id)) as value from l left join f on l.user_id = f.user_id and f.ts <= l.ts group by 1")
+ASOF = "with f as (select user_id, ts, value, event_id from events where event_type = 'view'), l as (select user_id, ts, event_id from events where event_type = 'purchase') select l.event_id, arg_max(case when l.ts - f.ts <= interval 1 day then f.value end, (f.ts, f.event_id)) as value from l left join f on l.user_id = f.user_id and f.ts <= l.ts group by 1"
+
+
+@query(ASOF)
 def j17_asof_join(t: Tables) -> DataFrame:
+    return asof(t)
+
+
+@query(ASOF)
+def j17_asof_in_ranges(t: Tables) -> DataFrame:
+    return asof(t, 6)
+
+
+def asof(t: Tables, ranges: int | None = None) -> DataFrame:
     views = t.events.where("event_type = 'view'").select("user_id", F.col("ts").alias("view_ts"), "value", F.col("event_id").alias("created"))
     labels = t.events.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
-    return joins.asof_join(labels, views, "user_id", "ts", "view_ts", ["value"], 86400, "created").select("event_id", "value")
+    return joins.asof_join(labels, views, "user_id", "ts", "view_ts", ["value"], 86400, "created", ranges).select("event_id", "value")
 
 
 @query("select l_returnflag, l_linestatus, count(*) as n, cast(sum(cast(l_quantity as decimal(18,2))) as double) as qty, cast(sum(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(18,2)))) as double) as revenue from lineitem group by 1, 2")
 def a1_revenue_by(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), total(money("l_quantity")).alias("qty"), total(money("l_extendedprice") * (1 - money("l_discount"))).alias("revenue"))
+    # whole cents and hundredths: sums of longs, exact to 2^63, or 9e18 hundredths of cents a group
+    hundredths = lambda c: F.round(F.col(c) * 100).cast("long")
+    revenue = (F.sum(hundredths("l_extendedprice") * (100 - hundredths("l_discount"))).cast("decimal(38,0)") / 10000).cast("double")
+    return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), (F.sum(hundredths("l_quantity")) / 100).alias("qty"), revenue.alias("revenue"))
 
 
 @query("select count(*) as n, count(distinct o_custkey) as customers, min(o_orderdate) as first, max(o_orderdate) as last, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as total from orders")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ashlar.functions import money, total
-from ashlar.operators import vault
+from ashlar.operators import joins, merge, vault
 from ashlar.plans.catalog import Tables, query
 
 MONTH = "date_trunc('month', o_orderdate)"
@@ -66,10 +66,11 @@ def v7_load_audit(t: Tables) -> DataFrame:
     return vault.load_audit({"orders": t.orders.select(F.date_trunc("month", "o_orderdate").alias("loaded")), "lines": t.lineitem.select(F.date_trunc("month", "l_shipdate").alias("loaded"))}, "loaded")
 
 
-@query("select o_orderkey, c_name, case when c_custkey is null then 'unknown customer' end as reason from orders left join (select * from customer where c_acctbal > 0) on o_custkey = c_custkey")
+@query("select o_orderkey, c_name, case when c_custkey is null then 'unknown o_custkey ' || o_custkey end as reason from orders left join (select * from customer where c_acctbal > 0) on o_custkey = c_custkey")
 def j22_enrich_or_reject(t: Tables) -> DataFrame:
-    joined = t.orders.join(t.customer.where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    return joined.select("o_orderkey", "c_name", F.when(F.col("c_custkey").isNull(), "unknown customer").alias("reason"))
+    dim = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    good, bad = joins.enrich_or_reject(t.orders.select("o_orderkey", "o_custkey"), dim, "o_custkey")
+    return merge.union(good, bad).select("o_orderkey", "c_name", "reason")
 
 
 @query("with l as (select user_id, max_by(value, struct_pack(a := ts, b := event_id)) as value, max(ts) as ts from events group by 1), n as (select max(ts) - interval 1 day as cut from events) select user_id, case when ts >= cut then value end as value, ts >= cut as fresh from l, n")

@@ -83,14 +83,16 @@ def running_events(stream: DataFrame, key: str, order: str, value: Column, folde
     def apply(rows: DataFrame, batch: int) -> None:
         rows = rows.withColumn("__v", value)
         before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        if batch:  # totals of the batches before this one, whether or not it ran already
-            base = spark.read.parquet(totals).where(F.col("batch_id") < batch).groupBy(F.col(key).alias("__k")).agg(F.sum("t").alias("base"))
-            rows = rows.join(base, F.col(key) == F.col("__k"), "left").drop("__k")
+        now = rows.groupBy(key).agg(F.sum("__v").alias("t"))
+        if batch:  # the totals up to the batch before this one, whether or not this one ran already
+            base = spark.read.parquet(f"{totals}/batch_id={batch - 1}")
+            rows = rows.join(base.select(F.col(key).alias("__k"), F.col("t").alias("base")), F.col(key) == F.col("__k"), "left").drop("__k")
+            now = base.unionByName(now).groupBy(key).agg(F.sum("t").cast(base.schema["t"].dataType).alias("t"))
         else:
             rows = rows.withColumn("base", F.lit(0))
         out = rows.withColumn("running", F.sum("__v").over(before) + F.coalesce("base", F.lit(0))).drop("__v", "base")
         out.write.mode("overwrite").parquet(f"{folder}/rows/batch_id={batch}")
-        rows.groupBy(key).agg(F.sum("__v").alias("t")).write.mode("overwrite").parquet(f"{totals}/batch_id={batch}")
+        now.write.mode("overwrite").parquet(f"{totals}/batch_id={batch}")
 
     each_batch(stream, folder, apply)
     return spark.read.parquet(f"{folder}/rows").drop("batch_id")
@@ -100,3 +102,56 @@ def enrich_events(df: DataFrame, raw: str, schema: str, tiers: Column) -> DataFr
     """Rows whose JSON parses, with its fields and a tier; the same on streams and tables."""
     parsed = df.withColumn("__j", F.from_json(raw, f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"}))
     return parsed.where("__j is not null and __j.__bad is null").select(*df.columns, "__j.*").drop("__bad").withColumn("tier", tiers)
+
+
+def apply_once(stream: DataFrame, id_col: str, keys: list[str], folder: str) -> DataFrame:
+    """keys, n: counts of events, each id once however often it is delivered.
+
+    A batch writes the ids that it is the first to bring, under its id and in
+    one write with their keys, so that ledger and view can't fall apart; a batch
+    that comes twice replaces its own write.
+    """
+    spark = stream.sparkSession
+    seen = f"{folder}/seen"
+
+    def apply(rows: DataFrame, batch: int) -> None:
+        new = rows.select(id_col, *keys).dropDuplicates([id_col])
+        if batch:
+            new = new.join(spark.read.parquet(seen).where(F.col("batch_id") < batch).select(id_col), id_col, "left_anti")
+        new.write.mode("overwrite").parquet(f"{seen}/batch_id={batch}")
+
+    each_batch(stream, folder, apply)
+    return spark.read.parquet(seen).groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def maintained_views(stream: DataFrame, folder: str, key: str, seq: str, views: dict[str, Callable[[dict[str, DataFrame]], DataFrame]]) -> None:
+    """Views kept in step with the latest row of each key, all made in one batch, in order, each from the base and those before it.
+
+    Base and views of a batch are written under its id, the mark that the batch
+    is whole comes last: readers take the last marked batch, see read_view().
+    """
+    spark = stream.sparkSession
+
+    def apply(rows: DataFrame, batch: int) -> None:
+        if batch:
+            rows = rows.unionByName(spark.read.parquet(f"{folder}/base/batch_id={batch - 1}"))
+        base = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), seq).alias("r")).select("r.*")
+        base.write.mode("overwrite").parquet(f"{folder}/base/batch_id={batch}")
+        made = {"base": spark.read.parquet(f"{folder}/base/batch_id={batch}")}
+        for name, view in views.items():
+            view(made).write.mode("overwrite").parquet(f"{folder}/{name}/batch_id={batch}")
+            made[name] = spark.read.parquet(f"{folder}/{name}/batch_id={batch}")
+        spark.range(1).select(F.lit(batch).alias("batch")).write.mode("overwrite").parquet(f"{folder}/whole/batch_id={batch}")
+
+    each_batch(stream, folder, apply)
+
+
+def last_batch(spark: SparkSession, folder: str, upto: int | None = None) -> int:
+    """The last batch that is whole, or the last one up to a given batch."""
+    whole = spark.read.parquet(f"{folder}/whole")
+    return (whole if upto is None else whole.where(F.col("batch") <= upto)).agg(F.max("batch")).first()[0]
+
+
+def read_view(spark: SparkSession, folder: str, name: str, batch: int | None = None) -> DataFrame:
+    """A view as of a batch, so that several are read at the same one; the last whole batch by default."""
+    return spark.read.parquet(f"{folder}/{name}/batch_id={last_batch(spark, folder) if batch is None else batch}")

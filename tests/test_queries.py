@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from ashlar.operators.search import knn_many
-from ashlar.plans import changing, geo, incremental, relational, streams, vault  # noqa: F401
+from ashlar.plans import changing, geo, incremental, relational, retrieval, sources, streams, tables, vault  # noqa: F401
 from ashlar.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
