@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ashlar.lineage import cut, drop_cut
@@ -42,7 +42,7 @@ BANDS, ROWS = 40, 5
 #: Buckets of up to that many classes are compared by a join, larger ones in blocks.
 SMALL, BLOCK = 12, 1024
 #: Standard deviations below the limit at which the screen drops a pair; rounds of further stars.
-SIGMAS, STARS = 6, 3
+SIGMAS, STARS = 6, 2
 MASK = 2**64 - 1
 
 
@@ -155,8 +155,9 @@ def components(links: DataFrame, most: int = 64) -> DataFrame:
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
     mark = None
     for _ in range(most):
-        new = cut(star(star(edges, True), False), "cc")
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = Observation()  # counted while it is written
+        new = cut(star(star(edges, True), False).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")), "cc")
+        now = (seen.get["n"], seen.get["s"])
         drop_cut(edges)
         edges = new
         if now == mark:
@@ -168,6 +169,16 @@ def components(links: DataFrame, most: int = 64) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
 
+def join_components(found: DataFrame, more: DataFrame) -> DataFrame:
+    """found (id, component) after further links (a, b): only the components that these join are worked on again."""
+    of = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
+    lifted = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    joined = components(lifted).withColumnRenamed("component", "joined")
+    ends = more.select(F.col("a").alias("id")).union(more.select(F.col("b").alias("id"))).distinct().join(found, "id", "left_anti")
+    known = found.unionByName(ends.withColumn("component", F.col("id")))
+    return known.join(joined.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
+
+
 def _family_links(members: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, k: int, percent: int, least: float) -> DataFrame:
     """Links (a, b) that join different components within families of large buckets, found block against block.
 
@@ -224,7 +235,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", k: int = 5, percent: int
     one = full.where("n > 0 and id is not null")
     texts_of = signed.where("id is not null").groupBy("id").agg(F.max("h").alias("h"), F.min("h").alias("other"))
     several = cut(texts_of.where("h <> other").select("id", "h"), "repeated-ids")
-    if not several.isEmpty():
+    repeats = not several.isEmpty()
+    if repeats:
         lost = signed.join(several.withColumnRenamed("h", "own"), "id").where("h <> own").select("id", "h").distinct()
         one = one.join(lost, ["id", "h"], "left_anti")
     classes = cut(one.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
@@ -255,8 +267,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", k: int = 5, percent: int
         drop_cut(pairs)
         if new.isEmpty():
             break
-        links = links.union(new)
-        found = cut(components(links), "components")
+        found = cut(join_components(found, new), "components")
         drop_cut(open_)
         open_ = open_buckets(found)
 
@@ -269,13 +280,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", k: int = 5, percent: int
     if not large.isEmpty():
         more = more.union(_family_links(large.select("a", "id", "component"), classes, docs, id_col, k, percent, least))
     if not more.isEmpty():
-        found = cut(components(links.union(more)), "components")
+        found = cut(join_components(found, more), "components")
     for old in (pairs, open_, members):
         drop_cut(old)
 
     by_key = classes.select("key", F.col("id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     rows_ = signed
-    if not several.isEmpty():  # all rows of an id have the component of the text that counts
+    if repeats:  # all rows of an id have the component of the text that counts
         counted = signed.join(several, ["id", "h"], "left_semi").select("id", F.col("key").alias("own")).dropDuplicates(["id"])
         rows_ = signed.join(counted, "id", "left").withColumn("key", F.coalesce("own", "key"))
     out = rows_.select("id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(by_key, "key", "left").withColumn("component_id", F.coalesce("component_id", "id"))
