@@ -28,7 +28,7 @@ whatever their names, aren't read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,7 +42,7 @@ BANDS, ROWS = 40, 5
 #: Buckets of up to that many classes are compared by a join, larger ones in blocks.
 SMALL, BLOCK = 12, 1024
 #: Standard deviations below the limit at which the screen drops a pair; rounds of further stars.
-SIGMAS, STARS = 6, 2
+SIGMAS, STARS = 6, 1
 MASK = 2**64 - 1
 
 
@@ -118,19 +118,17 @@ def full_sets(docs: DataFrame, id_col: str, k: int, ids: DataFrame) -> DataFrame
     return texts.mapInPandas(sets, "id long, s array<long>")
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, k: int, percent: int, least: float) -> DataFrame:
-    """The pairs (a, b) of class ids whose full sets are similar enough."""
+def confirm(pairs: DataFrame, classes: DataFrame, percent: int, least: float, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The pairs (a, b) of class ids whose full sets are similar enough. sets_of: ids to a table of sets that has them."""
     screen = F.pandas_udf(lambda x, y: likely(x, y, least), "boolean")
 
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"s_{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
     near = cut(near.where(screen("s_a", "s_b")).select("a", "b", "n_a", "n_b"), "near-pairs")
-    needed = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    full = cut(full_sets(docs, id_col, k, needed), "near-sets")
+    full = sets_of(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct())
     both = near.join(full.select(F.col("id").alias("b"), F.col("s").alias("t_b")), "b").join(full.select(F.col("id").alias("a"), F.col("s").alias("t_a")), "a")
     common = F.size(F.array_intersect("t_a", "t_b"))
     links = cut(both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "near-links")
-    drop_cut(full)
     drop_cut(near)
     return links
 
@@ -179,10 +177,10 @@ def join_components(found: DataFrame, more: DataFrame) -> DataFrame:
     return known.join(joined.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
 
 
-def _family_links(members: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, k: int, percent: int, least: float) -> DataFrame:
+def _family_links(members: DataFrame, classes: DataFrame, full: DataFrame, percent: int, least: float) -> DataFrame:
     """Links (a, b) that join different components within families of large buckets, found block against block.
 
-    members: a (the bucket's smallest id), id, component. Buckets that share
+    members: a (the bucket's smallest id), id, component; full: their sets. Buckets that share
     members are a family, so that a pair is compared once. A block's task holds
     two blocks of full sets and gives links that join what is still apart, never
     all pairs.
@@ -216,15 +214,12 @@ def _family_links(members: DataFrame, classes: DataFrame, docs: DataFrame, id_co
     family = components(members.where("a <> id").select("a", F.col("id").alias("b")).distinct()).withColumnRenamed("component", "family")
     placed = cut(members.select("id", "component").distinct().join(family, "id"), "families")
     sizes = placed.groupBy("family").agg(F.count("*").alias("size"))
-    full = cut(full_sets(docs, id_col, k, placed.select("id")), "family-sets")
     dealt = placed.join(sizes, "family").join(classes.select("id", "n", "sig"), "id").join(full, "id")
     dealt = dealt.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("at"), j).alias("x"), F.greatest(F.col("at"), j).alias("y")))
     sent = dealt.withColumn("p", F.explode(pairs)).select("family", "id", "component", "n", "sig", "s", "at", "p.x", "p.y")
     side = F.when(F.col("x") == F.col("y"), 2).when(F.col("at") == F.col("x"), 0).otherwise(1)  # 2: a block with itself
-    links = cut(sent.withColumn("side", side).drop("at").groupBy("family", "x", "y").applyInPandas(compare, "a long, b long"), "family-links")
-    drop_cut(full)
-    return links
+    return cut(sent.withColumn("side", side).drop("at").groupBy("family", "x", "y").applyInPandas(compare, "a long, b long"), "family-links")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> DataFrame:
@@ -246,42 +241,40 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", k: int = 5, percent: int
     members = cut(by_band.join(buckets, "h"), "bucket-members")
     drop_cut(buckets)
     stars = members.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = confirm(stars, classes, docs, id_col, k, percent, least)
-    found = cut(components(links), "components")
+    fresh = lambda ids: cut(full_sets(docs, id_col, k, ids), "near-sets")
+    found = cut(components(confirm(stars, classes, percent, least, fresh)), "components")
 
-    def open_buckets(found: DataFrame) -> DataFrame:
-        """Members, with components, of the buckets that hold several components."""
-        placed = members.where("size > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    def open_buckets(among: DataFrame) -> DataFrame:
+        """The members, with components, of buckets that hold several components."""
+        placed = among.where("size > 2").select("h", "a", "id", "size").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         apart = placed.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
         return cut(placed.join(apart, "h", "left_semi").select("h", "a", "id", "component", "size"), "open-buckets")
 
-    open_ = open_buckets(found)
-    for turn in range(STARS):
+    open_ = open_buckets(members)
+    if not open_.isEmpty():
+        sets = fresh(open_.select("id").distinct())  # once for all that follows
+        for turn in range(STARS):
+            large = open_.where(F.col("size") > SMALL)
+            centre = large.groupBy("h").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("c"))
+            pairs = large.join(centre, "h").where(F.col("component") != F.col("c.component"))
+            pairs = pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+            new = confirm(pairs, classes, percent, least, lambda ids: sets)
+            if new.isEmpty():
+                break
+            found = cut(join_components(found, new), "components")
+            open_ = open_buckets(open_)
+
+        few = open_.where(F.col("size") <= SMALL)
+        other = few.select("h", F.col("id").alias("b"), F.col("component").alias("component_b"))
+        pairs = few.select("h", F.col("id").alias("a"), "component").join(other, "h").where("a < b and component <> component_b").select("a", "b").distinct()
+        more = confirm(pairs.join(stars, ["a", "b"], "left_anti"), classes, percent, least, lambda ids: sets)
         large = open_.where(F.col("size") > SMALL)
-        if large.isEmpty():
-            break
-        centre = large.groupBy("h").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("c"))
-        pairs = large.join(centre, "h").where(F.col("component") != F.col("c.component"))
-        pairs = cut(pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct(), "star-pairs")
-        new = confirm(pairs, classes, docs, id_col, k, percent, least)
-        drop_cut(pairs)
-        if new.isEmpty():
-            break
-        found = cut(join_components(found, new), "components")
-        drop_cut(open_)
-        open_ = open_buckets(found)
-
-    few = open_.where(F.col("size") <= SMALL)
-    other = few.select("h", F.col("id").alias("b"), F.col("component").alias("component_b"))
-    pairs = few.select("h", F.col("id").alias("a"), "component").join(other, "h").where("a < b and component <> component_b").select("a", "b").distinct()
-    pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"), "open-pairs")
-    more = confirm(pairs, classes, docs, id_col, k, percent, least)
-    large = open_.where(F.col("size") > SMALL)
-    if not large.isEmpty():
-        more = more.union(_family_links(large.select("a", "id", "component"), classes, docs, id_col, k, percent, least))
-    if not more.isEmpty():
-        found = cut(join_components(found, more), "components")
-    for old in (pairs, open_, members):
+        if not large.isEmpty():
+            more = more.union(_family_links(large.select("a", "id", "component"), classes, sets, percent, least))
+        if not more.isEmpty():
+            found = cut(join_components(found, more), "components")
+        drop_cut(sets)
+    for old in (open_, members):
         drop_cut(old)
 
     by_key = classes.select("key", F.col("id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
