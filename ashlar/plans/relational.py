@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ashlar.functions import every, first_match, hash_diff, hash_key, haversine, money, total
+from ashlar.functions import amount, every, first_match, hash_diff, hash_key, haversine, hundredths, money, total
 from ashlar.operators import joins, search
 from ashlar.plans.catalog import Tables, query
 
@@ -104,7 +104,7 @@ def p20_expand(t: Tables) -> DataFrame:
 @query(f"select n_name, count(*) as lines, cast(sum({AMOUNT}) as double) as revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by n_name")
 def j1_inner_join(t: Tables) -> DataFrame:
     rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy("n_name").agg(F.count("*").alias("lines"), total(money("l_extendedprice")).alias("revenue"))
+    return rows.groupBy("n_name").agg(F.count("*").alias("lines"), amount(F.sum(hundredths("l_extendedprice"))).alias("revenue"))
 
 
 @query("select c_custkey, count(o_orderkey) as n from customer left join orders on c_custkey = o_custkey group by 1")
@@ -262,10 +262,8 @@ def asof(t: Tables, ranges: int | None = None) -> DataFrame:
 
 @query("select l_returnflag, l_linestatus, count(*) as n, cast(sum(cast(l_quantity as decimal(18,2))) as double) as qty, cast(sum(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(18,2)))) as double) as revenue from lineitem group by 1, 2")
 def a1_revenue_by(t: Tables) -> DataFrame:
-    # whole cents and hundredths: sums of longs, exact to 2^63, or 9e18 hundredths of cents a group
-    hundredths = lambda c: F.round(F.col(c) * 100).cast("long")
-    revenue = (F.sum(hundredths("l_extendedprice") * (100 - hundredths("l_discount"))).cast("decimal(38,0)") / 10000).cast("double")
-    return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), (F.sum(hundredths("l_quantity")) / 100).alias("qty"), revenue.alias("revenue"))
+    revenue = F.sum(hundredths("l_extendedprice") * (100 - hundredths("l_discount")))
+    return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), amount(F.sum(hundredths("l_quantity"))).alias("qty"), amount(revenue, 10000).alias("revenue"))
 
 
 @query("select count(*) as n, count(distinct o_custkey) as customers, min(o_orderdate) as first, max(o_orderdate) as last, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as total from orders")
@@ -375,7 +373,7 @@ def w3_ranked_top(t: Tables) -> DataFrame:
 @query("select event_id, cast(sum(cast(value as decimal(18,2))) over (partition by user_id order by ts, event_id rows unbounded preceding) as double) as running, lag(event_id) over (partition by user_id order by ts, event_id) as prev from events")
 def w4_running_total(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t.events.select("event_id", F.sum(money("value")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("running"), F.lag("event_id").over(w).alias("prev"))
+    return t.events.select("event_id", amount(F.sum(hundredths("value")).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("running"), F.lag("event_id").over(w).alias("prev"))
 
 
 @query("select user_id, max(ts) as ts, arg_max(value, (ts, event_id)) as value, arg_min(event_id, (ts, event_id)) as first_event from events group by 1")
