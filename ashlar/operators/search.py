@@ -161,3 +161,25 @@ def recall_at_k(found: DataFrame, truth: DataFrame, query: str, item: str, k: in
 def ranked(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """The k first rows with their rank: only the k rows are ranked."""
     return df.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def match(text: str | Column, terms: list[str], mode: str = "any") -> Column:
+    """Whether a text has any of the terms, all of them, or all in a row (phrase)."""
+    col = F.col(text) if isinstance(text, str) else text
+    if mode == "phrase":
+        return col.contains(" ".join(terms))
+    out = col.contains(terms[0])
+    for t in terms[1:]:
+        out = (out | col.contains(t)) if mode == "any" else (out & col.contains(t))
+    return out
+
+
+def fuzzy(index: DataFrame, asked: str, most: int = 2, id_col: str = "id", term: str = "term") -> DataFrame:
+    """Entries of an index (id_col, term) whose term is within an edit distance; each distinct term is compared once."""
+    near = index.select(term).distinct().where(F.levenshtein(term, F.lit(asked)) <= most)
+    return index.select(id_col, term).distinct().join(near, term, "left_semi").select(id_col, term)
+
+
+def search_analytics(facts: DataFrame, items: DataFrame, on: Column, matches: Column, keys: list[str], *aggs: Column) -> DataFrame:
+    """Aggregates of the facts whose item a search matched."""
+    return facts.join(items.where(matches), on).groupBy(*keys).agg(*aggs)

@@ -48,3 +48,16 @@ def load_audit(tables: dict[str, DataFrame], load_date: str) -> DataFrame:
     """Rows of each table and load date, and the table's total."""
     counts = reduce(DataFrame.unionByName, (t.groupBy(load_date).agg(F.count("*").alias("delivered")).withColumn("name", F.lit(n)) for n, t in tables.items()))
     return counts.withColumn("total", F.sum("delivered").over(Window.partitionBy("name")))
+
+
+def bridge(link_a: DataFrame, link_b: DataFrame, on: str, keys: list[str]) -> DataFrame:
+    """keys and lines: two links joined through the hub that they share."""
+    return link_a.join(link_b, on).groupBy(*keys).agg(F.count("*").alias("lines"))
+
+
+def star_mart(facts: DataFrame, dims: list[tuple[DataFrame, str, str]], columns: list[str]) -> DataFrame:
+    """Facts with the columns of dimensions, each a (table, key in facts or an earlier dimension, key in the table)."""
+    out = facts
+    for dim, left, right in dims:
+        out = out.join(dim, F.col(left) == F.col(right))
+    return out.select(*columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ashlar.functions import money, total
 from ashlar.lineage import cut
-from ashlar.operators import graph, merge, quality, search
+from ashlar.operators import aggregates, graph, merge, quality, search
 from ashlar.plans.catalog import Tables, query
 from ashlar.plans.relational import FOLLOWS, LINKS, TREE, V1, V2, follows, links, tree, versions
 
@@ -198,7 +198,7 @@ def t4_tumble(t: Tables) -> DataFrame:
 
 @query("select date_trunc('day', ts) as start, user_id, min(value) as lo, max(value) as hi, cast(sum(cast(value as decimal(18,2))) as double) as total from events group by 1, 2")
 def z1_downsample(t: Tables) -> DataFrame:
-    return t.events.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("start"), "user_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), total(money("value")).alias("total"))
+    return aggregates.downsample(t.events, ["user_id"], "ts", "day", F.min("value").alias("lo"), F.max("value").alias("hi"), total(money("value")).alias("total"))
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ashlar.functions import money
 from ashlar.operators import geo
+from ashlar.operators.vault import star_mart
 from ashlar.plans.catalog import Tables, query
 
 POINTS = "select c_custkey, (c_custkey * 7 % 1800) / 10.0::double as x, (c_custkey % 900) / 10.0::double as y from customer"
@@ -45,6 +46,6 @@ def h5_in_polygon(t: Tables) -> DataFrame:
 
 @query("select o_orderkey, l_linenumber, c_mktsegment, p_brand, n_name, (l_extendedprice::decimal(18,2) * (1 - l_discount::decimal(18,2)))::double as net from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join part on l_partkey = p_partkey")
 def v6_star_mart(t: Tables) -> DataFrame:
-    lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    lines = lines.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    return lines.select("o_orderkey", "l_linenumber", "c_mktsegment", "p_brand", "n_name", (money("l_extendedprice") * (1 - money("l_discount"))).cast("double").alias("net"))
+    lines = t.lineitem.withColumn("net", (money("l_extendedprice") * (1 - money("l_discount"))).cast("double"))
+    dims = [(t.orders, "l_orderkey", "o_orderkey"), (t.customer, "o_custkey", "c_custkey"), (t.nation, "c_nationkey", "n_nationkey"), (t.part, "l_partkey", "p_partkey")]
+    return star_mart(lines, dims, ["o_orderkey", "l_linenumber", "c_mktsegment", "p_brand", "n_name", "net"])

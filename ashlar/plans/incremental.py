@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ashlar.functions import money, total
 from ashlar.operators import incremental as inc
-from ashlar.operators import merge
+from ashlar.operators import aggregates, merge, search
 from ashlar.operators.joins import asof_join
 from ashlar.plans.catalog import Tables, query
 
@@ -95,9 +95,8 @@ def j18_historical_features(t: Tables) -> DataFrame:
 
 @query("with f as (select user_id, max(ts) as newest from events where event_type = 'view' group by 1) select event_id, coalesce(newest > ts, false) as leaks from events left join f using (user_id) where event_type = 'purchase'")
 def j19_leakage_report(t: Tables) -> DataFrame:
-    newest = t.events.where("event_type = 'view'").groupBy("user_id").agg(F.max("ts").alias("newest"))
-    labels = t.events.where("event_type = 'purchase'").join(newest, "user_id", "left")
-    return labels.select("event_id", F.coalesce(F.col("newest") > F.col("ts"), F.lit(False)).alias("leaks"))
+    views = t.events.where("event_type = 'view'").select("user_id", F.col("ts").alias("view_ts"))
+    return aggregates.leakage_report(t.events.where("event_type = 'purchase'"), views, "user_id", "event_id", "ts", "view_ts")
 
 
 @query("with x as (select p_brand, sum(l_extendedprice::decimal(18,2)) as r, sum(l_quantity::decimal(18,2) * p_retailprice::decimal(18,2)) as c from lineitem join part on l_partkey = p_partkey group by 1) select p_brand, r::double as revenue, c::double as cost, r::double - c::double as margin from x")
@@ -140,22 +139,21 @@ def q13_duplicate_epochs(t: Tables) -> DataFrame:
 
 @query("select p_partkey, p_name ~ '.*(cold|widget).*' as any_term, p_name ~ '.*cold.*' and p_name ~ '.*widget.*' as all_terms, contains(p_name, 'cold widget') as phrase, regexp_replace(p_name, '(widget)', '[\\1]', 'g') as snippet from part where contains(p_name, 'cold') or contains(p_name, 'widget')")
 def x3_match_modes(t: Tables) -> DataFrame:
-    terms = [F.col("p_name").contains(w) for w in ("cold", "widget")]
-    hits = t.part.where(terms[0] | terms[1])
-    return hits.select("p_partkey", (terms[0] | terms[1]).alias("any_term"), (terms[0] & terms[1]).alias("all_terms"), F.col("p_name").contains("cold widget").alias("phrase"), F.regexp_replace("p_name", "(widget)", "[$1]").alias("snippet"))
+    modes = {n: search.match("p_name", ["cold", "widget"], m) for n, m in (("any_term", "any"), ("all_terms", "all"), ("phrase", "phrase"))}
+    hits = t.part.where(modes["any_term"])
+    return hits.select("p_partkey", *(c.alias(n) for n, c in modes.items()), F.regexp_replace("p_name", "(widget)", "[$1]").alias("snippet"))
 
 
 @query("with d as (select distinct p_partkey, unnest(string_split(p_name, ' ')) as term from part) select p_partkey, term from d where levenshtein(term, 'wigdet') <= 2")
 def x4_fuzzy_match(t: Tables) -> DataFrame:
-    index = t.part.select("p_partkey", F.explode(F.split("p_name", " ")).alias("term")).distinct()
-    near = index.select("term").distinct().where(F.levenshtein("term", F.lit("wigdet")) <= 2)
-    return index.join(near, "term", "left_semi").select("p_partkey", "term")
+    index = t.part.select("p_partkey", F.explode(F.split("p_name", " ")).alias("term"))
+    return search.fuzzy(index, "wigdet", 2, "p_partkey")
 
 
 @query("select p_brand, count(*) as lines, sum(l_extendedprice::decimal(18,2))::double as revenue from lineitem join part on l_partkey = p_partkey where contains(p_name, 'widget') group by 1")
 def x8_search_analytics(t: Tables) -> DataFrame:
-    found = t.part.where(F.col("p_name").contains("widget"))
-    return t.lineitem.join(found, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.count("*").alias("lines"), total(money("l_extendedprice")).alias("revenue"))
+    on = F.col("l_partkey") == F.col("p_partkey")
+    return search.search_analytics(t.lineitem, t.part, on, search.match("p_name", ["widget"]), ["p_brand"], F.count("*").alias("lines"), total(money("l_extendedprice")).alias("revenue"))
 
 
 @query("select count(distinct c_name) as raw, count(distinct md5(c_name)) as masked, count(*) filter (md5(c_name) = c_name) as leaks from customer")

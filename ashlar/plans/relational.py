@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ashlar.functions import amount, every, first_match, hash_diff, hash_key, haversine, hundredths, money, total
-from ashlar.operators import joins, search
+from ashlar.operators import aggregates, joins, search
 from ashlar.plans.catalog import Tables, query
 
 AMOUNT = "cast(l_extendedprice as decimal(18,2))"
@@ -321,14 +321,13 @@ def a13_state_merge(t: Tables) -> DataFrame:
 @query("select o_custkey as key, count(*) as n, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as total from orders group by 1")
 def a16_merge_sums(t: Tables) -> DataFrame:
     part = lambda odd: t.orders.where(F.col("o_orderkey") % 2 == odd).groupBy(F.col("o_custkey").alias("key")).agg(F.count("*").alias("n"), F.sum(money("o_totalprice")).alias("total"))
-    return part(0).unionByName(part(1)).groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").cast("double").alias("total"))
+    return aggregates.merge_sums(part(0), part(1), ["key"]).withColumn("total", F.col("total").cast("double"))
 
 
 @query("select b.p as also, count(distinct a.c) as buyers from (select distinct o_custkey c, l_partkey p from orders join lineitem on o_orderkey = l_orderkey) a join (select distinct o_custkey c, l_partkey p from orders join lineitem on o_orderkey = l_orderkey) b on a.c = b.c and a.p = 7 and b.p <> 7 group by 1")
 def a19_also_bought(t: Tables) -> DataFrame:
-    bought = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c"), F.col("l_partkey").alias("p")).distinct()
-    buyers = bought.where("p = 7").select("c")
-    return bought.where("p <> 7").join(buyers, "c", "left_semi").groupBy(F.col("p").alias("also")).agg(F.count("*").alias("buyers"))
+    bought = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
+    return aggregates.also_bought(bought, "o_custkey", "l_partkey", 7)
 
 
 @query("select event_type, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95 from events group by 1")
@@ -343,15 +342,13 @@ def a21_histogram(t: Tables) -> DataFrame:
 
 @query("select date_trunc('hour', ts) as hour, cast(count(*) filter (where value <= 400) as double) / count(*) as attained, (1 - cast(count(*) filter (where value <= 400) as double) / count(*)) / 0.1 as burn from events group by 1")
 def a22_slo(t: Tables) -> DataFrame:
-    within = F.count_if(F.col("value") <= 400).cast("double") / F.count("*")
-    return t.events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(within.alias("attained")).withColumn("burn", (1 - F.col("attained")) / 0.1)
+    return aggregates.slo(t.events, F.date_trunc("hour", "ts").cast("timestamp_ntz"), F.col("value") <= 400, 0.9).withColumnRenamed("bucket", "hour")
 
 
 @query("select k as account, cast(sum(v) as double) as balance from (select user_id as k, cast(value as decimal(18,2)) as v from events union all select (user_id + 1) % 150 as k, -cast(value as decimal(18,2)) as v from events) group by 1")
 def a25_balances(t: Tables) -> DataFrame:
-    v = money("value")
-    both = t.events.select(F.col("user_id").alias("account"), v.alias("v")).unionAll(t.events.select(((F.col("user_id") + 1) % 150).alias("account"), (-v).alias("v")))
-    return both.groupBy("account").agg(total(F.col("v")).alias("balance"))
+    transfers = t.events.withColumn("other", (F.col("user_id") + 1) % 150)
+    return aggregates.balances(transfers, "event_id", "other", "user_id", money("value")).withColumn("balance", F.col("balance").cast("double"))
 
 
 @query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10")
@@ -384,7 +381,7 @@ def w8_last_value(t: Tables) -> DataFrame:
 @query("select event_id, count(*) over (partition by user_id order by epoch_us(ts) // 1000000 range between 3600 preceding and current row) as n from events")
 def w13_trailing_rate(t: Tables) -> DataFrame:
     at = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    return t.events.select("event_id", F.count("*").over(Window.partitionBy("user_id").orderBy(at).rangeBetween(-3600, 0)).alias("n"))
+    return t.events.select("event_id", aggregates.trailing_rate(t.events, "user_id", at, 3600).alias("n"))
 
 
 @query("select c_nationkey as k from customer union select s_nationkey from supplier")

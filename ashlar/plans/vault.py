@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ashlar.functions import money, total
-from ashlar.operators import joins, merge, vault
+from ashlar.operators import aggregates, joins, merge, vault
 from ashlar.plans.catalog import Tables, query
 
 MONTH = "date_trunc('month', o_orderdate)"
@@ -58,7 +58,8 @@ def j21_as_of_view(t: Tables) -> DataFrame:
 
 @query("select o_custkey, l_suppkey, count(*) as lines from orders join lineitem on o_orderkey = l_orderkey group by all")
 def v5_bridge(t: Tables) -> DataFrame:
-    return t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count("*").alias("lines"))
+    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    return vault.bridge(lines, t.orders.select("o_orderkey", "o_custkey"), "o_orderkey", ["o_custkey", "l_suppkey"])
 
 
 @query(f"with c as (select 'orders' as name, {MONTH} as loaded, count(*) as delivered from orders group by all union all select 'lines', date_trunc('month', l_shipdate), count(*) from lineitem group by all) select *, (sum(delivered) over (partition by name))::bigint as total from c")
@@ -75,9 +76,7 @@ def j22_enrich_or_reject(t: Tables) -> DataFrame:
 
 @query("with l as (select user_id, max_by(value, struct_pack(a := ts, b := event_id)) as value, max(ts) as ts from events group by 1), n as (select max(ts) - interval 1 day as cut from events) select user_id, case when ts >= cut then value end as value, ts >= cut as fresh from l, n")
 def j25_latest_features(t: Tables) -> DataFrame:
-    latest = t.events.groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max("ts").alias("ts"))
-    now = t.events.agg((F.max("ts") - F.expr("interval 1 day")).alias("cut"))
-    return latest.join(now).select("user_id", F.when(F.col("ts") >= F.col("cut"), F.col("value")).alias("value"), (F.col("ts") >= F.col("cut")).alias("fresh"))  # now is one row
+    return aggregates.latest_features(t.events, "user_id", "ts", "event_id", "value", t.events.agg(F.max("ts") - F.expr("interval 1 day")))
 
 
 @query("select date_trunc('day', ts) as day, event_type, count(*) as count, sum(value::decimal(18,2))::double as value from events group by all")
@@ -87,8 +86,8 @@ def a12_rollup_table(t: Tables) -> DataFrame:
 
 @query("select event_type, count(*) as count, sum(value::decimal(18,2))::double as total, min(value) as low, max(value) as high from events group by 1")
 def a18_stats_merge(t: Tables) -> DataFrame:
-    parts = t.events.groupBy("event_type", F.date_trunc("day", "ts")).agg(F.count("value").alias("n"), F.sum(money("value")).alias("s"), F.min("value").alias("low"), F.max("value").alias("high"))
-    return parts.groupBy("event_type").agg(F.sum("n").alias("count"), total(F.col("s")).alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
+    parts = aggregates.stats_part(t.events.withColumn("day", F.date_trunc("day", "ts")), ["event_type", "day"], money("value"), F.col("value"))
+    return aggregates.stats_merge(parts, ["event_type"]).withColumnRenamed("n", "count").withColumn("total", F.col("total").cast("double"))
 
 
 @query("select p_brand, count(*) as n from part where lower(p_name) like '%a%' group by 1")
@@ -105,8 +104,7 @@ def a24_lifetime_value(t: Tables) -> DataFrame:
 @query("select c_nationkey, count(*) as n, sum(o_totalprice::decimal(18,2))::double as total, max(o_totalprice) as largest, count(*) filter (o_totalprice > 200000) as big, count(distinct o_orderdate::date) as days, sum(o_totalprice::decimal(18,2)) > 5000000 as alert from orders join customer on o_custkey = c_custkey group by 1")
 def a26_region_report(t: Tables) -> DataFrame:
     rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    price = money("o_totalprice")
-    return rows.groupBy("c_nationkey").agg(F.count("*").alias("n"), total(price).alias("total"), F.max("o_totalprice").alias("largest"), F.count_if(F.col("o_totalprice") > 200000).alias("big"), F.count_distinct(F.to_date("o_orderdate")).alias("days"), (F.sum(price) > 5000000).alias("alert"))
+    return aggregates.region_report(rows, "c_nationkey", "o_totalprice", 200000, 5000000, F.to_date("o_orderdate"), money("o_totalprice"))
 
 
 @query("select event_type, max(ts) as newest, max(ts) >= (select max(ts) from events) - interval 1 hour as fresh from events group by 1")
