@@ -21,7 +21,7 @@ def total(col: Column) -> Column:
 
 def hundredths(col: str | Column) -> Column:
     """A double of two decimals in whole hundredths: sums of longs are exact and cheap, up to 9e18."""
-    return F.round((F.col(col) if isinstance(col, str) else col) * 100).cast("long")
+    return F.rint((F.col(col) if isinstance(col, str) else col) * 100).cast("long")
 
 
 def amount(whole: Column, scale: int = 100) -> Column:

@@ -27,11 +27,15 @@ STEP = 16
 
 def _level(length: Column, bin_width: int) -> Column:
     """The level whose bins are at least as wide as a range, so that it lies in two of them at most."""
-    return F.greatest(F.ceil(F.round(F.log(F.greatest(length, F.lit(1)) / bin_width) / F.log(F.lit(float(STEP))), 9)), F.lit(0)).cast("int")
+    out = F.lit(0)
+    for level in range(1, 16):
+        if bin_width * STEP ** (level - 1) < 2**62:
+            out = F.when(length > bin_width * STEP ** (level - 1), level).otherwise(out)
+    return out
 
 
-def _width(level: Column, bin_width: int) -> Column:
-    return (F.pow(F.lit(float(STEP)), level) * bin_width).cast("long")
+def _width(level: Column, bin_width: int, top: int) -> Column:
+    return F.element_at(F.array(*(F.lit(bin_width * STEP**i).cast("long") for i in range(top + 1))), level + 1) if top else F.lit(bin_width)
 
 
 def overlap_join(a: DataFrame, b: DataFrame, key: str, start: str, end: str, bin_width: int) -> DataFrame:
@@ -45,17 +49,17 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str, start: str, end: str, bin
     """
     fits = lambda df: df.where(F.col(start) < F.col(end)).withColumn("_own", _level(F.col(end) - F.col(start), bin_width))
     sides = [fits(a), fits(b)]
-    top = max(df.agg(F.coalesce(F.max("_own"), F.lit(0))).first()[0] for df in sides)
+    top = sides[0].select("_own").union(sides[1].select("_own")).agg(F.coalesce(F.max("_own"), F.lit(0))).first()[0]
 
     def deal(df: DataFrame) -> DataFrame:
         rows = df.withColumn("_level", F.explode(F.sequence(F.col("_own"), F.lit(top)))) if top else df.withColumn("_level", F.lit(0))
-        width = _width(F.col("_level"), bin_width)
+        width = _width(F.col("_level"), bin_width, top)
         return rows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
 
     left, right = map(deal, sides)
     right = right.select(*(F.col(c).alias(c if c in (key, "_bin", "_level") else f"other_{c}") for c in right.columns))
     lo, hi = F.greatest(start, f"other_{start}"), F.least(end, f"other_{end}")
-    met = (lo < hi) & (F.col("_level") == F.greatest("_own", "other__own")) & (F.col("_bin") == F.floor(lo / _width(F.col("_level"), bin_width)))
+    met = (lo < hi) & (F.col("_level") == F.greatest("_own", "other__own")) & (F.col("_bin") == F.floor(lo / _width(F.col("_level"), bin_width, top)))
     return left.join(right, [key, "_level", "_bin"]).where(met).withColumns({"from_": lo, "to_": hi}).drop("_bin", "_level", "_own", "other__own")
 
 
@@ -63,7 +67,7 @@ def contains_join(points: DataFrame, ranges: DataFrame, key: str, at: str, start
     """Points with the ranges [start, end) of their key that contain them. A range is in the one or two bins of its level, a point in one bin of each level in use."""
     fits = ranges.where(F.col(start) < F.col(end)).withColumn("_level", _level(F.col(end) - F.col(start), bin_width))
     top = fits.agg(F.coalesce(F.max("_level"), F.lit(0))).first()[0]
-    width = _width(F.col("_level"), bin_width)
+    width = _width(F.col("_level"), bin_width, top)
     binned = fits.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
     dealt = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(top))) if top else F.lit(0)).withColumn("_bin", F.floor(F.col(at) / width))
     return dealt.join(binned, [key, "_level", "_bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bin", "_level")
