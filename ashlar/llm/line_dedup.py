@@ -120,8 +120,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", depth: int = 3, min_toke
     col = lambda c: F.col("`" + c.replace("`", "``") + "`")
     texts = docs.select(col(id_col).alias("id"), col("text").alias("text"))
     drop = recurring_lines(texts, "id", depth, min_tokens, min_docs, share, short_docs)
-    rows = docs.select(F.struct(*(col(c) for c in kept)).alias("row"), col(id_col).alias("id"), F.split(col("text"), "\n").alias("lines"))
-    rows = rows.join(drop, "id", "left")
+    rows = docs.select(F.struct(*(col(c) for c in kept)).alias("row"), col(id_col).alias("id"))
+    rows = rows.join(drop, "id", "left").withColumn("lines", F.split(F.col("row")["text"], "\n"))  # after the join: texts are shuffled once
     keep = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
     text = F.when(F.col("drop").isNull(), F.col("row")["text"]).otherwise(F.array_join(F.transform(keep, lambda i: F.col("lines")[i]), "\n"))
     counts = F.when(F.col("lines").isNotNull(), F.size("lines")).otherwise(0).cast("long"), F.coalesce(F.size("drop"), F.lit(0)).cast("long")
