@@ -260,11 +260,11 @@ def coder_of(path: str, pattern: str) -> Coder:
     return _CODERS[path, pattern]
 
 
-def chunks(texts: list[str]) -> Iterator[slice]:
+def chunks(texts: list[str], most: int = CHUNK) -> Iterator[slice]:
     """Slices of bounded size; a longer text has one of its own."""
     begin = size = 0
     for i, x in enumerate(texts):
-        if size and size + len(x) > CHUNK:
+        if size and size + len(x) > most:
             yield slice(begin, i)
             begin, size = i, 0
         size += len(x)

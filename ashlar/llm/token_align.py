@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -37,15 +38,33 @@ from ashlar.lineage import cut
 from ashlar.llm.bpe import chunks
 from ashlar.llm.subwords import loaded
 
-#: Groups with more links than this are reduced to distinct ids first.
-WIDE = 64
+#: Groups with more links than this are reduced to distinct ids first; characters of a chunk; words that a worker keeps of either tokenizer.
+WIDE, CHUNK, KEPT = 64, 3_000_000, 450_000
 
 
 def gallop(ends: np.ndarray, longer: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The first place in longer, from start on, whose value isn't below each of ends: doubling steps, then bisection. len(longer) if there is none."""
+    """The first place in longer, from start on, whose value isn't below each of ends, which ascend; len(longer) if there is none.
+
+    Every 4,096th end gallops first; the ones between gallop from where the last one before them was found, in ever finer steps.
+    """
+    found = np.zeros(len(ends), np.int64)
+    before = 0
+    for stride in (4096, 256, 16, 1):
+        at = np.arange(0, len(ends), stride)
+        if before:
+            at = at[at % before != 0]
+            found[at] = search(ends[at], longer, np.maximum(start[at], found[at - at % before]))
+        else:
+            found[at] = search(ends[at], longer, start[at])
+        before = stride
+    return found
+
+
+def search(ends: np.ndarray, longer: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Doubling steps from start until an end is passed, then bisection between the last two."""
     n = len(longer)
     low, step = start.copy(), np.ones_like(start)
-    below = longer[np.minimum(low, n - 1)] < ends
+    below = (low < n) & (longer[np.minimum(low, n - 1)] < ends)
     high = np.where(below, np.minimum(low + 1, n), low)
     open_ = np.flatnonzero(below & (high < n))
     while len(open_):  # low is below the end, high isn't known yet
@@ -82,19 +101,21 @@ def common_ends(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray)
     return at_a[order], at_b[order]
 
 
-def decimal_lists(ids: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, where each id's text with its separator ends) of decimal ids, each followed by its separator."""
-    digits = 1 + sum((ids >= 10**k).astype(np.int64) for k in range(1, 10))
-    ends = np.cumsum(digits + 1)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-    out[ends - 1] = separators
-    left, at, some = ids.astype(np.int64), ends - 2, np.arange(len(ids))
-    while len(some):
-        out[at[some]] = 48 + left[some] % 10
-        left[some] //= 10
-        at[some] -= 1
-        some = some[left[some] > 0]
-    return out, ends
+@cache
+def digit_table(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the digits of 0 to most, on the right of rows of one width; how many each has)."""
+    ids, width = np.arange(most + 1), len(str(most))
+    rows = np.stack([48 + ids // 10**k % 10 for k in range(width - 1, -1, -1)], axis=1).astype(np.uint8)
+    return rows, 1 + sum((ids >= 10**k).astype(np.int64) for k in range(1, width))
+
+
+def decimal_lists(ids: np.ndarray, separators: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where each id's text with its separator ends) of decimal ids of up to most, each followed by its separator."""
+    rows, digits = digit_table(most)
+    width, n = rows.shape[1], digits[ids]
+    out = np.empty((len(ids), width + 1), np.uint8)
+    out[:, :width], out[:, width] = rows[ids], separators
+    return out[np.arange(width + 1) >= (width - n)[:, None]], np.cumsum(n + 1)
 
 
 def linked_pairs(ids_a: np.ndarray, ids_b: np.ndarray, from_a: np.ndarray, from_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,10 +138,8 @@ def linked_pairs(ids_a: np.ndarray, ids_b: np.ndarray, from_a: np.ndarray, from_
     return np.concatenate(texts), np.concatenate(pairs), np.concatenate(times)
 
 
-def align_chunk(coded_a: list[bytes], coded_b: list[bytes], length_a: np.ndarray, length_b: np.ndarray) -> dict[str, np.ndarray | list]:
-    """Of texts that both tokenizers give back whole: n_a, n_b, n_groups, n_links, groups_sha256, and the rows (text, pair, links)."""
-    ids_a, ids_b = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in (coded_a, coded_b))
-    n_a, n_b = (np.array([len(y) // 4 for y in x], np.int64) for x in (coded_a, coded_b))
+def align_chunk(ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, length_a: np.ndarray, length_b: np.ndarray) -> dict[str, np.ndarray | list]:
+    """Of texts that both tokenizers give back whole: n_groups, n_links, groups_sha256, and the rows (text, pair, links)."""
     at_a, at_b = common_ends(np.cumsum(length_a[ids_a]), np.cumsum(length_b[ids_b]), n_a, n_b)
     text = np.repeat(np.arange(len(n_a)), n_a)[at_a]
     from_a, from_b = np.concatenate([[0], at_a[:-1] + 1]), np.concatenate([[0], at_b[:-1] + 1])
@@ -134,11 +153,11 @@ def align_chunk(coded_a: list[bytes], coded_b: list[bytes], length_a: np.ndarray
     ids, separators = np.empty(len(ids_a) + len(ids_b), np.int64), np.full(len(ids_a) + len(ids_b), ord(","), np.uint8)
     ids[place_a], ids[place_b] = ids_a, ids_b
     separators[place_a[at_a]], separators[place_b[at_b]] = ord("|"), ord(";")
-    written, ends = decimal_lists(ids, separators)
+    written, ends = decimal_lists(ids, separators, max(len(length_a), len(length_b)) - 1)
     stops = ends[np.cumsum(n_a + n_b) - 1].tolist()
     data = written.tobytes()
     digests = [hashlib.sha256(data[x : y - 1]).hexdigest() for x, y in zip([0, *stops[:-1]], stops, strict=True)]
-    return {"n_a": n_a, "n_b": n_b, "n_groups": groups, "n_links": links, "groups_sha256": digests, "rows": linked_pairs(ids_a, ids_b, from_a, from_b, g_a, g_b, text)}
+    return {"n_groups": groups, "n_links": links, "groups_sha256": digests, "rows": linked_pairs(ids_a, ids_b, from_a, from_b, g_a, g_b, text)}
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -150,23 +169,23 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id") -
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = loaded("byte_level", a_path), loaded("pieces", b_path)
+        a, b = loaded("byte_level", a_path, KEPT), loaded("pieces", b_path, KEPT)
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            for part in chunks(texts):
+            for part in chunks(texts, CHUNK):
                 some = [" " + x for x in texts[part]]
-                (coded_a, like_a), (coded_b, like_b) = a.encode(some), b.encode(some)
-                good = np.flatnonzero([x and y and len(s) > 1 for x, y, s in zip(like_a, like_b, some, strict=True)])
-                n = len(some)
+                (ids_a, n_a, like_a), (ids_b, n_b, like_b) = a.encode(some), b.encode(some)
+                whole = like_a & like_b & np.array([len(x) > 1 for x in some])
+                good, n = np.flatnonzero(whole), len(some)
                 counts = {k: np.zeros(n, np.int64) for k in ("n_a", "n_b", "n_groups", "n_links")}
                 digests = [""] * n
                 at, times, n_pairs = np.empty(0, np.int32), np.empty(0, np.int64), np.zeros(n, np.int64)
                 pairs = held = np.empty(0, np.int64)
                 if len(good):
-                    out = align_chunk([coded_a[i] for i in good], [coded_b[i] for i in good], a.length, b.length)
-                    for k, v in counts.items():
-                        v[good] = out[k]
+                    out = align_chunk(ids_a[np.repeat(whole, n_a)].astype(np.int64), ids_b[np.repeat(whole, n_b)].astype(np.int64), n_a[good], n_b[good], a.length, b.length)
+                    for k, v in (("n_a", n_a[good]), ("n_b", n_b[good]), ("n_groups", out["n_groups"]), ("n_links", out["n_links"])):
+                        counts[k][good] = v
                     for i, x in zip(good.tolist(), out["groups_sha256"], strict=True):
                         digests[i] = x
                     text, pair, links = out["rows"]

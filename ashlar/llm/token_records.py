@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 
 from ashlar.lineage import CLEAN_UP, scratch
 from ashlar.llm.bpe import chunks
-from ashlar.llm.subwords import byte_level
+from ashlar.llm.subwords import loaded
 
 #: CRC-32C: the reversed polynomial, and what masks a checksum.
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
-#: Words that a worker keeps encoded; bytes of a block that checksums are made of.
-KEPT, BLOCK = 1_000_000, 256
+#: Words that a worker keeps encoded; characters encoded at once; bytes of a block that checksums are made of.
+KEPT, CHUNK, BLOCK = 900_000, 4_000_000, 256
 
 
 def _byte_table() -> np.ndarray:
@@ -166,20 +166,17 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "d
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     rows = rows.repartitionByRange("id", "hash").sortWithinPartitions("id", "hash", "text").select("id", "text")
-    coders: dict[str, object] = _CODERS
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         name, out = f"part-{part:06d}-{uuid.uuid4().hex}.rec", None
-        coder = coders.get(tokenizer) or coders.setdefault(tokenizer, byte_level(tokenizer, KEPT))
+        coder = loaded("byte_level", tokenizer, KEPT)
         width = 2 if max(len(coder.token_bytes) - 1, end) < 1 << 16 else 4
         place = offset = before = 0
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for some in chunks(texts):
-                coded = coder.encode(texts[some])[0]
-                ids = np.frombuffer(b"".join(coded), "<u4").astype(f"<u{width}").tobytes()
-                counts = np.array([len(x) // 4 for x in coded], np.int64)
+            for some in chunks(texts, CHUNK):
+                coded, counts, _ = coder.encode(texts[some])
+                ids = coded.astype(f"<u{width}").tobytes()
                 cuts = np.concatenate([[0], np.cumsum(counts) * width]).tolist()
                 last = end.to_bytes(width, "little")
                 framed = frame([ids[x:y] + last for x, y in zip(cuts, cuts[1:], strict=False)])
@@ -208,8 +205,6 @@ def read_index(spark: SparkSession, folder: str, id_col: str = "doc_id") -> Data
     return spark.read.parquet(f"{folder}/index").withColumnRenamed("id", id_col)
 
 
-#: A worker keeps its tokenizers for later partitions.
-_CODERS: dict = {}
 #: Bytes of a file that are read at once.
 SPAN = 8 << 20
 
