@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,88 @@ def in_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
             at = F.lit(x1) + (y - y1) * ((x2 - x1) / (y2 - y1))
             crossed = crossed + F.when(((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < at), 1).otherwise(0)
     return crossed % 2 == 1
+
+
+#: The width of a hexagon of size 1, between opposite sides.
+WIDTH = 1.7320508075688772
+
+
+def centre(q: Column, r: Column, size: float) -> tuple[Column, Column]:
+    """x and y of a hexagon's centre."""
+    return size * WIDTH * (q + r / 2.0), size * 1.5 * r
+
+
+def edges(polygons: DataFrame, id_col: str, rings: str) -> DataFrame:
+    """id_col, x1, y1, x2, y2: the sides of every ring (array of x, y), the last point joined to the first. Rings with a null point or coordinate have none."""
+    whole = polygons.select(id_col, F.explode(rings).alias("_g")).where(F.forall("_g", lambda p: p["x"].isNotNull() & p["y"].isNotNull()))
+    sides = F.arrays_zip(F.col("_g").alias("a"), F.concat(F.slice("_g", 2, F.greatest(F.size("_g") - 1, F.lit(0))), F.slice("_g", 1, 1)).alias("b"))
+    each = whole.where(F.size("_g") > 1).select(id_col, F.explode(sides).alias("_s"))
+    return each.select(id_col, F.col("_s.a.x").alias("x1"), F.col("_s.a.y").alias("y1"), F.col("_s.b.x").alias("x2"), F.col("_s.b.y").alias("y2"))
+
+
+def _crossing(y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Column]:
+    """Whether a side crosses the height y, and where."""
+    return (y1 > y) != (y2 > y), x1 + (y - y1) * ((x2 - x1) / (y2 - y1))
+
+
+def _rows_of(sides: DataFrame, size: float, margin: float) -> DataFrame:
+    """Each side once for every row of hexagons whose centres are within margin of its heights, and perhaps for the next ones."""
+    row = lambda y, up: (F.ceil if up else F.floor)((y + (margin if up else -margin)) / (size * 1.5))
+    return sides.withColumn("r", F.explode(F.sequence(row(F.least("y1", "y2"), False), row(F.greatest("y1", "y2"), True))))
+
+
+def polyfill(polygons: DataFrame, id_col: str, rings: str, size: float) -> DataFrame:
+    """id_col, q, r: the hexagons whose centres lie in the polygon, by the even-odd rule over all its rings, so that rings inside others are holes.
+
+    Sides are dealt to the rows of hexagons that they cross; in each row the
+    crossings, sorted, bound the runs of centres inside. Work goes with the
+    polygons' outlines and the cells that come out.
+    """
+    sides = _rows_of(edges(polygons, id_col, rings), size, 0.0)
+    crosses, at = _crossing(size * 1.5 * F.col("r"), *map(F.col, ("x1", "y1", "x2", "y2")))
+    found = sides.where(crosses).select(id_col, "r", at.alias("_at"))
+    order = Window.partitionBy(id_col, "r").orderBy("_at")
+    runs = found.withColumns({"_i": F.row_number().over(order), "_to": F.lead("_at").over(order)}).where("_i % 2 = 1 and _at < _to")
+    q_of = lambda x: x / (size * WIDTH) - F.col("r") / 2.0
+    cells = runs.withColumn("q", F.explode(F.sequence(F.floor(q_of(F.col("_at"))), F.ceil(q_of(F.col("_to"))))))
+    x = centre(F.col("q"), F.col("r"), size)[0]
+    return cells.where((x >= F.col("_at")) & (x < F.col("_to"))).select(id_col, "q", "r")
+
+
+def cover(polygons: DataFrame, id_col: str, rings: str, size: float) -> DataFrame:
+    """id_col, q, r, whole: the hexagons that may hold points of the polygon; whole: no side comes near the cell, and it lies inside."""
+    sides = _rows_of(edges(polygons, id_col, rings), size, size)
+    middle = size * 1.5 * F.col("r")
+    slope = (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    clipped = lambda y: F.when(F.col("y1") == F.col("y2"), None).otherwise(F.col("x1") + (F.greatest(F.least(y, F.greatest("y1", "y2")), F.least("y1", "y2")) - F.col("y1")) * slope)
+    low, high = clipped(middle - size), clipped(middle + size)
+    first, last = (F.coalesce(f(low, high), f("x1", "x2")) for f in (F.least, F.greatest))  # of the part of the side in this row
+    q_of = lambda x: x / (size * WIDTH) - F.col("r") / 2.0
+    border = sides.withColumn("q", F.explode(F.sequence(F.floor(q_of(first)) - 1, F.ceil(q_of(last)) + 1))).select(id_col, "q", "r").distinct()
+    inner = polyfill(polygons, id_col, rings, size).join(border, [id_col, "q", "r"], "left_anti")
+    return border.withColumn("whole", F.lit(False)).unionByName(inner.withColumn("whole", F.lit(True)))
+
+
+def in_polygons(points: DataFrame, x: str, y: str, polygons: DataFrame, id_col: str, rings: str, size: float) -> DataFrame:
+    """points with the id_col of each polygon that contains them, holes left out; points on a side belong to one of its two sides by the even-odd rule.
+
+    Points meet polygons by cell; only in cells near a side the ray test is
+    made, against the sides of that polygon which reach the point's row of
+    cells. Points or polygons with nulls have no pairs. Choose size so that a
+    polygon has tens to thousands of cells. Columns of points are kept as they
+    are; they must not be named like id_col.
+    """
+    rows = points.select(F.struct(*points.columns).alias("_p"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null and _y is not null")
+    placed = hex_cells(rows, F.col("_x"), F.col("_y"), size)
+    met = placed.join(cover(polygons, id_col, rings, size), ["q", "r"])
+    near = _rows_of(edges(polygons, id_col, rings), size, size).groupBy(id_col, "r").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_sides"))  # sides of one polygon in one row
+
+    def odd(sides: Column) -> Column:
+        def step(n: Column, s: Column) -> Column:
+            crosses, at = _crossing(F.col("_y"), s["x1"], s["y1"], s["x2"], s["y2"])
+            return n + F.when(crosses & (F.col("_x") < at), 1).otherwise(0)
+
+        return F.aggregate(sides, F.lit(0), step) % 2 == 1
+
+    tested = met.where("not whole").join(near, [id_col, "r"]).where(odd(F.col("_sides")))
+    return met.where("whole").select("_p.*", id_col).unionByName(tested.select("_p.*", id_col))
