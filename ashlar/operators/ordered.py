@@ -53,6 +53,58 @@ def carried_total(df: DataFrame, keys: list[str], order: list[str], value: Colum
     return out.withColumn(name, F.col("_own") + F.coalesce("_before", F.lit(0))).select(*df.columns, name)
 
 
+def carried_previous(df: DataFrame, keys: list[str], order: list[str], value: Column, ranges: int, name: str = "previous") -> DataFrame:
+    """df with value in the row before, of the same keys, by order, which must tell rows apart. Each range is scanned alone; its first row takes what the range before it ended with."""
+    dealt = in_ranges(df.withColumn("_v", F.struct(value.alias("v"))), [*keys, *order], ranges)
+    ends = dealt.groupBy(*keys, "_range").agg(F.max_by("_v", F.struct(*order)).alias("_e"))  # ranges x the keys that lie in them
+    before = ends.withColumn("_before", F.lag("_e").over(Window.partitionBy(*keys).orderBy("_range")))
+    own = F.lag("_v").over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    out = dealt.withColumn("_own", own).join(before.select(*keys, "_range", "_before"), [*keys, "_range"])
+    return out.withColumn(name, F.coalesce("_own", "_before")["v"]).select(*df.columns, name)
+
+
+def unchanged_in_ranges(df: DataFrame, key: str, order: list[str], digest: Column, ranges: int) -> DataFrame:
+    """unchanged_versions() for hot keys."""
+    return carried_previous(df.withColumn("_d", digest), [key], order, F.col("_d"), ranges, "_p").where("_d = _p").drop("_d", "_p")
+
+
+def sequence_audit_in_ranges(df: DataFrame, key: str, seq: str, ts: str, ranges: int) -> DataFrame:
+    """key, n, gaps (steps of seq over 1), disorders (ts before the one of the row before, by seq), for hot keys."""
+    rows = carried_previous(df.select(key, seq, ts), [key], [seq], F.struct(F.col(seq).alias("s"), F.col(ts).alias("t")), ranges, "_p")
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col(seq) - F.col("_p.s") > 1).alias("gaps"), F.count_if(F.col(ts) < F.col("_p.t")).alias("disorders"))
+
+
+def sessions_in_ranges(df: DataFrame, key: str, at: Column, order: list[str], gap: int, ranges: int) -> DataFrame:
+    """key, start, last, n of the runs of rows of a key with less than gap between neighbours; at: a whole number, first in order of time, then order. A session may lie over several ranges."""
+    rows = df.withColumn("_at", at)
+    order = ["_at", *order]
+    rows = carried_previous(rows.select(key, *order), [key], order, F.col("_at"), ranges, "_p")
+    fresh = F.when(F.col("_at") - F.col("_p") < gap, 0).otherwise(1)
+    numbered = carried_total(rows.withColumn("_f", fresh), [key], order, F.col("_f"), ranges, "_s")
+    return numbered.groupBy(key, "_s").agg(F.min("_at").alias("start"), F.max("_at").alias("last"), F.count("*").alias("n")).drop("_s")
+
+
+def trailing_count(df: DataFrame, key: str, at: Column, width: int, ranges: int, name: str = "n") -> DataFrame:
+    """df with the rows of its key from width before it (inclusive) up to its own time, rows of one time together.
+
+    Rows are dealt by ranges of key and time; every range also gets, as a halo,
+    the rows of its first key that lie less than width before its beginning, so
+    each counts alone. The bounds, one a range, are what the driver sees.
+    """
+    dealt = in_ranges(df.withColumn("_at", at), [key, "_at"], ranges)
+    first = dealt.groupBy("_range").agg(F.min_by(F.struct(F.col(key).alias("k"), F.col("_at").alias("a")), F.struct(F.col(key), F.col("_at"))).alias("b")).select(F.col("_range").alias("_to"), F.col("b.k").alias("_k"), F.col("b.a").alias("_a"))
+    halo = dealt.select(key, "_at", "_range").join(F.broadcast(first), (F.col(key) == F.col("_k")) & (F.col("_at") < F.col("_a")) & (F.col("_at") >= F.col("_a") - width) & (F.col("_range") < F.col("_to")))
+    rows = dealt.withColumn("_own", F.lit(True)).unionByName(halo.select(key, "_at", F.col("_to").alias("_range"), F.lit(False).alias("_own")), allowMissingColumns=True)
+    window = Window.partitionBy(key, "_range").orderBy("_at").rangeBetween(-width, 0)
+    return rows.withColumn(name, F.count("*").over(window)).where("_own").select(*df.columns, name)
+
+
+def rate_peaks(counted: DataFrame, key: str, limits: DataFrame, limit: str, name: str = "n") -> DataFrame:
+    """key, peak, limit, over: each key's highest trailing count beside its plan's limit; keys without a limit are never over."""
+    peaks = counted.groupBy(key).agg(F.max(name).alias("peak"))
+    return peaks.join(limits.select(key, limit), key, "left").withColumn("over", F.coalesce(F.col("peak") > F.col(limit), F.lit(False)))
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], ranges: int = 64, between: bool = False) -> DataFrame:
     """keys and the exact quantiles named in qs: the ceil(q x n)-th value, or interpolated between neighbours.
 

@@ -6,8 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 
 def apply_struct(df: DataFrame, cols: list[str], fn: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
@@ -42,6 +44,51 @@ def apply_rows(df: DataFrame, fn: Callable[[tuple], Iterator[tuple]], schema: st
     return df.mapInPandas(run, schema)
 
 
+class Runs:
+    """Table function: the runs of equal values in each partition of its table argument, in that argument's order.
+
+    Arguments: the table, the value's column, the least length of a run. Gives
+    the partition's first column, value, n and the place of the run's first row
+    in its partition; the type of the first column is the table's.
+    """
+
+    @staticmethod
+    def analyze(table: AnalyzeArgument, value: AnalyzeArgument, least: AnalyzeArgument) -> AnalyzeResult:
+        if not table.isTable or value.value not in table.dataType.names:
+            raise ValueError("runs_of takes a table and the name of one of its columns")
+        first = table.dataType.fields[0]
+        return AnalyzeResult(StructType([StructField(first.name, first.dataType), StructField("value", StringType()), StructField("n", LongType()), StructField("at", LongType())]))
+
+    def __init__(self) -> None:
+        self.key = self.value = None
+        self.n = self.seen = 0
+        self.least = 1
+
+    def eval(self, row: Row, value: str, least: int) -> Iterator[tuple]:
+        now = row[value]
+        if self.n and now != self.value and self.n >= least:
+            yield self.key, self.value, self.n, self.seen - self.n
+        self.n = self.n + 1 if self.n and now == self.value else 1
+        self.key, self.value, self.least = row[0], now, least
+        self.seen += 1
+
+    def terminate(self) -> Iterator[tuple]:
+        if self.n and self.n >= self.least:
+            yield self.key, self.value, self.n, self.seen - self.n
+
+
+def runs_of(df: DataFrame, key: str, order: str, value: str, least: int = 1) -> DataFrame:
+    """key, value, n, at: the runs of equal values of at least that length in each key's rows, in order."""
+    function = F.udtf(Runs, useArrow=True)
+    table = df.select(key, order, F.col(value).cast("string").alias(value)).asTable()
+    return function(table.partitionBy(key).orderBy(order), F.lit(value), F.lit(least))
+
+
+def register_runs(spark: SparkSession) -> None:
+    """runs_of(TABLE(...) PARTITION BY ... ORDER BY ..., 'value', least) for SQL."""
+    spark.udtf.register("runs_of", F.udtf(Runs, useArrow=True))
+
+
 #: Palette that a pixel's colour is named by.
 COLOURS = {"red": (220, 40, 40), "green": (40, 180, 60), "blue": (50, 80, 210), "yellow": (235, 215, 60), "white": (245, 245, 245), "black": (15, 15, 15), "grey": (128, 128, 128)}
 

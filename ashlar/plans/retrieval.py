@@ -332,6 +332,22 @@ def f4_udtf(t: Tables) -> DataFrame:
     return udfs.apply_rows(t.part.select("p_partkey", "p_name"), lambda row: ((row.p_partkey, w) for w in row.p_name.split(" ")), "p_partkey long, word string")
 
 
+RUNS = "with r as (select *, row_number() over w as i, row_number() over w - row_number() over (partition by {0}, event_type order by {1}) as g from events window w as (partition by {0} order by {1})) select {0}, event_type as value, count(*) as n, min(i) - 1 as at from r group by {0}, event_type, g having count(*) >= {2}"
+
+
+@query(RUNS.format("user_id", "event_id", 3))
+def f4_runs_sql(t: Tables) -> DataFrame:
+    """The table function from SQL."""
+    udfs.register_runs(t.spark)
+    return t.spark.sql("select * from runs_of(table({e}) partition by user_id order by (event_id), 'event_type', 3)", e=t.events.select("user_id", "event_id", "event_type"))
+
+
+@query(RUNS.format("user_id", "event_id", 1))
+def f4_runs(t: Tables) -> DataFrame:
+    """The table function from a DataFrame."""
+    return udfs.runs_of(t.events, "user_id", "event_id", "event_type")
+
+
 @query("select o_orderkey, case o_orderstatus when 'F' then 'red' when 'O' then 'green' else 'blue' end as colour, case o_orderstatus when 'F' then 0.862745 when 'O' then 0.705882 else 0.823529 end as brightness, n_name as likes from orders join nation on n_nationkey = case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end")
 def f5_image_features(t: Tables) -> DataFrame:
     """Pictures of one colour by status, joined on the colour that is found."""

@@ -10,7 +10,7 @@ from ashlar.lineage import scratch
 from ashlar.operators import merge
 from ashlar.plans.catalog import Tables, query
 from ashlar.plans.relational import V1, V2, versions
-from ashlar.sources import files
+from ashlar.sources import files, log
 from ashlar.streaming import events as ev
 
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double"
@@ -79,6 +79,37 @@ def s8_read_log(t: Tables) -> DataFrame:
     return files.read_log(t.events, "event_type", "event_id", {"view": 100, "click": 300}, {"view": 700}).select("event_id", "event_type")
 
 
+def event_log(t: Tables) -> tuple[str, DataFrame]:
+    """The folder of a log of events in two commits, and what it was given."""
+    log.register(t.spark)
+    path = scratch(t.spark, "log")
+    rows = t.events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("value"), F.col("ts").cast("timestamp").alias("ts"))
+    for odd in (0, 1):
+        rows.where(F.col("value").cast("long") % 2 == odd).write.format("ashlar_log").option("path", path).mode("append").save()
+    return path, rows
+
+
+@query("select crc32_mod as part, n, n as last_offset_1, 0::bigint as first_offset, ids from (select 0 as crc32_mod, count(*) as n, count(distinct event_id) as ids from events)")
+def s8_log_source(t: Tables) -> DataFrame:
+    """A log of one part: offsets have no gap and no row is lost or doubled."""
+    log.register(t.spark)
+    path = scratch(t.spark, "log")
+    t.events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("value"), F.col("ts").cast("timestamp").alias("ts")).write.format("ashlar_log").option("path", path).option("parts", 1).mode("append").save()
+    rows = t.spark.read.format("ashlar_log").option("path", path).load()
+    return rows.groupBy("part").agg(F.count("*").alias("n"), (F.max("offset") + 1).alias("last_offset_1"), F.min("offset").alias("first_offset"), F.count_distinct("value").alias("ids"))
+
+
+@query("select event_id, user_id, ts from events")
+def s8_log_stream(t: Tables) -> DataFrame:
+    """A log read as a stream and written to another by a stream, each row once."""
+    path, _ = event_log(t)
+    copy = scratch(t.spark, "log")
+    stream = t.spark.readStream.format("ashlar_log").option("path", path).load().select("key", "value", "ts")
+    stream.writeStream.format("ashlar_log").option("path", copy).option("checkpointLocation", f"{copy}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = t.spark.read.format("ashlar_log").option("path", copy).load()
+    return rows.select(F.col("value").cast("long").alias("event_id"), F.col("key").cast("long").alias("user_id"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 @query("select 'seq' as by, count(*) as n, min(event_id) as first_id from events where event_id >= 500 union all select 'time', count(*), min(event_id) from events where ts >= timestamp '2024-01-20' union all select 'last', count(*), min(id) from (select max(event_id) as id from events group by user_id) union all select 'all', count(*), min(event_id) from events")
 def s9_replay(t: Tables) -> DataFrame:
     log = t.events.select("event_id", "ts", "user_id", "value")

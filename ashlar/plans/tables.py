@@ -314,3 +314,45 @@ def q14_compat_audit(t: Tables) -> DataFrame:
     old = t.orders.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").cast("string").alias("price"), F.col("o_orderstatus").alias("status"))
     new = old.select("id", "price", F.lit("n").alias("note"))
     return quality.compat_audit(old, new, {"id": ("bigint", True), "price": ("double", True), "status": ("string", True)}, {"id": ("bigint", True), "price": ("double", True), "note": ("string", False)})
+
+
+# ---- hot keys in ranges: event types have a fifth of the rows each
+
+MICROS = "epoch_us(ts)"
+
+
+def micros(t: Tables) -> DataFrame:
+    return t.events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+
+
+@query("select event_id, count(*) over (partition by event_type order by epoch_us(ts) range between 3600000000 preceding and current row) as n from events")
+def w13_rate_in_ranges(t: Tables) -> DataFrame:
+    return ordered.trailing_count(micros(t), "event_type", F.col("us"), 3_600_000_000, 8).select("event_id", "n")
+
+
+@query("with n as (select event_type, count(*) over (partition by event_type order by epoch_us(ts) range between 3600000000 preceding and current row) as n from events), p as (select event_type, max(n) as peak from n group by 1), l as (select event_type, case when event_type = 'view' then 5 else 1000 end::bigint as most from events where event_type <> 'signup' group by 1) select event_type, peak, most, coalesce(peak > most, false) as over from p left join l using (event_type)")
+def w13_over_limit(t: Tables) -> DataFrame:
+    """Peaks of the trailing hour beside the limit of each type's plan; one type has none."""
+    limits = t.events.where("event_type <> 'signup'").select("event_type").distinct().withColumn("most", F.when(F.col("event_type") == "view", 5).otherwise(1000).cast("long"))
+    counted = ordered.trailing_count(micros(t), "event_type", F.col("us"), 3_600_000_000, 8)
+    return ordered.rate_peaks(counted, "event_type", limits, "most")
+
+
+@query("select event_id, lag(event_id) over (partition by event_type order by ts, event_id) as previous from events")
+def w5_previous_in_ranges(t: Tables) -> DataFrame:
+    return ordered.carried_previous(t.events, ["event_type"], ["ts", "event_id"], F.col("event_id"), 8).select("event_id", "previous")
+
+
+@query("select event_id from (select event_id, user_id % 3 as d, lag(user_id % 3) over (partition by event_type order by ts, event_id) as p from events) where d = p")
+def w9_unchanged_in_ranges(t: Tables) -> DataFrame:
+    return ordered.unchanged_in_ranges(t.events, "event_type", ["ts", "event_id"], F.col("user_id") % 3, 8).select("event_id")
+
+
+@query("select event_type, count(*) as n, count(*) filter (event_id - ps > 1) as gaps, count(*) filter (ts < pt) as disorders from (select *, lag(event_id) over w as ps, lag(ts) over w as pt from events window w as (partition by event_type order by event_id)) group by 1")
+def w10_audit_in_ranges(t: Tables) -> DataFrame:
+    return ordered.sequence_audit_in_ranges(t.events, "event_type", "event_id", "ts", 8)
+
+
+@query("with g as (select *, case when epoch_us(ts) - lag(epoch_us(ts)) over w < 1200000000 then 0 else 1 end as f from events window w as (partition by event_type order by ts, event_id)), s as (select *, sum(f) over (partition by event_type order by ts, event_id rows unbounded preceding) as sid from g) select event_type, min(epoch_us(ts)) as start, max(epoch_us(ts)) as last, count(*) as n from s group by event_type, sid")
+def y2_sessions_in_ranges(t: Tables) -> DataFrame:
+    return ordered.sessions_in_ranges(micros(t), "event_type", F.col("us"), ["event_id"], 1_200_000_000, 8)
