@@ -102,12 +102,12 @@ def cosine(a: Column, b: Column) -> Column:
 def knn(base: DataFrame, id_col: str, vector: str, query: list[float], k: int, where: Column | None = None) -> DataFrame:
     """The k nearest to one vector by cosine, filtered before ranking; ties go to the smaller id. Null and zero vectors have no score and are left out."""
     rows = base if where is None else base.where(where)
-    score = F.round(cosine(F.col(vector), F.array(*(F.lit(float(x)) for x in query))), 6)
+    score = cosine(F.col(vector), F.array(*(F.lit(float(x)) for x in query)))
     return rows.select(id_col, score.alias("score")).where("score is not null").orderBy(F.desc("score"), id_col).limit(k)
 
 
 def knn_many(base: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, where: Column | None = None, block: int = 4000, metric: str = "cosine") -> DataFrame:
-    """query_id, id_col, score: the k nearest of each query among base, filtered before ranking; ties go to the smaller id.
+    """query_id, id_col, score: the k nearest of each query among base, filtered before ranking, by unrounded scores in double precision; ties go to the smaller id.
 
     metric: cosine, or l2, whose score is the distance's negative.
 
@@ -134,17 +134,20 @@ def knn_many(base: DataFrame, queries: DataFrame, id_col: str, vector: str, k: i
         if len(q) and len(b):
             b = b.sort_values("id")
             ids, vectors, asked = b["id"].to_numpy(), unit(b).T, unit(q)
+            raw, given = np.stack(b["v"].to_numpy()), np.stack(q["v"].to_numpy())
             for s in range(0, len(q), 256):
                 part = asked[s : s + 256]
                 scores = part @ vectors
                 if metric == "l2":
-                    scores = -np.sqrt(np.maximum((part * part).sum(axis=1)[:, None] - 2 * scores + (vectors * vectors).sum(axis=0), 0))
-                scores = np.round(scores, 6)
-                least = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+                    scores = 2 * scores - (part * part).sum(axis=1)[:, None] - (vectors * vectors).sum(axis=0)  # the negative square
+                kth = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+                slack = 1e-9 * (1 if metric == "cosine" else 1 + (part * part).sum(axis=1) + float((vectors * vectors).sum(axis=0).max()))
                 for i, row in enumerate(scores):
-                    among = np.flatnonzero(row >= least[i])
-                    among = among[np.argsort(-row[among], kind="stable")[:k]]
-                    out.append(pd.DataFrame({"query_id": q["id"].iloc[s + i], id_col: ids[among], "score": row[among]}))
+                    among = np.flatnonzero(row >= kth[i] - (slack if metric == "cosine" else slack[i]))  # the fast form's candidates
+                    own = given[s + i], raw[among]
+                    exact = -np.sqrt(((own[1] - own[0]) ** 2).sum(axis=1)) if metric == "l2" else (own[1] * own[0]).sum(axis=1) / np.sqrt((own[1] ** 2).sum(axis=1) * (own[0] ** 2).sum())
+                    best_ = np.argsort(-exact, kind="stable")[:k]
+                    out.append(pd.DataFrame({"query_id": q["id"].iloc[s + i], id_col: ids[among[best_]], "score": exact[best_]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], id_col: [], "score": []})
 
     found = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(best, f"query_id {kind}, `{id_col}` {kind}, score double")
@@ -180,6 +183,29 @@ def fuzzy(index: DataFrame, asked: str, most: int = 2, id_col: str = "id", term:
     return index.select(id_col, term).distinct().join(near, term, "left_semi").select(id_col, term)
 
 
+def deletions(term: Column, most: int) -> Column:
+    """The distinct strings that are left of a term with up to most characters deleted."""
+    shorter = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    level = every = F.array(term)
+    for _ in range(most):
+        level = F.array_distinct(F.flatten(F.transform(F.filter(level, lambda t: F.length(t) > 0), shorter)))
+        every = F.concat(every, level)
+    return F.array_distinct(every)
+
+
+def fuzzy_many(dictionary: DataFrame, asked: DataFrame, most: int = 2, term: str = "term", lead: int = 16) -> DataFrame:
+    """asked, term: the distinct pairs of an asked term and a term of the dictionary within an edit distance.
+
+    Two such terms have a string in common that either is left with after most
+    deletions, and so have their first lead characters; candidates meet by an
+    equi join on these strings, the distance is taken of candidates only. A term
+    has about lead squared / 2 strings, whatever its length. Null terms meet none.
+    """
+    keys = lambda df, name: df.where(F.col(term).isNotNull()).select(F.col(term).alias(name)).distinct().select(name, F.explode(deletions(F.substring(F.col(name), 1, lead), most)).alias("_k"))
+    met = keys(asked, "asked").join(keys(dictionary, "term"), "_k").select("asked", "term").distinct()
+    return met.where(F.levenshtein("asked", "term") <= most)
+
+
 def search_analytics(facts: DataFrame, items: DataFrame, on: Column, matches: Column, keys: list[str], *aggs: Column) -> DataFrame:
     """Aggregates of the facts whose item a search matched."""
     return facts.join(items.where(matches), on).groupBy(*keys).agg(*aggs)

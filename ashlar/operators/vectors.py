@@ -66,7 +66,7 @@ def ivf_search(index: DataFrame, centres: np.ndarray, queries: DataFrame, id_col
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
         a = a.sort_values("id")
-        scores = np.round(np.stack(b["q"].to_numpy()) @ np.stack(a["v"].to_numpy()).T, 6)
+        scores = np.stack(b["q"].to_numpy()) @ np.stack(a["v"].to_numpy()).T
         at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         return pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), at.shape[1]), "id": a["id"].to_numpy()[at].ravel(), "score": np.take_along_axis(scores, at, 1).ravel()})
 
@@ -101,7 +101,7 @@ def lsh_join(base: DataFrame, id_col: str, vector: str, least: float, tables: in
     pairs = buckets.select(F.col("id").alias("a"), "bucket").join(buckets.select(F.col("id").alias("b"), "bucket"), "bucket").where("a < b").select("a", "b").distinct()
     scored = pairs.join(rows.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(rows.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return scored.select("a", "b", F.round(dot, 6).alias("score")).where(F.col("score") >= least)
+    return scored.select("a", "b", dot.alias("score")).where(F.col("score") >= least)
 
 
 def recommend(base: DataFrame, examples: DataFrame, id_col: str, vector: str, k: int, where: Column | None = None) -> DataFrame:

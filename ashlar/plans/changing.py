@@ -170,24 +170,24 @@ def x2_bm25(t: Tables) -> DataFrame:
     return search.bm25_docs(t.documents, "doc_id", {"text": 1.0}, ["licensed", "license"], 10)
 
 
-@query("with q as (select cast(embedding as double[]) as v from embeddings where vec_id = 0) select vec_id, round(list_dot_product(cast(embedding as double[]), v) / sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[])) * list_dot_product(v, v)), 6) as score from embeddings, q where label = 3 order by 2 desc, 1 limit 10")
+@query("with q as (select cast(embedding as double[]) as v from embeddings where vec_id = 0) select vec_id, round(raw, 6) as score from (select vec_id, list_dot_product(cast(embedding as double[]), v) / sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[])) * list_dot_product(v, v)) as raw from embeddings, q where label = 3 order by 2 desc, 1 limit 10)")
 def e2_filtered_knn(t: Tables) -> DataFrame:
     first = t.embeddings.where("vec_id = 0").first()
     first = first["embedding"] if first else [0.0]
-    return search.knn(t.embeddings, "vec_id", "embedding", first, 10, F.col("label") == 3)
+    return search.knn(t.embeddings, "vec_id", "embedding", first, 10, F.col("label") == 3).withColumn("score", F.round("score", 6))
 
 
-KNN = "with e as (select vec_id, label, cast(embedding as double[]) as v from embeddings), s as (select q.vec_id as query_id, b.vec_id, round(list_dot_product(b.v, q.v) / sqrt(list_dot_product(b.v, b.v) * list_dot_product(q.v, q.v)), 6) as score from e q, e b where q.vec_id % 20 = 0 and {}) select * from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10"
+KNN = "with e as (select vec_id, label, cast(embedding as double[]) as v from embeddings), s as (select q.vec_id as query_id, b.vec_id, list_dot_product(b.v, q.v) / sqrt(list_dot_product(b.v, b.v) * list_dot_product(q.v, q.v)) as raw from e q, e b where q.vec_id % 20 = 0 and {}) select query_id, vec_id, round(raw, 6) as score from s qualify row_number() over (partition by query_id order by raw desc, vec_id) <= 10"
 
 
 @query(KNN.format("true"))
 def e1_knn(t: Tables) -> DataFrame:
-    return search.knn_many(t.embeddings, t.embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", 10)
+    return search.knn_many(t.embeddings, t.embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", 10).withColumn("score", F.round("score", 6))
 
 
 @query(KNN.format("b.label = 3"))
 def e2_filtered_knn_many(t: Tables) -> DataFrame:
-    return search.knn_many(t.embeddings, t.embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", 10, F.col("label") == 3)
+    return search.knn_many(t.embeddings, t.embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", 10, F.col("label") == 3).withColumn("score", F.round("score", 6))
 
 
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n, max(value) as hi from events group by 1, 2")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.functions import money, total
+from ashlar.functions import hundredths, money, total
+from ashlar.lineage import cut
 from ashlar.operators import incremental as inc
 from ashlar.operators import aggregates, merge, search
 from ashlar.operators.joins import asof_join
+from ashlar.operators.rollups import Measure, Rollup, answer, distinct_count, distinct_state
 from ashlar.plans.catalog import Tables, query
 
 PRICES = "select o_orderkey, o_orderdate, o_totalprice from orders"
@@ -112,6 +114,65 @@ def a14_rollup_routing(t: Tables) -> DataFrame:
     return source.groupBy("event_type").agg((F.sum("n") if found else F.count("*")).alias("n"))
 
 
+DAY = F.to_date("ts")
+DIMS = {"event_type": F.col("event_type"), "day": DAY, "user_id": F.col("user_id")}
+
+
+def event_rollups(t: Tables) -> list[Rollup]:
+    """By type and day, by type, and the users of each type and day as bitmaps."""
+    whole = t.events.withColumn("v", hundredths("value"))
+    parts = [F.count("*").alias("n"), F.count("v").alias("n_v"), F.sum("v").alias("v"), F.max("value").alias("top")]
+    holds = {("count", None): "n", ("count", "v"): "n_v", ("sum", "v"): "v", ("max", "value"): "top"}
+    daily = cut(whole.groupBy("event_type", DAY.alias("day")).agg(*parts), "rollup")
+    kinds = cut(daily.groupBy("event_type").agg(*(F.sum(c).alias(c) for c in ("n", "n_v", "v")), F.max("top").alias("top")), "rollup")
+    users = cut(distinct_state(t.events.withColumn("day", DAY), ["event_type", "day"], "user_id"), "rollup")
+    return [Rollup("daily", daily, {"event_type", "day"}, holds, daily.count()), Rollup("kinds", kinds, {"event_type"}, holds, kinds.count()), Rollup("users", users, {"event_type", "day"}, {}, users.count(), "user_id")]
+
+
+def routed(t: Tables, by: list[str], measures: dict[str, Measure], filters: dict | None = None) -> DataFrame:
+    found, served = answer(t.events.withColumn("v", hundredths("value")), DIMS, event_rollups(t), by, measures, filters)
+    return found.withColumn("served", F.lit(served))
+
+
+@query("select event_type, count(*) as n, round(avg(value), 6) as mean, max(value) as top, 'kinds' as served from events group by 1")
+def a14_route_smallest(t: Tables) -> DataFrame:
+    """Two rollups cover it: the smaller one serves."""
+    out = routed(t, ["event_type"], {"n": Measure("count"), "mean": Measure("avg", "v"), "top": Measure("max", "value")})
+    return out.withColumn("mean", F.round(F.col("mean") / 100, 6))
+
+
+@query("select ts::date as day, count(*) as n, sum((value * 100)::decimal(18,0))::bigint as v, 'daily' as served from events where event_type = 'view' and ts >= timestamp '2024-01-10' group by 1")
+def a14_route_filtered(t: Tables) -> DataFrame:
+    """Filters on stored keys."""
+    return routed(t, ["day"], {"n": Measure("count"), "v": Measure("sum", "v")}, {"event_type": lambda c: c == "view", "day": lambda c: c >= F.lit("2024-01-10").cast("date")})
+
+
+@query("select event_type, count(distinct user_id) as users, 'users' as served from events where ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-13' group by 1")
+def a14_route_distinct(t: Tables) -> DataFrame:
+    """Distinct users over a range of days, from bitmaps."""
+    return routed(t, ["event_type"], {"users": Measure("distinct", "user_id")}, {"day": lambda c: c.between(F.lit("2024-01-10").cast("date"), F.lit("2024-01-12").cast("date"))})
+
+
+@query("select event_type, count(*) as n, 'base' as served from events where user_id < 20 group by 1")
+def a14_route_base_filter(t: Tables) -> DataFrame:
+    """No rollup has the filtered column."""
+    return routed(t, ["event_type"], {"n": Measure("count")}, {"user_id": lambda c: c < 20})
+
+
+@query("select event_type, count(*) as n, count(distinct user_id) as users, 'base' as served from events group by 1")
+def a14_route_base_measure(t: Tables) -> DataFrame:
+    """No rollup has both aggregates."""
+    return routed(t, ["event_type"], {"n": Measure("count"), "users": Measure("distinct", "user_id")})
+
+
+@query("select event_type, count(distinct user_id) as users from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20' group by 1 union all select 'all', count(distinct user_id) from events")
+def a13_distinct_state(t: Tables) -> DataFrame:
+    """Daily states merged over a range of days, and over all days and types."""
+    state = cut(distinct_state(t.events.withColumn("day", DAY), ["event_type", "day"], "user_id"), "distinct-state")
+    some = state.where("day >= date '2024-01-05' and day < date '2024-01-20'")
+    return distinct_count(some, ["event_type"], "users").unionByName(distinct_count(state, [], "users").withColumn("event_type", F.lit("all")))
+
+
 @query("with k as (select json_keys(props) as k from events) select 'missing' as problem, 'z' as field, count(*) as n from k where not coalesce(list_contains(k, 'z'), false) union all select 'extra', f, count(*) from (select unnest(k) as f from k) where f <> 'z' group by 2")
 def q4_check_shape(t: Tables) -> DataFrame:
     return inc.check_shape(t.events, "props", ["z"])
@@ -150,6 +211,15 @@ def x4_fuzzy_match(t: Tables) -> DataFrame:
     return search.fuzzy(index, "wigdet", 2, "p_partkey")
 
 
+@query("with d as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents), a as (select distinct p[2] || p[1] || p[3:] as asked from (select unnest(string_split(lower(p_name), ' ')) as p from part)) select asked, term from a, d where levenshtein(asked, term) <= 2")
+def x4_fuzzy_many(t: Tables) -> DataFrame:
+    """Words of part names, their first two letters exchanged, against all words of all documents."""
+    dictionary = t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term"))
+    word = t.part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("p"))
+    asked = word.select(F.concat(F.substring("p", 2, 1), F.substring("p", 1, 1), F.expr("substring(p, 3)")).alias("term"))
+    return search.fuzzy_many(dictionary, asked)
+
+
 @query("select p_brand, count(*) as lines, sum(l_extendedprice::decimal(18,2))::double as revenue from lineitem join part on l_partkey = p_partkey where contains(p_name, 'widget') group by 1")
 def x8_search_analytics(t: Tables) -> DataFrame:
     on = F.col("l_partkey") == F.col("p_partkey")

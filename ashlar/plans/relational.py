@@ -273,7 +273,10 @@ def a2_totals(t: Tables) -> DataFrame:
 
 @query("select l_returnflag, count(distinct l_partkey) as parts, count(distinct (l_partkey, l_suppkey)) as pairs from lineitem group by 1")
 def a3_count_distinct(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_partkey", "l_suppkey").alias("pairs"))
+    pairs = t.lineitem.groupBy("l_returnflag", "l_partkey", "l_suppkey").agg(F.lit(1).alias("one"))  # coarser distinct counts come from finer groups
+    known = F.col("l_partkey").isNotNull()
+    parts = pairs.groupBy("l_returnflag", "l_partkey").agg(F.count_if(known & F.col("l_suppkey").isNotNull()).alias("pairs"))
+    return parts.groupBy("l_returnflag").agg(F.count_if(known).alias("parts"), F.sum("pairs").alias("pairs"))
 
 
 @query("select o_orderpriority, min(o_totalprice) as lo, max(o_totalprice) as hi, round(median(o_totalprice), 2) as mid from orders group by 1")

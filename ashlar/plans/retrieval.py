@@ -177,7 +177,7 @@ def n6_upstream(t: Tables) -> DataFrame:
 # ---- vectors
 
 
-L2 = "with e as (select vec_id, cast(embedding as double[]) as v from embeddings), s as (select q.vec_id as query_id, b.vec_id, round(-list_distance(b.v, q.v), 6) as score from e q, e b where q.vec_id % 20 = 0) select query_id, vec_id, round(score, 4) + 0.0 as score from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10"
+L2 = "with e as (select vec_id, cast(embedding as double[]) as v from embeddings), s as (select q.vec_id as query_id, b.vec_id, -list_distance(b.v, q.v) as raw from e q, e b where q.vec_id % 20 = 0) select query_id, vec_id, round(raw, 4) + 0.0 as score from s qualify row_number() over (partition by query_id order by raw desc, vec_id) <= 10"
 
 
 @query(L2)
@@ -211,9 +211,9 @@ def e5_recall(t: Tables) -> DataFrame:
     return search.recall_at_k(found, exact, "query_id", "vec_id", 10).select(F.round("recall", 6).alias("recall"))
 
 
-@query("with e as (select vec_id, label, cast(embedding as double[]) as v from embeddings), s as (select q.vec_id as query_id, b.vec_id, round(list_dot_product(b.v, q.v) / sqrt(list_dot_product(b.v, b.v) * list_dot_product(q.v, q.v)), 6) as score from e q, e b where q.vec_id % 20 = 0 and q.vec_id <> b.vec_id and b.label <> 1) select * from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5")
+@query("with e as (select vec_id, label, cast(embedding as double[]) as v from embeddings), s as (select q.vec_id as query_id, b.vec_id, list_dot_product(b.v, q.v) / sqrt(list_dot_product(b.v, b.v) * list_dot_product(q.v, q.v)) as raw from e q, e b where q.vec_id % 20 = 0 and q.vec_id <> b.vec_id and b.label <> 1) select query_id, vec_id, round(raw, 6) as score from s qualify row_number() over (partition by query_id order by raw desc, vec_id) <= 5")
 def e6_recommend(t: Tables) -> DataFrame:
-    return vectors.recommend(t.embeddings, t.embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", 5, F.col("label") != 1)
+    return vectors.recommend(t.embeddings, t.embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", 5, F.col("label") != 1).withColumn("score", F.round("score", 6))
 
 
 CHUNKS = "with w as (select item_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') as w from benchmark), c as (select item_id, w, unnest(range(0, greatest(len(w) - 10 - 1, 0) + 1, 40)) as s from w) select item_id, s // 40 as chunk_no, array_to_string(w[s + 1 : s + 50], ' ') as chunk from c"
