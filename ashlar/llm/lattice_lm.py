@@ -132,9 +132,9 @@ def expected_pieces(word: str, table: dict[str, float | None], byte: float, coun
             counts[part] = counts.get(part, 0.0) + times * math.exp(alpha[begin] + x - total)
 
 
-def learned_weights(hapaxes: DataFrame, path: str, prior: float) -> tuple[dict[str, float], float]:
-    """(natural log weights of pieces, of each byte), re-estimated from words (word) by expected counts."""
-    pieces, byte, _ = piece_weights(path)
+def learned_weights(hapaxes: DataFrame, path: str, prior: float) -> tuple[dict[str, float], float, float]:
+    """(natural log weights of pieces, of each byte, of the end), re-estimated from words (word) by expected counts; the end keeps the prior's share, so that all add up to 1."""
+    pieces, byte, end = piece_weights(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table: dict[str, float | None] = {}
@@ -152,7 +152,7 @@ def learned_weights(hapaxes: DataFrame, path: str, prior: float) -> tuple[dict[s
     seen = dict(zip(sums["piece"], sums["n"], strict=True))
     total = sum(seen.values()) + prior
     new = {p: math.log((seen.get(p, 0.0) + prior * math.exp(w)) / total) for p, w in pieces.items()}
-    return new, math.log((seen.get("", 0.0) + 256 * prior * math.exp(byte)) / total / 256)
+    return new, math.log((seen.get("", 0.0) + 256 * prior * math.exp(byte)) / total / 256), math.log(prior / total) + end
 
 
 def lattice_scores(vocabulary: DataFrame, pieces: dict[str, float], byte: float, unseen: float) -> DataFrame:
@@ -202,12 +202,12 @@ def lattice_lm(docs: DataFrame, trains: Column, path: str, id_col: str = "doc_id
     n, v = tokens + ends, types + (ends > 0)
     # whole-word arcs have the training counts; the pieces share what words seen once have, at least one token's mass
     unseen = float(max(once, 1))
-    pieces, byte = learned_weights(counts.where("c = 1").repartition(-(-once // WORDS) or 1), path, prior)
+    pieces, byte, end = learned_weights(counts.where("c = 1").repartition(-(-once // WORDS) or 1), path, prior)
     base = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
     model = F.col("lattice") / math.log(10) + (math.log10(unseen) - math.log10(n + unseen))
     values = cut(lattice_scores(counts.repartition(-(-all_ // WORDS) or 1), pieces, byte, unseen).select("word", "c", base.alias("base"), model.alias("model")), "lm-words")
     end_base = math.log10((ends + 1) / (n + v + 1))
-    end_model = math.log10((ends + unseen * math.exp(piece_weights(path)[2])) / (n + unseen))
+    end_model = math.log10((ends + unseen * math.exp(end)) / (n + unseen))
     top = values.where((F.col("c") >= common_count(counts, common)) & (F.length("word") <= COMMON_CHARS)).toPandas()
     sent = spark.sparkContext.broadcast((dict(zip((w.encode() for w in top["word"]), range(len(top)), strict=True)), top["c"].to_numpy() > 0, top["base"].to_numpy(), top["model"].to_numpy()))
 

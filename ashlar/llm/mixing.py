@@ -10,8 +10,9 @@ tree, so a hot source is spread over as many tasks as it fills. DataFrame
 functions only. Random numbers are hashes of the paired ids and the seed.
 
 Defined cases: null text has size 0 and is taken 0 times; the null source comes
-last; repeated rows (same id, source and size) share one decision; an empty
-table gives an empty table. A source whose documents are few ends within one
+last; of repeated rows (same id, source and size) as many as their share has in
+whole are taken, and one more or not by the rounding, so no item of it weighs
+more than a document; an empty table gives an empty table. A source whose documents are few ends within one
 document of its target.
 """
 
@@ -89,9 +90,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", weights: Sequence[float] = (1.0
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     dealt = units.join(targets, same).drop(targets["source"]).withColumn("rate", rate)
     dealt = dealt.withColumns({"whole": F.floor("rate"), "key": F.xxhash64("id", "source", "size"), "buckets": F.ceil(F.col("n") / FAN_IN)})
-    weight = (F.col("size") * F.col("rows")).cast("double")
-    part = (F.col("rate") - F.col("whole")) * weight
-    dealt = cut(dealt.withColumns({"weight": weight, "part": part}), "mix-dealt")
+    # of a unit's rows, so many have one copy more; what is left of their share is one fraction of a document
+    share = (F.col("rate") - F.col("whole")) * F.col("rows")
+    dealt = dealt.withColumns({"more": F.floor(share), "weight": F.col("size").cast("double")})
+    dealt = cut(dealt.withColumn("part", (share - F.col("more")) * F.col("weight")), "mix-dealt")
 
     tree = dealt.where("part > 0 and part < weight").select("source", F.pmod("key", F.col("buckets")).alias("b"), "buckets", F.struct(F.col("key").alias("id"), F.col("weight").alias("size"), F.col("part").alias("mass")).alias("doc"))
     decided, level = [], 0
@@ -113,17 +115,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", weights: Sequence[float] = (1.0
     for d in decided[1:]:
         ups = ups.unionByName(d)
     ups = ups.where("up").select(F.col("id").alias("key")).distinct().withColumn("up", F.lit(1))
-    copies = (F.col("whole") + F.coalesce(F.col("up"), (F.col("part") >= F.col("weight")).cast("int"))).cast("int")
-    copies = F.when((F.col("size") > 0), copies).otherwise(0)
-    out = dealt.join(ups, "key", "left").withColumn("copies", copies)
-    return out.select(F.explode(F.array_repeat(F.struct(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies"), F.col("rows").cast("int"))).alias("r")).select("r.*")
+    more = F.col("more") + F.coalesce(F.col("up"), (F.col("part") >= F.col("weight")).cast("int"))
+    out = dealt.join(ups, "key", "left").withColumn("more", more).withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    copies = (F.col("whole") + (F.col("n") <= F.col("more")).cast("int")).cast("int")
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"))
 
 
 def take_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs, all columns, with each row repeated as often as the mix takes it. Copies are read per id, source and size."""
+    """docs, all columns, with each row repeated as often as the mix takes it. Rows of one id, source and size have the copies of all of them, dealt evenly."""
     col = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    once = mixed.where("copies > 0").groupBy(F.col(id_col).alias("id"), F.col("source").alias("source"), F.col("size").alias("size")).agg(F.max("copies").alias("copies"))
+    once = mixed.groupBy(F.col(id_col).alias("id"), F.col("source").alias("source"), F.col("size").alias("size")).agg(F.sum("copies").alias("all"), F.count("*").alias("rows")).where(F.col("all") > 0)
     rows = docs.select(F.struct(*map(col, docs.columns)).alias("row"), col(id_col).alias("d_id"), col("source").alias("d_source"), F.size(words(col("text"))).cast("long").alias("d_size"))
     rows = rows.join(once, F.col("d_id").eqNullSafe(F.col("id")) & F.col("d_source").eqNullSafe(F.col("source")) & (F.col("d_size") == F.col("size")))
-    rows = rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("n"))
+    nth = F.when(F.col("rows") > 1, F.row_number().over(Window.partitionBy("d_id", "d_source", "d_size").orderBy("d_id"))).otherwise(1)  # by the join's own keys
+    rows = rows.withColumn("copies", (F.floor(F.col("all") / F.col("rows")) + (nth <= F.col("all") % F.col("rows")).cast("int")).cast("int"))
+    rows = rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("n"))
     return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

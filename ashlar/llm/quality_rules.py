@@ -36,7 +36,11 @@ PLACE_BITS = 20
 
 
 def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the base statistics, and __upper (upper-case letters) and __lines (lines with a word)."""
+    """docs with the base statistics, and __upper (upper-case letters) and __lines (lines with a word).
+
+    Write the result (cut) before filtering on it or using a statistic twice:
+    where Spark copies these expressions into a filter it evaluates them again.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     step = docs.withColumn("__words", words(F.col(text))).withColumn("__lines", F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD)))
     n = F.size("__words")

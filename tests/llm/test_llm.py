@@ -15,9 +15,10 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from ashlar.lineage import cut
 from ashlar.llm.ann import nearest
 from ashlar.llm.bpe import Coder, encode_decode
-from ashlar.llm.lattice_lm import arcs, forward, lattice_lm, piece_weights
+from ashlar.llm.lattice_lm import arcs, forward, lattice_lm, learned_weights, piece_weights
 from ashlar.llm.line_dedup import line_dedup
 from ashlar.llm.main_text import extract, main_text
 from ashlar.llm.mixing import mix, source_targets, take_mix
@@ -96,7 +97,7 @@ def plain_mcd(x, half):
 def test_quality_rules_by_plain_estimates(spark, docs):
     """Every document's distance, in groups of language and source, of language, and of all."""
     some = docs.unionByName(docs.withColumns({"doc_id": F.col("doc_id") + 1000, "text": F.concat(F.lit("And so on. "), "text")}))
-    stats = base_statistics(some.select("doc_id", "text", "lang", "source")).where("not base_failed")
+    stats = cut(base_statistics(some.select("doc_id", "text", "lang", "source")), "statistics").where("not base_failed")
     stats = stats.select("doc_id", "lang", "source", *(c.alias(f"x{i}") for i, c in enumerate(vector())))
     rows = stats.select("*", F.xxhash64("doc_id", *(f"x{i}" for i in range(6))).alias("h")).collect()
     least = 50
@@ -143,6 +144,20 @@ def test_mix(docs, odd, empty):
     assert take_mix(docs, mix(docs)).count() == sum(r.copies for r in rows)
 
 
+def test_mix_of_repeated_rows(spark):
+    """A row that comes 500 times isn't taken or left as a whole; copies go to rows alike."""
+    rows = [(1, "w " * 10, "a")] * 500 + [(i, "w " * 5, "a") for i in range(2, 102)] + [(i, "w " * 7, "b") for i in range(200, 900)] + [(None, "w w", "b")] * 7 + [(950, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(df).collect()
+    assert len(got) == len(rows)
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.size * r.copies for r in own) - own[0].target) <= 10
+        assert all(abs(r.copies - r.target / r.source_size) < 1 for r in own)
+    taken = take_mix(df, mix(df)).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in taken} == {k: n for k, n in sum((Counter({r.doc_id: r.copies}) for r in got), Counter()).items() if n}
+
+
 def test_main_text():
     page = "<html><head><title>no</title></head><body><nav><a href=x>menu</a></nav><article><h1>Head &amp; more</h1><p>One\n two<p>x &lt; y</article><div class='comments'><p>reader</p></div><footer>foot</footer>"
     assert main_text(page) == "Head & more\nOne two\nx < y"
@@ -271,7 +286,7 @@ def test_lm_by_enumeration(spark):
     new = {p: math.log((counts[p] + prior * math.exp(w)) / all_) for p, w in near.items()}
     new_byte = math.log((counts[""] + 256 * prior * math.exp(byte)) / all_ / 256)
     word = {w: math.log10((c[w] + unseen * sum(math.exp(x) for x, _ in segmentations("\u2581" + w, new, new_byte))) / (n + unseen)) for x in token.values() for w in x if w}
-    word[None] = math.log10((c[None] + unseen * math.exp(end)) / (n + unseen))
+    word[None] = math.log10((c[None] + unseen * math.exp(end) * prior / all_) / (n + unseen))
     df = spark.createDataFrame([*texts.items(), (0, texts[0])], "doc_id long, text string").withColumn("word", F.lit(1)).withColumn("c", F.lit("clash"))
     for common in (0, 3, 1000):
         for r in lattice_lm(df, F.col("doc_id") < 0, path).collect():
@@ -282,6 +297,13 @@ def test_lm_by_enumeration(spark):
             assert math.isclose(r.score, sum(word[w] for w in token[r.doc_id]), rel_tol=1e-9)
 
 
+def test_lm_mass_is_one(spark):
+    """Pieces, bytes and the end add up to 1, before and after weights are re-estimated."""
+    words_ = spark.createDataFrame([("cat",), ("\u00e9t\u00e9",), ("zzz\u65e5",)], "word string")
+    for pieces, byte, end in (piece_weights(PIECES), learned_weights(words_, PIECES, 3.0), learned_weights(words_.limit(0), PIECES, 1.0)):
+        assert math.isclose(sum(map(math.exp, pieces.values())) + 256 * math.exp(byte) + math.exp(end), 1.0, rel_tol=1e-9)
+
+
 def test_lm_learns(docs):
     """Weights re-estimated from training texts make held-out ones likelier."""
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
