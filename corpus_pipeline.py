@@ -19,11 +19,9 @@ from ashlar.llm.line_dedup import line_dedup
 from ashlar.llm.mixing import mix, take_mix
 from ashlar.llm.near_dedup import near_dedup
 from ashlar.llm.quality_rules import quality_rules
-from ashlar.llm.text import table, words
+from ashlar.llm.text import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: The quality rules' least number of words.
-MIN_WORDS = 50
 
 
 def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
@@ -39,13 +37,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines of templates that recur across documents; n_chars follows.
-
-    A document that lost lines and is left with fewer words than the quality
-    rules ask for was made of lines that other documents have: it goes.
-    """
-    out = line_dedup(docs.select(COLUMNS))
-    out = out.where((F.col("__dropped") == 0) | (F.size(words(F.col("text"))) >= MIN_WORDS)).select(COLUMNS)
+    """Without lines of templates that recur across documents; n_chars follows."""
+    out = line_dedup(docs.select(COLUMNS)).select(COLUMNS)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
