@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ashlar.functions import hundredths, money, total
@@ -114,8 +114,8 @@ def a14_rollup_routing(t: Tables) -> DataFrame:
     return source.groupBy("event_type").agg((F.sum("n") if found else F.count("*")).alias("n"))
 
 
-DAY = F.to_date("ts")
-DIMS = {"event_type": F.col("event_type"), "day": DAY, "user_id": F.col("user_id")}
+def day() -> Column:
+    return F.to_date("ts")
 
 
 def event_rollups(t: Tables) -> list[Rollup]:
@@ -123,14 +123,15 @@ def event_rollups(t: Tables) -> list[Rollup]:
     whole = t.events.withColumn("v", hundredths("value"))
     parts = [F.count("*").alias("n"), F.count("v").alias("n_v"), F.sum("v").alias("v"), F.max("value").alias("top")]
     holds = {("count", None): "n", ("count", "v"): "n_v", ("sum", "v"): "v", ("max", "value"): "top"}
-    daily = cut(whole.groupBy("event_type", DAY.alias("day")).agg(*parts), "rollup")
+    daily = cut(whole.groupBy("event_type", day().alias("day")).agg(*parts), "rollup")
     kinds = cut(daily.groupBy("event_type").agg(*(F.sum(c).alias(c) for c in ("n", "n_v", "v")), F.max("top").alias("top")), "rollup")
-    users = cut(distinct_state(t.events.withColumn("day", DAY), ["event_type", "day"], "user_id"), "rollup")
+    users = cut(distinct_state(t.events.withColumn("day", day()), ["event_type", "day"], "user_id"), "rollup")
     return [Rollup("daily", daily, {"event_type", "day"}, holds, daily.count()), Rollup("kinds", kinds, {"event_type"}, holds, kinds.count()), Rollup("users", users, {"event_type", "day"}, {}, users.count(), "user_id")]
 
 
 def routed(t: Tables, by: list[str], measures: dict[str, Measure], filters: dict | None = None) -> DataFrame:
-    found, served = answer(t.events.withColumn("v", hundredths("value")), DIMS, event_rollups(t), by, measures, filters)
+    dims = {"event_type": F.col("event_type"), "day": day(), "user_id": F.col("user_id")}
+    found, served = answer(t.events.withColumn("v", hundredths("value")), dims, event_rollups(t), by, measures, filters)
     return found.withColumn("served", F.lit(served))
 
 
@@ -168,7 +169,7 @@ def a14_route_base_measure(t: Tables) -> DataFrame:
 @query("select event_type, count(distinct user_id) as users from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20' group by 1 union all select 'all', count(distinct user_id) from events")
 def a13_distinct_state(t: Tables) -> DataFrame:
     """Daily states merged over a range of days, and over all days and types."""
-    state = cut(distinct_state(t.events.withColumn("day", DAY), ["event_type", "day"], "user_id"), "distinct-state")
+    state = cut(distinct_state(t.events.withColumn("day", day()), ["event_type", "day"], "user_id"), "distinct-state")
     some = state.where("day >= date '2024-01-05' and day < date '2024-01-20'")
     return distinct_count(some, ["event_type"], "users").unionByName(distinct_count(state, [], "users").withColumn("event_type", F.lit("all")))
 
