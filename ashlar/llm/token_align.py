@@ -30,6 +30,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ from ashlar.llm.bpe import chunks
 from ashlar.llm.subwords import loaded
 
 #: Groups with more links than this are reduced to distinct ids first; characters of a chunk; words that a worker keeps of either tokenizer.
-WIDE, CHUNK, KEPT = 64, 3_000_000, 450_000
+WIDE, CHUNK, KEPT = 64, 1_500_000, 300_000
 
 
 def gallop(ends: np.ndarray, longer: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -172,9 +173,9 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id") -
         a, b = loaded("byte_level", a_path, KEPT), loaded("pieces", b_path, KEPT)
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for part in chunks(texts, CHUNK):
-                some = [" " + x for x in texts[part]]
+            lengths = pc.utf8_length(batch.column(1)).fill_null(0).to_pylist()
+            for part in chunks([range(n) for n in lengths], CHUNK):  # by length; only a chunk's texts become Python strings
+                some = [" " + (x or "") for x in batch.column(1).slice(part.start, part.stop - part.start).to_pylist()]
                 (ids_a, n_a, like_a), (ids_b, n_b, like_b) = a.encode(some), b.encode(some)
                 whole = like_a & like_b & np.array([len(x) > 1 for x in some])
                 good, n = np.flatnonzero(whole), len(some)
