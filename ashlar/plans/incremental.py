@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ashlar.functions import hundredths, money, total
 from ashlar.lineage import cut
 from ashlar.operators import incremental as inc
-from ashlar.operators import aggregates, merge, search
+from ashlar.operators import aggregates, governance, merge, search
 from ashlar.operators.joins import asof_join
 from ashlar.operators.rollups import Measure, Rollup, answer, distinct_count, distinct_state
 from ashlar.plans.catalog import Tables, query
@@ -237,3 +237,17 @@ def k8_sketch_table(t: Tables) -> DataFrame:
     """Distinct users per event type, from sketches kept per day."""
     by_day = t.events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.hll_sketch_agg("user_id", 12).alias("s"))
     return by_day.groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("users"))
+
+
+@query("""with m as (select repeat('*', 6) || right(c_name, 2) as name, null::varchar as segment from customer),
+f as (select 'raw value' as probe, (select count(*) from customer where c_name = 'Customer#000000007') as raw, (select count(*) from m where name = 'Customer#000000007') as masked
+union all select 'suffix', (select count(*) from customer where c_name like '%07'), (select count(*) from m where name like '%07')
+union all select 'segment', (select count(*) from customer where c_mktsegment = 'BUILDING'), (select count(*) from m where segment = 'BUILDING')
+union all select 'distinct c_name', (select count(distinct c_name) from customer), (select count(distinct name) from m)
+union all select 'distinct c_mktsegment', (select count(distinct c_mktsegment) from customer), (select count(distinct segment) from m))
+select *, case when raw = 0 then 'nothing' when masked = 0 then 'closed' when masked >= raw then 'open' else 'partly' end as verdict from f""")
+def n4_mask_probes(t: Tables) -> DataFrame:
+    """A mask that keeps two characters leaves the suffix open; a blank closes the segment."""
+    masked = governance.mask(t.customer, governance.Policy(masks={"c_name": governance.keep_last(2, 8), "c_mktsegment": governance.blank}))
+    probes = {"raw value": F.col("c_name") == "Customer#000000007", "suffix": F.col("c_name").like("%07"), "segment": F.col("c_mktsegment") == "BUILDING"}
+    return governance.mask_audit(t.customer, masked, probes, ["c_name", "c_mktsegment"])

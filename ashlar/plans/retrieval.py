@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ashlar.functions import money, total
 from ashlar.lineage import cut, scratch
 from ashlar.operators import governance as gov
-from ashlar.operators import graph, search, series, sketches, udfs, vectors
+from ashlar.operators import graph, merge, search, series, sketches, udfs, vectors
 from ashlar.plans.catalog import Tables, query
 from ashlar.plans.relational import LINKS, TREE, links, tree
 from ashlar.plans.streams import plain
+from ashlar.streaming import buckets
 from ashlar.streaming import events as ev
 
 # ---- sketches: SQL has the exact figures, and the sketch must be within its bound of them
@@ -448,3 +449,46 @@ def t16_consistent_views(t: Tables) -> DataFrame:
     for s in sums[1:]:
         every = every.unionByName(s)
     return every.groupBy("batch").agg(F.min("n").alias("a"), F.max("n").alias("b")).agg(F.bool_and(F.col("a") == F.col("b")).alias("agree"), F.max("b").alias("orders"))
+
+
+# ---- state in buckets
+
+
+@query(f"select date_trunc('month', o_orderdate) as month, count(*) as n, sum({PAID})::double as total from orders group by 1")
+def t7_windows_in_buckets(t: Tables) -> DataFrame:
+    """Late and corrected orders change the months that they touch."""
+    months = buckets.View("base", {"month": F.date_trunc("month", "o_orderdate").cast("timestamp_ntz")}, {"total": money("o_totalprice")})
+    store = buckets.maintain(corrected(t), ev.fresh_folder(t.spark, "t7b"), ["o_orderkey"], "seq", {"months": months}, 16)
+    return store.read("months").withColumn("total", F.col("total").cast("double"))
+
+
+@query(f"with c as (select o_custkey, sum({PAID}) as spent from orders group by 1) select floor(spent / 500000)::bigint as class, count(*) as n from c group by 1")
+def t8_cascade_in_buckets(t: Tables) -> DataFrame:
+    """Customers' totals by changed orders, classes by changed customers."""
+    customers = buckets.View("base", {"o_custkey": F.col("o_custkey")}, {"spent": money("o_totalprice")})
+    classes = buckets.View("customers", {"class": F.floor(F.col("spent") / 500000).cast("long")})
+    return buckets.maintain(corrected(t), ev.fresh_folder(t.spark, "t8b"), ["o_orderkey"], "seq", {"customers": customers, "classes": classes}, 16).read("classes")
+
+
+@query("select event_type, count(*) as n from events group by 1")
+def t10_once_in_buckets(t: Tables) -> DataFrame:
+    """Every event is delivered twice, in other batches; the second time it changes nothing."""
+    folder = scratch(t.spark, "stream-source")
+    for i in range(3):
+        t.events.where(F.pmod("event_id", F.lit(3)).isin(i, (i + 1) % 3)).select("event_id", "event_type").coalesce(1).write.mode("append").parquet(folder)
+    stream = ev.read_events(t.spark, folder, t.spark.read.parquet(folder).schema, files_per_batch=1)
+    return buckets.maintain(stream, ev.fresh_folder(t.spark, "t10b"), ["event_id"], None, {"kinds": buckets.View("base", {"event_type": F.col("event_type")})}, 16).read("kinds")
+
+
+@query("select batch, view, n from (select unnest([0, 1, 2]) as batch), (select unnest(['customers', 'days']) as view), lateral (select count(*) as n from orders where batch > 0 or o_orderkey % 9 <> 0)")
+def t16_views_in_buckets(t: Tables) -> DataFrame:
+    """Two views hold the same orders in every batch, read as of it."""
+    views = {"customers": buckets.View("base", {"o_custkey": F.col("o_custkey")}), "days": buckets.View("base", {"o_orderdate": F.col("o_orderdate")})}
+    store = buckets.maintain(corrected(t), ev.fresh_folder(t.spark, "t16b"), ["o_orderkey"], "seq", views, 16)
+    return merge.union(*(store.read(v, b).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(b).alias("batch"), F.lit(v).alias("view"), "n") for b in store.batches() for v in views))
+
+
+@query("select event_id, user_id, (sum(value::decimal(18,2)) over (partition by user_id order by event_id % 4, event_id))::double as running from events")
+def t2_running_in_buckets(t: Tables) -> DataFrame:
+    rows = buckets.running_totals(many(t), "user_id", "event_id", money("value"), ev.fresh_folder(t.spark, "t2b"), 16)
+    return rows.select("event_id", "user_id", F.col("running").cast("double").alias("running"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ashlar.functions import money, total
 from ashlar.lineage import scratch
-from ashlar.operators import merge
+from ashlar.operators import merge, nested
 from ashlar.plans.catalog import Tables, query
 from ashlar.plans.relational import V1, V2, versions
-from ashlar.sources import files, log
+from ashlar.sources import files, images, log
 from ashlar.streaming import events as ev
 
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double"
@@ -164,6 +164,68 @@ def s15_read_images(t: Tables) -> DataFrame:
     return files.read_images(t.spark, t.sf_dir, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
 
 
+#: Pictures by supplier: a colour by nation with one pixel of another; every tenth file is cut short. Fixed by the query and its SQL.
+PICTURES = [(220, 40, 40), (40, 180, 60), (50, 80, 210), (250, 250, 250), (20, 20, 20), (128, 128, 128), (240, 150, 30)]
+
+
+def pictures(t: Tables) -> DataFrame:
+    """file, length and content of an image file for each supplier, as written before."""
+    colour = F.element_at(F.array(*(F.array(*map(F.lit, rgb)) for rgb in PICTURES)), F.col("s_nationkey") % len(PICTURES) + 1)
+    wide, high = (F.col("s_suppkey") % 5 + 3).cast("int"), (F.col("s_suppkey") % 4 + 2).cast("int")
+    pixels = F.concat(F.array(F.lit(1), F.lit(2), F.lit(3)), F.flatten(F.array_repeat(colour, wide * high - 1)))
+    made = t.supplier.select(F.format_string("%d.png", "s_suppkey").alias("name"), images.encode_images(pixels, wide).alias("content"))
+    short = F.when(F.col("name").rlike("3.png$"), F.expr("substring(content, 1, length(content) - 20)")).otherwise(F.col("content"))
+    folder = scratch(t.spark, "images")
+    written = images.write_files(made.withColumn("content", short), folder, "name", "content").agg(F.count("*")).first()[0]
+    if not written:  # an empty table has no folder
+        return t.spark.createDataFrame([], "file string, length long, content binary")
+    return files.read_images(t.spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "content")
+
+
+@query("select s_suppkey || '.png' as file, case when s_suppkey % 10 <> 3 then (s_suppkey % 5 + 3)::int end as width, case when s_suppkey % 10 <> 3 then (s_suppkey % 4 + 2)::int end as height from supplier")
+def s15_image_files(t: Tables) -> DataFrame:
+    """Image files that the query wrote, read and decoded; those cut short are null."""
+    return images.decode_images(pictures(t), "content").select("file", "width", "height")
+
+
+@query("""with c as (select s_suppkey || '.png' as file, case when s_suppkey % 10 <> 3 then s_nationkey % 7 end as i from supplier)
+select file, ['red', 'green', 'blue', 'white', 'black', 'gray', 'orange'][i + 1] as colour, ['#dc2828', '#28b43c', '#3250d2', '#fafafa', '#141414', '#808080', '#f0961e'][i + 1] as hex,
+[86.3, 70.6, 82.4, 98.0, 7.8, 50.2, 94.1][i + 1]::double as brightness, [81.8, 77.8, 76.2, 0, 0, 0, 87.5][i + 1]::double as saturation from c""")
+def f5_image_files(t: Tables) -> DataFrame:
+    """Features of the decoded pixels."""
+    return images.picture_features(images.decode_images(pictures(t), "content"), "pixels").select("file", "colour", "hex", "brightness", "saturation")
+
+
+ORDER_LINES = "select o_orderkey as _key_o_orderkey, row_number() over (partition by o_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 as _pos, l_partkey as part__partkey, l_suppkey as part__suppkey, l_quantity as quantity from orders join lineitem on l_orderkey = o_orderkey"
+
+
+def order_documents(t: Tables) -> DataFrame:
+    """Orders as nested records: the customer as a struct, the lines as a list of structs."""
+    line = F.struct("l_linenumber", F.struct(F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey")).alias("part"), F.col("l_quantity").alias("quantity"))
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    customer = F.struct(F.col("o_custkey").alias("custkey"), F.struct(F.col("o_orderpriority").alias("priority")).alias("terms")).alias("customer")
+    return t.orders.select("o_orderkey", customer).join(lines, "o_orderkey", "left")
+
+
+@query("select o_orderkey, o_custkey as customer__custkey, o_orderpriority as customer__terms__priority from orders")
+def s16_normalize_parent(t: Tables) -> DataFrame:
+    return nested.normalize_nested(order_documents(t), ["o_orderkey"], "orders")["orders"]
+
+
+@query(ORDER_LINES)
+def s16_normalize_children(t: Tables) -> DataFrame:
+    return nested.normalize_nested(order_documents(t), ["o_orderkey"], "orders")["orders__lines"].drop("l_linenumber")
+
+
+@query(f"with l as ({ORDER_LINES}), n as (select *, max(_pos) over (partition by _key_o_orderkey) as top from l) select _key_o_orderkey, _pos, part__partkey, part__suppkey, quantity from n where _key_o_orderkey % 5 <> 0 or _pos < top")
+def s16_replace_children(t: Tables) -> DataFrame:
+    """Every fifth order comes again without its last line."""
+    stored = order_documents(t)
+    again = stored.where("o_orderkey % 5 = 0").withColumn("lines", F.expr("slice(lines, 1, greatest(size(lines) - 1, 0))"))
+    lines = lambda df: nested.normalize_nested(df, ["o_orderkey"], "orders")["orders__lines"]
+    return nested.replace_children(lines(stored), lines(again), again, ["o_orderkey"]).drop("l_linenumber")
+
+
 @query("select count(*) as n, sum(l_quantity::decimal(18,2))::double as qty, true as fewer, true as same from lineitem")
 def m26_compact_files(t: Tables) -> DataFrame:
     many, few = scratch(t.spark, "many-files"), scratch(t.spark, "few-files")

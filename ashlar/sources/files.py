@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ashlar.functions import every
+from ashlar.lineage import cut
 
 #: What a landing ledger holds: one row a file.
 LEDGER = "_source_file string, _rows long"
@@ -50,16 +53,33 @@ def read_images(spark: SparkSession, folder: str, pattern: str = "*.png") -> Dat
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
 
 
-def ingest_landing(spark: SparkSession, folder: str, columns: list[str], ledger: DataFrame) -> DataFrame:
+def new_files(spark: SparkSession, folder: str, ledger: DataFrame, pattern: str = "*") -> list[str]:
+    """Paths of the files in folder and below that the ledger lacks, by a listing: no file is opened."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    found = found.select("path", F.col("_metadata.file_path").alias("_source_file"))
+    return sorted(r.path for r in found.join(ledger.select("_source_file"), "_source_file", "left_anti").collect())
+
+
+def ingest_landing(spark: SparkSession, folder: str, columns: list[str], ledger: DataFrame, pattern: str = "*") -> DataFrame:
     """Rows, all strings, of the landed CSV files that the ledger lacks, with _source_file, _line (from 1, within the file) and _ingested_at.
 
-    Append the rows' files to the ledger with landed_files() once they are stored.
+    Only new files are opened, each once: their rows are written to the shared
+    folder, numbered within their block of the file, and the lines of the blocks
+    before are added, so no task holds a file. No new files give no rows. Append
+    the rows' files to the ledger with landed_files() once they are stored.
     """
-    raw = spark.read.schema(", ".join(f"`{c}` string" for c in columns)).option("header", "true").csv(folder)
-    raw = raw.select(*columns, F.col("_metadata.file_path").alias("_source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
-    new = raw.join(ledger.select("_source_file").distinct(), "_source_file", "left_anti")
-    order = Window.partitionBy("_source_file").orderBy("_block", "_place")
-    return new.select(*columns, "_source_file", F.row_number().over(order).cast("long").alias("_line"), F.current_timestamp().alias("_ingested_at"))
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    paths = [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in new_files(spark, folder, ledger, pattern)]
+    if not paths:
+        return spark.createDataFrame([], f"{schema}, _source_file string, _line long, _ingested_at timestamp")
+    raw = spark.read.schema(schema).option("header", "true").csv(paths)
+    source = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    raw = cut(raw.select(F.struct(*columns).alias("row"), source.alias("source")), "landing")
+    blocks = raw.groupBy("source.file", "source.block").agg(F.min("source.place").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block")
+    blocks = blocks.select("file", "block", (F.sum("n").over(before) - F.col("n") - F.col("first") + 1).alias("shift"))
+    out = raw.join(blocks, (F.col("source.file") == F.col("file")) & (F.col("source.block") == F.col("block")))
+    return out.select("row.*", F.col("file").alias("_source_file"), (F.col("source.place") + F.col("shift")).alias("_line"), F.current_timestamp().alias("_ingested_at"))
 
 
 def landed_files(rows: DataFrame) -> DataFrame:
