@@ -5,7 +5,6 @@ Executors write files through pyarrow's file systems (file, hdfs, s3, gs).
 
 from __future__ import annotations
 
-import colorsys
 import struct
 import zlib
 from collections.abc import Iterator
@@ -16,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ashlar.functions import first_match
 from ashlar.operators.udfs import apply_struct
 
 # ---- fixed values
@@ -26,6 +26,8 @@ SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
 #: A hue in degrees has the name of the first limit above it.
 HUES = [(15, "red"), (40, "orange"), (70, "yellow"), (170, "green"), (260, "blue"), (300, "purple"), (345, "pink"), (360, "red")]
+#: Below this saturation a colour is black, white or gray, by its value.
+PALE, DARK, LIGHT = 0.25, 0.3, 0.85
 #: Deflate makes at most this many bytes of one.
 DEFLATE_RATIO = 1032
 
@@ -188,28 +190,28 @@ def decode_images(df: DataFrame, content: str) -> DataFrame:
     return apply_struct(df, [content], measure, "width int, height int, pixels binary")
 
 
-def colour_name(hue: float, saturation: float, value: float) -> str:
-    """By hue, or by value where there is little colour."""
-    if saturation < 0.25:
-        return "black" if value < 0.3 else "white" if value > 0.85 else "gray"
-    return next(name for limit, name in HUES if hue * 360 < limit)
-
-
 def picture_features(df: DataFrame, pixels: str) -> DataFrame:
     """df with colour, hex, brightness and saturation (percent) of the dominant colour: the mean of the pixels in the fullest cell of 8 levels a channel (the first such, by r, g, b). pixels: binary of r, g, b bytes; null or none give nulls."""
 
-    def measure(column: pd.Series) -> pd.DataFrame:
-        out = []
-        for flat in column:
+    def dominant(column: pd.Series) -> pd.DataFrame:
+        out = np.full((len(column), 3), np.nan)
+        for i, flat in enumerate(column):
             rgb = np.frombuffer(flat or b"", np.uint8)
-            if len(rgb) < 3:
-                out.append((None, None, None, None))
-                continue
-            rgb = rgb[: len(rgb) // 3 * 3].reshape(-1, 3).astype(np.int64)
-            cell = (rgb >> 3) @ np.array([1024, 32, 1])
-            mean = rgb[cell == np.bincount(cell).argmax()].mean(axis=0)
-            hue, saturation, value = colorsys.rgb_to_hsv(*(mean / 255))
-            out.append((colour_name(hue, saturation, value), "#" + "".join(f"{round(x):02x}" for x in mean), round(float(value) * 100, 1), round(float(saturation) * 100, 1)))
-        return pd.DataFrame(out, columns=["colour", "hex", "brightness", "saturation"])
-
-    return apply_struct(df, [pixels], measure, "colour string, hex string, brightness double, saturation double")
+            if len(rgb) >= 3:
+                rgb = rgb[: len(rgb) // 3 * 3].reshape(-1, 3).astype(np.int64)
+                cell = (rgb >> 3) @ np.array([1024, 32, 1])
+                out[i] = rgb[cell == np.bincount(cell).argmax()].mean(axis=0)
+        return pd.DataFrame(out, columns=["_r", "_g", "_b"])
+
+    found = apply_struct(df, [pixels], dominant, "_r double, _g double, _b double").withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("_r", "_g", "_b")})
+    r, g, b = F.col("_r"), F.col("_g"), F.col("_b")
+    high = F.greatest(r, g, b)
+    spread = high - F.least(r, g, b)
+    some = F.nullif(spread, F.lit(0.0))
+    hue = F.coalesce(60 * F.when(r == high, F.pmod((g - b) / some, F.lit(6.0))).when(g == high, (b - r) / some + 2).otherwise((r - g) / some + 4), F.lit(0.0))
+    saturation, value = F.coalesce(spread / F.nullif(high, F.lit(0.0)), F.lit(0.0)), high / 255
+    pale = saturation < PALE
+    colour = first_match([("black", pale & (value < DARK)), ("white", pale & (value > LIGHT)), ("gray", pale), *((name, hue < limit) for limit, name in HUES)])
+    code = F.format_string("#%02x%02x%02x", *(F.rint(c).cast("int") for c in (r, g, b)))
+    made = {"colour": colour, "hex": code, "brightness": F.round(value * 100, 1), "saturation": F.round(saturation * 100, 1)}
+    return found.select(*df.columns, *(F.when(r.isNotNull(), c).alias(name) for name, c in made.items()))
