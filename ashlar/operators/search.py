@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ashlar.lineage import cut
+from ashlar.operators.neighbours import knn_in_cells
 
 
 def postings(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -109,50 +108,11 @@ def knn(base: DataFrame, id_col: str, vector: str, query: list[float], k: int, w
 def knn_many(base: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, where: Column | None = None, block: int = 4000, metric: str = "cosine") -> DataFrame:
     """query_id, id_col, score: the k nearest of each query among base, filtered before ranking, by unrounded scores in double precision; ties go to the smaller id.
 
-    metric: cosine, or l2, whose score is the distance's negative.
-
-    Blocks of queries meet blocks of base, one pair of them in a task; each gives
-    its k best per query, which are then merged. Vectors that are null or zero
-    have no score and are left out.
+    metric: cosine, or l2, whose score is the distance's negative. Vectors that
+    are null, zero or not finite are left out. Only cells of base that may hold one
+    of a query's k nearest are searched: see neighbours.knn_in_cells().
     """
-    kind = base.schema[id_col].dataType.simpleString()
-    usable = lambda df: df.where(F.exists(vector, lambda x: x != 0)).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    sides = [usable(base if where is None else base.where(where)), usable(queries)]
-    n_base, n_queries = (max(1, math.ceil(x.count() / block)) for x in sides)
-    # each row goes to all blocks of the other side
-    at = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = sides[1].select("id", "v", at(n_queries).alias("x"), every(n_base).alias("y"))
-    right = sides[0].select("id", "v", at(n_base).alias("y"), every(n_queries).alias("x"))
-
-    def unit(pdf: pd.DataFrame) -> np.ndarray:
-        v = np.stack(pdf["v"].to_numpy())
-        return v / np.linalg.norm(v, axis=1, keepdims=True) if metric == "cosine" else v
-
-    def best(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
-        if len(q) and len(b):
-            b = b.sort_values("id")
-            ids, vectors, asked = b["id"].to_numpy(), unit(b).T, unit(q)
-            raw, given = np.stack(b["v"].to_numpy()), np.stack(q["v"].to_numpy())
-            for s in range(0, len(q), 256):
-                part = asked[s : s + 256]
-                scores = part @ vectors
-                if metric == "l2":
-                    scores = 2 * scores - (part * part).sum(axis=1)[:, None] - (vectors * vectors).sum(axis=0)  # the negative square
-                kth = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
-                slack = 1e-9 * (1 if metric == "cosine" else 1 + (part * part).sum(axis=1) + float((vectors * vectors).sum(axis=0).max()))
-                for i, row in enumerate(scores):
-                    among = np.flatnonzero(row >= kth[i] - (slack if metric == "cosine" else slack[i]))  # the fast form's candidates
-                    own = given[s + i], raw[among]
-                    exact = -np.sqrt(((own[1] - own[0]) ** 2).sum(axis=1)) if metric == "l2" else (own[1] * own[0]).sum(axis=1) / np.sqrt((own[1] ** 2).sum(axis=1) * (own[0] ** 2).sum())
-                    best_ = np.argsort(-exact, kind="stable")[:k]
-                    out.append(pd.DataFrame({"query_id": q["id"].iloc[s + i], id_col: ids[among[best_]], "score": exact[best_]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], id_col: [], "score": []})
-
-    found = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(best, f"query_id {kind}, `{id_col}` {kind}, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
-    return found.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+    return knn_in_cells(base if where is None else base.where(where), queries, id_col, vector, k, block, metric)[0]
 
 
 def recall_at_k(found: DataFrame, truth: DataFrame, query: str, item: str, k: int) -> DataFrame:
