@@ -31,7 +31,7 @@ def reachable(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         front = cut(new.join(closure, ["src", "dst"], "left_anti"), "closure")
         if front.isEmpty():
             return closure
-        closure = cut(closure.union(front), "closure")
+        closure = closure.union(front)  # each front is written once
     raise RuntimeError("the closure did not settle")
 
 
@@ -62,7 +62,7 @@ def reachable_delta(closure: DataFrame, edges: DataFrame, added: DataFrame, remo
         front = cut(new.join(again, ["src", "dst"], "left_anti"), "closure")
         if front.isEmpty():
             return closure.join(touched, "src", "left_anti").unionByName(again)
-        again = cut(again.union(front), "closure")
+        again = again.union(front)
     raise RuntimeError("the closure did not settle")
 
 

@@ -112,10 +112,11 @@ def enrich_or_reject(df: DataFrame, dim: DataFrame, on: str) -> tuple[DataFrame,
     return good, bad
 
 
-def join_dim(fact: DataFrame, dim: DataFrame, on: str, how: str = "left", most_rows: int = 1_000_000) -> DataFrame:
-    """fact with a dimension: broadcast if it has no more than most_rows rows, else left to the engine."""
-    few = dim.limit(most_rows + 1).count() <= most_rows
-    return fact.join(F.broadcast(dim) if few else dim, on, how)
+def join_dim(fact: DataFrame, dim: DataFrame, on: str, how: str = "left", most_bytes: int = 64 << 20) -> DataFrame:
+    """fact with a dimension: broadcast if its rows, measured as text and by their fixed parts, have no more than most_bytes, else left to the engine."""
+    fixed = 8 * (len(dim.columns) + 2)
+    size = dim.agg(F.sum(F.length(F.to_json(F.struct(*dim.columns))) + fixed).alias("n")).first()["n"] or 0
+    return fact.join(F.broadcast(dim) if size <= most_bytes else dim, on, how)
 
 
 def maintain_join(view: DataFrame, left: DataFrame, right: DataFrame, changed: DataFrame, on: str) -> DataFrame:

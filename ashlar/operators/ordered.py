@@ -21,15 +21,17 @@ def unchanged_versions(df: DataFrame, key: str, ts: str, digest: Column) -> Data
     return df.withColumn("_d", digest).withColumn("_p", F.lag("_d").over(by_time)).where("_d = _p").drop("_d", "_p")
 
 
-def lifecycle_audit(events: DataFrame, key: str, seq: str, state: str, allowed: list[str], most: int = 1000) -> DataFrame:
+def lifecycle_audit(events: DataFrame, key: str, seq: str, state: str, allowed: list[str]) -> DataFrame:
     """key, path, ok: whether the states of each key come, each at its first time, in the allowed order, without leaps.
 
-    A key's path has one entry for each state, so it is bounded by the states, not by the events.
+    A path ends with the first state beyond as many as are allowed: the key has
+    failed by then, and no path grows with a key's events or states.
     """
     first = events.groupBy(key, state).agg(F.min(seq).alias("_at"))
+    first = first.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_at", state))).where(F.col("_n") <= len(allowed) + 1)
     path = F.transform(F.array_sort(F.collect_list(F.struct(F.col("_at"), F.col(state).alias("s")))), lambda x: x["s"])
     want = F.slice(F.array(*map(F.lit, allowed)), F.lit(1), F.size("path"))
-    return first.groupBy(key).agg(path.alias("path")).where(F.size("path") <= most).withColumn("ok", F.col("path") == want)
+    return first.groupBy(key).agg(path.alias("path")).withColumn("ok", F.col("path") == want)
 
 
 def sort_by(df: DataFrame, spec: list[tuple[str, bool]]) -> DataFrame:
@@ -153,11 +155,12 @@ def share_within(counts: Column, bounds: list[float], bound: float) -> Column:
     return F.get(counts, F.lit(bounds.index(bound))) / F.nullif(F.element_at(counts, -1), F.lit(0))
 
 
-def combine_per_key(df: DataFrame, keys: list[str], init: Callable[[], list[float]], add: Callable[[list[float], tuple], list[float]], merge: Callable[[list[float], list[float]], list[float]], cols: list[str]) -> DataFrame:
+def combine_per_key(df: DataFrame, keys: list[str], init: Callable[[], list[float]], add: Callable[[list[float], tuple], list[float]], merge: Callable[[list[float], list[float]], list[float]], cols: list[str], held: int = 100_000, spread: int = 64) -> DataFrame:
     """keys, acc (array of doubles): an aggregate that the user defines by init(), add(acc, row of cols) and merge(acc, acc).
 
-    Every task folds its rows to one accumulator a key; the partial ones, as
-    many as tasks, are merged per key.
+    Every task folds its rows to one accumulator a key and hands them on when it
+    holds more than held keys; those of a key are merged in spread groups first,
+    then into one.
     """
     import pandas as pd
 
@@ -169,12 +172,44 @@ def combine_per_key(df: DataFrame, keys: list[str], init: Callable[[], list[floa
         for pdf in batches:
             for k, row in zip(pdf[keys].itertuples(index=False, name=None), pdf[cols].itertuples(index=False, name=None), strict=True):
                 accs[k] = add(accs[k] if k in accs else init(), row)
+            if len(accs) > held:
+                yield pd.DataFrame([(*k, acc) for k, acc in accs.items()], columns=[*keys, "acc"])
+                accs = {}
         yield pd.DataFrame([(*k, acc) for k, acc in accs.items()], columns=[*keys, "acc"])
 
     def join(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         acc = init()
         for x in pdf["acc"]:
             acc = merge(acc, list(x))
-        return pd.DataFrame([(*k, acc)], columns=[*keys, "acc"])
+        return pd.DataFrame([(*k[: len(keys)], acc)], columns=[*keys, "acc"])
 
-    return df.select(*keys, *cols).mapInPandas(fold, schema).groupBy(*keys).applyInPandas(join, schema)
+    return in_two_steps(df.select(*keys, *cols).mapInPandas(fold, schema), keys, join, schema, spread)
+
+
+def in_two_steps(partial: DataFrame, keys: list[str], join: Callable, schema: str, spread: int) -> DataFrame:
+    """Partial states merged by join in spread groups a key (by hash of the task that made them), then a key's groups into one."""
+    dealt = partial.withColumn("_part", F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(spread)))
+    return dealt.groupBy(*keys, "_part").applyInPandas(join, schema).groupBy(*keys).applyInPandas(join, schema)
+
+
+def batch_aggregate(df: DataFrame, keys: list[str], state: Callable, merge: dict[str, str], spread: int = 64) -> DataFrame:
+    """keys and the columns of merge: an aggregate that the user defines over whole batches.
+
+    state makes of a pandas batch (keys and the columns it reads) one double a
+    row for each column of merge; merge names how states of one key come together
+    (sum, min, max, prod). A batch gives one row a key, so no task holds a group.
+    """
+    import pandas as pd
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"`{c}` double" for c in merge)])
+
+    def fold(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.concat([pdf[keys], state(pdf)[list(merge)]], axis=1).groupby(keys, dropna=False, as_index=False).agg(merge)
+
+    def join(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*k[: len(keys)], *(getattr(pdf[c], how)() for c, how in merge.items()))], columns=[*keys, *merge])
+
+    return in_two_steps(df.mapInPandas(fold, schema), keys, join, schema, spread)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ashlar.functions import money, total
 from ashlar.lineage import cut, scratch
 from ashlar.operators import governance as gov
-from ashlar.operators import graph, merge, search, series, sketches, udfs, vectors
+from ashlar.operators import graph, merge, neighbours, ordered, search, series, sketches, udfs, vectors
 from ashlar.plans.catalog import Tables, query
 from ashlar.plans.relational import LINKS, TREE, links, tree
 from ashlar.plans.streams import plain
@@ -81,6 +81,16 @@ def k7_count_min(t: Tables) -> DataFrame:
     return exact.join(found, "l_suppkey").select("l_suppkey", (F.col("estimate") >= F.col("n")).alias("over"))
 
 
+@query("select count(distinct l_suppkey) as suppliers, true as never_below, true as within from lineitem")
+def k7_count_min_bounds(t: Tables) -> DataFrame:
+    """Both bounds: no estimate below the count, and at least 99 % of them above it by no more than 1 % of all rows."""
+    table = cut(sketches.count_min(t.lineitem, "l_suppkey", 0.01, 0.99), "count-min")
+    exact = cut(t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n")), "counts")
+    found = sketches.count_min_estimate(table, exact, "l_suppkey", 0.01, 0.99).join(exact, "l_suppkey").crossJoin(exact.agg(F.sum("n").alias("rows")))  # one row
+    over = F.col("estimate") - F.col("n")
+    return found.agg(F.count("*").alias("suppliers"), F.bool_and(over >= 0).alias("never_below"), (F.count_if(over <= 0.01 * F.col("rows")) >= 0.99 * F.count("*")).alias("within"))
+
+
 @query("select event_type, count(distinct user_id) as users, true as within from events where ts < timestamp '2024-01-20' group by 1")
 def k8_sketch_range(t: Tables) -> DataFrame:
     """Users of a range of days, from sketches kept by day."""
@@ -115,10 +125,10 @@ def z3_series_slice(t: Tables) -> DataFrame:
     return series.series_slice(t.events, "user_id", 3, "ts", at("2024-01-05"), at("2024-01-25")).select("ts", "event_id", "value")
 
 
-@query("with c as (select event_type, ts::date as day, count(*) as n from events where event_id % 40 = 0 group by 1, 2), s as (select unnest(generate_series((select min(day) from c)::timestamp, (select max(day) from c)::timestamp, interval 1 day))::date as day) select k.event_type, s.day, coalesce(n, 0) as n from (select distinct event_type from c) k cross join s left join c on c.event_type = k.event_type and c.day = s.day")
+@query("with c as (select user_id, ts::date as day, count(*) as n from events group by 1, 2), s as (select unnest(generate_series((select min(day) from c)::timestamp, (select max(day) from c)::timestamp, interval 1 day))::date as day) select k.user_id, s.day, coalesce(n, 0) as n from (select distinct user_id from c) k cross join s left join c on c.user_id = k.user_id and c.day = s.day")
 def z4_fill_calendar(t: Tables) -> DataFrame:
-    counts = t.events.where("event_id % 40 = 0").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    return series.fill_calendar(counts, ["event_type"], "day", ["n"])
+    counts = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return series.fill_calendar(counts, ["user_id"], "day", ["n"])
 
 
 # ---- graphs
@@ -131,6 +141,17 @@ def g2_shortest_path(t: Tables) -> DataFrame:
     return graph.shortest_path(e, 10, goal, 3).select("hops")
 
 
+PATH = f"with recursive e as ({LINKS}), r as (select cast(10 as bigint) as node, 0 as hops union select dst, hops + 1 from r join e on src = node where hops < 3), d as (select node, min(hops) as hops from r group by 1), b as (select e.dst as node, min(e.src) as src from e join d x on x.node = e.src join d y on y.node = e.dst and y.hops = x.hops + 1 group by 1), p as (select node, hops from d where node = (select max(node) from d) union all select b.src, p.hops - 1 from p join b on b.node = p.node where p.hops > 0)"
+
+
+@query(f"{PATH} select hops::int as place, node from p")
+def g2_path(t: Tables) -> DataFrame:
+    """The nodes of the path itself, the least predecessor at each."""
+    e = cut(links(t), "links")
+    goal = graph.k_hop(e, 10, 3).agg(F.max("node")).first()[0]
+    return graph.shortest_path(e, 10, goal, 3).select(F.posexplode("nodes").alias("place", "node"))
+
+
 @query(f"with recursive e as (select * from ({TREE}) where src % 100 <> 7 union all select o_orderkey, o_orderkey // 3 from orders where o_orderkey % 100 = 9), r as (select src, dst from e union select r.src, e.dst from r join e on e.src = r.dst) select src, dst from r")
 def g4_reachable_delta(t: Tables) -> DataFrame:
     """The tree's closure after every hundredth order lost its parent and another hundredth gained one."""
@@ -187,6 +208,31 @@ def e1_knn_l2(t: Tables) -> DataFrame:
     return out.withColumn("score", F.round("score", 4) + F.lit(0.0))
 
 
+@query("with e as (select vec_id, list_concat(cast(embedding as double[]), [20.0::double * label]) as v from embeddings), s as (select q.vec_id as query_id, b.vec_id, -list_distance(b.v, q.v) as raw from e q, e b where q.vec_id % 20 = 0) select query_id, vec_id, round(raw, 4) + 0.0 as score from s qualify row_number() over (partition by query_id order by raw desc, vec_id) <= 10")
+def e1_knn_clustered(t: Tables) -> DataFrame:
+    """Vectors that lie in clusters, one a label; the tests hold the share of pairs compared below a third."""
+    return clustered(t)[0].withColumn("score", F.round("score", 4) + F.lit(0.0))
+
+
+def clustered(t: Tables) -> tuple[DataFrame, dict[str, int]]:
+    v = F.concat(F.col("embedding").cast("array<double>"), F.array(20.0 * F.col("label")))
+    base = t.embeddings.select("vec_id", v.alias("embedding"))
+    return neighbours.knn_in_cells(base, base.where("vec_id % 20 = 0"), "vec_id", "embedding", 10, block=50, metric="l2")
+
+
+DIMS = [16, 32, 48]
+
+
+@query(f"with e as (select vec_id, cast(embedding as double[]) as v from embeddings), d as (select unnest([{', '.join(map(str, DIMS))}, 100000]) as dims), p as (select dims, vec_id, v[1:dims] as v from d, e), s as (select q.dims, q.vec_id as query_id, b.vec_id, list_dot_product(b.v, q.v) / sqrt(list_dot_product(b.v, b.v) * list_dot_product(q.v, q.v)) as raw from p q join p b using (dims) where q.vec_id % 20 = 0), f as (select dims, query_id, vec_id from s qualify row_number() over (partition by dims, query_id order by raw desc, vec_id) <= 10) select a.dims, round(count(*) / (10.0 * (select count(*) from e where vec_id % 20 = 0)), 6) as recall from f a join f b on b.dims = 100000 and a.query_id = b.query_id and a.vec_id = b.vec_id where a.dims < 100000 group by 1")
+def e5_recall_by_dims(t: Tables) -> DataFrame:
+    """Recall of searches that see the leading dimensions only."""
+    asked = lambda df: search.knn_many(df, df.where("vec_id % 20 = 0"), "vec_id", "embedding", 10)
+    exact = asked(t.embeddings)
+    of = lambda dims: search.recall_at_k(asked(t.embeddings.withColumn("embedding", F.slice("embedding", 1, dims))), exact, "query_id", "vec_id", 10)
+    parts = [of(dims).select(F.lit(dims).alias("dims"), F.round("recall", 6).alias("recall")) for dims in DIMS]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def ivf(t: Tables, probes: int) -> DataFrame:
     index, centres = vectors.ivf_build(t.embeddings, "vec_id", "embedding", 16)
     return vectors.ivf_search(index, centres, t.embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", 10, probes)
@@ -321,11 +367,16 @@ def f2_apply_batch(t: Tables) -> DataFrame:
     return udfs.apply_batch(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity"), fn, "l_orderkey long, l_linenumber int, twice double")
 
 
-@query("select event_type, count(*) as n, round(stddev_pop(value), 6) as spread from events group by 1")
+@query("select user_id, event_type, count(*) as n, round(exp(avg(ln(1 + abs(value)))) - 1, 6) as geometric, max(abs(value)) as highest from events group by 1, 2")
 def f3_udaf(t: Tables) -> DataFrame:
-    from ashlar.plans.tables import spread
+    """Geometric means and highest values: states of whole batches, merged by key."""
+
+    def state(pdf: pd.DataFrame) -> pd.DataFrame:
+        size = pdf["value"].abs()
+        return pd.DataFrame({"n": size.notna().astype(float), "logs": np.log1p(size), "highest": size})
 
-    return spread(t)
+    out = ordered.batch_aggregate(t.events.select("user_id", "event_type", "value"), ["user_id", "event_type"], state, {"n": "sum", "logs": "sum", "highest": "max"})
+    return out.select("user_id", "event_type", F.col("n").cast("long").alias("n"), F.round(F.exp(F.col("logs") / F.col("n")) - 1, 6).alias("geometric"), "highest")
 
 
 @query("select p_partkey, unnest(string_split(p_name, ' ')) as word from part")

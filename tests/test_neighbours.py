@@ -56,3 +56,11 @@ def test_odd_vectors_few_rows_and_empty_tables(spark):
     assert answers(found) == {0: [0, 3, 6], 3: [0, 3, 6], 6: [6, 0, 3]}
     assert knn_in_cells(base.limit(0), base, "id", "v", 3)[0].count() == 0
     assert knn_in_cells(base, base.limit(0), "id", "v", 3, block=2)[0].count() == 0
+
+
+def test_clustered_query_compares_few_pairs(spark):
+    from ashlar.plans.catalog import Tables
+    from ashlar.plans.retrieval import clustered
+
+    found, compared = clustered(Tables(spark, "/root/testdata/sf0.01"))
+    assert found.count() > 0 and 0 < compared["compared"] < compared["all"] / 3
