@@ -103,6 +103,43 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts
     return out.select("_row.*", *(F.when(fresh, F.col("_f")[v]).alias(v) for v in values))
 
 
+def historical_features(labels: DataFrame, key: str, ts: str, views: dict[str, tuple[DataFrame, str, list[str], str | None, int | None]], ranges: int | None = None) -> DataFrame:
+    """labels with view__value for each value of each view: its newest row of the key at or before the label's time, in one shuffle of all of them.
+
+    views: name to (rows, time, values, tie, seconds to live): of rows of one time
+    that with the greatest tie is taken; older than its time to live it is null.
+    Null keys meet none. ranges: for hot keys, rows are dealt by ranges of key and
+    time, and each takes over what the ranges before it ended with.
+    """
+    parts = [labels.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*labels.columns).alias("_row"))]
+    for i, (rows, at, values, tie, _) in enumerate(views.values()):
+        tied = [F.struct(tie).alias(f"_tie{i}")] if tie else []
+        parts.append(rows.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("_key"), F.col(at).alias("_ts"), F.lit(0).alias("_side"), *tied, F.struct(F.col(at).alias("_at"), *values).alias(f"_v{i}")))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p, allowMissingColumns=True)
+    by = ["_key"]
+    if ranges:
+        both, by = in_ranges(both, ["_key", "_ts"], ranges), ["_key", "_range"]
+    ties = [f"_tie{i}" for i, v in enumerate(views.values()) if v[3]]
+    before = Window.partitionBy(*by).orderBy("_ts", "_side", *(F.col(x).asc_nulls_first() for x in ties)).rowsBetween(Window.unboundedPreceding, 0)
+    found = {f"_f{i}": F.last(f"_v{i}", ignorenulls=True).over(before) for i in range(len(views))}
+    out = both.withColumns(found)
+    if ranges:
+        last = [F.max_by(f"_v{i}", F.when(F.col(f"_v{i}").isNotNull(), F.struct("_ts", *([f"_tie{i}"] if f"_tie{i}" in ties else [])))).alias(f"_e{i}") for i in range(len(views))]
+        ends = both.where("_side = 0").groupBy(*by).agg(*last)
+        all_ = both.select(*by).distinct().join(ends, by, "left")  # ranges x the keys that lie in them
+        so_far = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        carried = all_.select(*by, *(F.last(f"_e{i}", ignorenulls=True).over(so_far).alias(f"_b{i}") for i in range(len(views))))
+        out = out.where("_side = 1").join(carried, by, "left").withColumns({f"_f{i}": F.coalesce(f"_f{i}", f"_b{i}") for i in range(len(views))})
+    columns = []
+    for i, (name, (_, _, values, _, ttl)) in enumerate(views.items()):
+        age = F.unix_timestamp(F.col("_ts").cast("timestamp")) - F.unix_timestamp(F.col(f"_f{i}")["_at"].cast("timestamp"))
+        fresh = F.lit(True) if ttl is None else age <= ttl
+        columns += [F.when(fresh, F.col(f"_f{i}")[v]).alias(f"{name}__{v}") for v in values]
+    return out.where("_side = 1").select("_row.*", *columns)
+
+
 def enrich_or_reject(df: DataFrame, dim: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
     """(enriched rows, rows whose key the dimension lacks, with a reason)."""
     known = dim.withColumn("_known", F.lit(True))

@@ -9,7 +9,7 @@ from ashlar.functions import hundredths, money, total
 from ashlar.lineage import cut
 from ashlar.operators import incremental as inc
 from ashlar.operators import aggregates, governance, merge, search
-from ashlar.operators.joins import asof_join
+from ashlar.operators.joins import historical_features
 from ashlar.operators.rollups import Measure, Rollup, answer, distinct_count, distinct_state
 from ashlar.plans.catalog import Tables, query
 
@@ -88,11 +88,10 @@ def s16_child_table(t: Tables) -> DataFrame:
 
 @query("select l.event_id, arg_max(v.value, (v.ts, v.event_id)) filter (v.event_type = 'view') as view_value, arg_max(v.value, (v.ts, v.event_id)) filter (v.event_type = 'click') as click_value from events l left join events v on l.user_id = v.user_id and v.ts <= l.ts where l.event_type = 'purchase' group by 1")
 def j18_historical_features(t: Tables) -> DataFrame:
-    out = t.events.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
-    for kind in ("view", "click"):
-        feature = t.events.where(F.col("event_type") == kind).select("user_id", F.col("ts").alias(f"{kind}_ts"), F.col("value").alias(f"{kind}_value"), F.col("event_id").alias("made"))
-        out = asof_join(out, feature, "user_id", "ts", f"{kind}_ts", [f"{kind}_value"], None, "made")
-    return out.select("event_id", "view_value", "click_value")
+    """Both views beside the labels in one shuffle."""
+    views = {kind: (t.events.where(F.col("event_type") == kind), "ts", ["value"], "event_id", None) for kind in ("view", "click")}
+    out = historical_features(t.events.where("event_type = 'purchase'"), "user_id", "ts", views)
+    return out.select("event_id", F.col("view__value").alias("view_value"), F.col("click__value").alias("click_value"))
 
 
 @query("with f as (select user_id, max(ts) as newest from events where event_type = 'view' group by 1) select event_id, coalesce(newest > ts, false) as leaks from events left join f using (user_id) where event_type = 'purchase'")

@@ -11,6 +11,7 @@ from ashlar.operators import merge, nested
 from ashlar.plans.catalog import Tables, query
 from ashlar.plans.relational import V1, V2, versions
 from ashlar.sources import files, images, log
+from ashlar.sources.keyed import KeyedTable
 from ashlar.streaming import events as ev
 
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double"
@@ -147,6 +148,36 @@ def s13_upsert_sink(t: Tables) -> DataFrame:
     return ev.upsert_sink(stream, ["o_orderkey"], ev.fresh_folder(t.spark, "s13"), "append", order="v").select("o_orderkey", "o_totalprice")
 
 
+#: Every seventh event is corrected, every eleventh deleted; what is older comes again at last.
+WRITES = [(0, "true", "value", False), (2, "event_id % 7 = 0", "value + 1", False), (3, "event_id % 11 = 0", "value", True), (1, "event_id % 5 = 0", "-1.0", False)]
+STORED = "select user_id, event_id, case when event_id % 7 = 0 then value + 1 when event_id % 5 = 0 then -1.0 else value end as value from events where event_id % 11 <> 0"
+
+
+def keyed_events(t: Tables, label: str) -> KeyedTable:
+    """Events by user, written by a stream of four batches."""
+    source, folder = scratch(t.spark, "stream-source"), ev.fresh_folder(t.spark, label)
+    table = KeyedTable(t.spark, folder, ["user_id"], ["event_id"], "seq", "gone", buckets=16, spread=2)
+    schema = "user_id long, event_id long, value double, seq int, gone boolean"
+    for n, (seq, where, value, gone) in enumerate(WRITES):
+        rows = t.events.where(where).select("user_id", "event_id", F.expr(value).cast("double").alias("value"), F.lit(seq).alias("seq"), F.lit(gone).alias("gone"))
+        rows.coalesce(4).write.parquet(f"{source}/{n}")
+        table.write_stream(t.spark.readStream.schema(schema).parquet(f"{source}/*"))
+    return table
+
+
+@query(STORED)
+def s13_keyed_sink(t: Tables) -> DataFrame:
+    """Streams upserted into a table by keys, stopped after each batch and gone on with; a batch rewrites the buckets of its keys."""
+    return keyed_events(t, "s13k").read().select("user_id", "event_id", "value")
+
+
+@query(f"select user_id, count(*) as n, sum(value::decimal(18,2))::double as total from ({STORED}) where user_id in (select c_custkey from customer where c_custkey % 50 = 3) group by 1")
+def s14_keyed_lookup(t: Tables) -> DataFrame:
+    """Rows of the asked users only, from their buckets only."""
+    asked = t.customer.where("c_custkey % 50 = 3").select(F.col("c_custkey").alias("user_id"))
+    return keyed_events(t, "s14k").lookup(asked).groupBy("user_id").agg(F.count("*").alias("n"), total(money("value")).alias("total"))
+
+
 @query("select fmt, o_orderstatus, n, total from (select unnest(['csv', 'json', 'orc', 'parquet']) as fmt), (" + BY_STATUS + ")")
 def s14_formats(t: Tables) -> DataFrame:
     """The same write and read through several stores' formats; JDBC and table formats take their options alike."""
