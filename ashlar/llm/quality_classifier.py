@@ -29,6 +29,7 @@ from ashlar.llm.quality_rules import base_statistics, vector
 from ashlar.llm.text import uniform
 
 FEATURES, WIDTH, RIDGE = 256, 2.0, 1.0
+FIT_TASKS = 16
 BINS, BIN_LOW, BIN_HIGH = 300, -1.0, 2.0
 
 
@@ -85,7 +86,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learns: Column, id_col: s
                 total += z.T @ np.hstack([z, pdf[["y"]].to_numpy()])
         yield pd.DataFrame({"i": range(FEATURES), "row": list(total)})
 
-    parts = rows.where("fits").select("x", "y").mapInPandas(equations, "i int, row array<double>")
+    # the rows are bounded, so few tasks sum them, and few matrices meet in the shuffle
+    parts = rows.where("fits").select("x", "y").repartition(FIT_TASKS).mapInPandas(equations, "i int, row array<double>")
     cells = parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
     matrix = np.zeros((FEATURES, FEATURES + 1))
     matrix[cells["i"], cells["j"]] = cells["v"]

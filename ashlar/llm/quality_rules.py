@@ -31,6 +31,8 @@ P = len(FLOORS)
 SHARE, SHARE_FACTOR = 0.75, 1.361
 REWEIGHT, REWEIGHT_FACTOR = 14.45, 1.049
 CUTOFF = 27.86
+#: Concentration goes on until no start of any group moves its log-determinant by more than this, or for so many steps.
+SETTLED, MOST_STEPS = 1e-4, 30
 #: Bits of a long that hold a window's place; texts with more windows take a slower path.
 PLACE_BITS = 20
 
@@ -115,12 +117,13 @@ def moments(rows: DataFrame, keys: Sequence[str], factor: float) -> DataFrame:
     return out.withColumn("logdet", sum((F.log(f"l{i}{i}") for i in range(1, P)), F.log("l00"))).drop(*(f"c{i}{j}" for i, j in pairs))
 
 
-def estimates(stats: DataFrame, steps: int = 3, min_group: int = 50) -> tuple[DataFrame, DataFrame]:
+def estimates(stats: DataFrame, most_steps: int = MOST_STEPS, min_group: int = 50) -> tuple[DataFrame, DataFrame]:
     """(group estimates by key g, key g of each (lang, source)).
 
     stats: lang, source, x0.., of documents that passed the base limits. Two
     starts for each group, the quartile box and a random half, are carried
-    through concentration steps; the lower determinant wins and is reweighted.
+    through concentration steps until they settle; the lower determinant wins and
+    is reweighted.
     """
     spark = stats.sparkSession
     sizes = stats.groupBy("lang", "source").agg(F.count("*").alias("n"))
@@ -139,11 +142,15 @@ def estimates(stats: DataFrame, steps: int = 3, min_group: int = 50) -> tuple[Da
     quart = rows.groupBy("g").agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q_{x}") for x in X))
     box = quart.select("g", F.lit(0).alias("start"), *(F.col(f"q_{x}")[1].alias(m) for x, m in zip(X, M, strict=True)), *((F.sqrt(F.pow((F.col(f"q_{X[i]}")[2] - F.col(f"q_{X[i]}")[0]) / 1.349, 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)))
     half = moments(rows.where(F.pmod("h", F.lit(2)) == 0).withColumn("start", F.lit(1)), ["g", "start"], 1.0).select(box.columns)
-    fit = cut(box.unionByName(half), "mcd-start")
-    for _ in range(steps):
-        far = with_distance(rows.join(fit, "g")).select("g", "start", "d2", *X)
+    fit = cut(box.unionByName(half).withColumn("logdet", F.lit(float("inf"))), "mcd-start")
+    for _ in range(most_steps):
+        far = with_distance(rows.join(fit.drop("logdet"), "g")).select("g", "start", "d2", *X)
         edge = cut(far.groupBy("g", "start").agg(F.percentile_approx("d2", SHARE, 1000).alias("edge")), "mcd-edge")
-        fit = cut(moments(far.join(edge, ["g", "start"]).where("d2 <= edge"), ["g", "start"], SHARE_FACTOR), "mcd-step")
+        now = cut(moments(far.join(edge, ["g", "start"]).where("d2 <= edge"), ["g", "start"], SHARE_FACTOR), "mcd-step")
+        moved = now.join(fit.select("g", "start", F.col("logdet").alias("was")), ["g", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+        fit = now
+        if moved is None or moved <= SETTLED:
+            break
     best = fit.groupBy("g").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
     fit = fit.join(best, ["g", "start"]).drop("start", "logdet")
     near = with_distance(rows.join(fit, "g")).where(F.col("d2") <= REWEIGHT)

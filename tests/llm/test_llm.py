@@ -24,7 +24,7 @@ from ashlar.llm.main_text import extract, main_text
 from ashlar.llm.mixing import mix, source_targets, take_mix
 from ashlar.llm.near_dedup import components, near_dedup
 from ashlar.llm.quality_classifier import pool, quality_scores
-from ashlar.llm.quality_rules import CUTOFF, FLOORS, REWEIGHT, REWEIGHT_FACTOR, SHARE, SHARE_FACTOR, base_statistics, quality_rules, vector
+from ashlar.llm.quality_rules import CUTOFF, FLOORS, MOST_STEPS, REWEIGHT, REWEIGHT_FACTOR, SETTLED, SHARE, SHARE_FACTOR, base_statistics, quality_rules, vector
 from ashlar.llm.secret_scan import RULES, secret_scan, trigram_query
 
 SF = "/root/testdata/sf0.001"
@@ -73,25 +73,36 @@ def test_quality_rules(spark, docs, odd, empty):
     assert quality_rules(empty).count() == 0
 
 
-def plain_mcd(x, half):
-    """Squared distances by the estimate of one group: two starts, three concentration steps, reweighting."""
+def plain_mcd(groups):
+    """Squared distances by the estimate of each group (rows, the rows of its random half): two starts, concentration steps until all settle, reweighting."""
     floors = np.diag(np.square(FLOORS))
 
     def rank(values, share):
         return np.sort(values)[max(math.ceil(share * len(values)), 1) - 1]
 
-    def far(fit):
+    def far(x, fit):
         return np.square(np.linalg.solve(np.linalg.cholesky(fit[1]), (x - fit[0]).T)).sum(axis=0)
 
     def moments(rows, factor):
         return rows.mean(axis=0), np.cov(rows.T, bias=True) * factor + floors
 
-    q = [[rank(c, p) for p in (0.25, 0.5, 0.75)] for c in x.T]
-    fits = [(np.array([b for _, b, _ in q]), np.diag([((c - a) / 1.349) ** 2 for a, _, c in q]) + floors), moments(x[half], 1.0)]
-    for _ in range(3):
-        fits = [moments(x[(d := far(f)) <= rank(d, SHARE)], SHARE_FACTOR) for f in fits]
-    best = min(fits, key=lambda f: np.linalg.slogdet(f[1])[1])
-    return far(moments(x[far(best) <= REWEIGHT], REWEIGHT_FACTOR))
+    def size(fit):
+        return np.linalg.slogdet(fit[1])[1] / 2
+
+    fits = {}
+    for g, (x, half) in groups.items():
+        q = [[rank(c, p) for p in (0.25, 0.5, 0.75)] for c in x.T]
+        fits[g] = [(np.array([b for _, b, _ in q]), np.diag([((c - a) / 1.349) ** 2 for a, _, c in q]) + floors), moments(x[half], 1.0)]
+    moved = [math.inf]
+    for step in range(MOST_STEPS):
+        new = {g: [moments(x[(d := far(x, f)) <= rank(d, SHARE)], SHARE_FACTOR) for f in fits[g]] for g, (x, _) in groups.items()}
+        moved = [abs(size(a) - size(b)) for g in new for a, b in zip(fits[g], new[g], strict=True)]
+        fits = new
+        if step and max(moved) <= SETTLED:
+            break
+    assert max(moved) <= SETTLED
+    best = {g: min(f, key=size) for g, f in fits.items()}
+    return {g: far(x, moments(x[far(x, best[g]) <= REWEIGHT], REWEIGHT_FACTOR)) for g, (x, _) in groups.items()}
 
 
 def test_quality_rules_by_plain_estimates(spark, docs):
@@ -104,11 +115,9 @@ def test_quality_rules_by_plain_estimates(spark, docs):
     size = Counter((r.lang, r.source) for r in rows)
     by_lang = Counter(r.lang for r in rows)
     group = {r.doc_id: (r.lang, r.source) if size[r.lang, r.source] >= least else (r.lang,) if by_lang[r.lang] >= least else () for r in rows}
-    want = {}
-    for g in set(group.values()):
-        own = [r for r in rows if (r.lang, r.source)[: len(g)] == g]
-        d = plain_mcd(np.array([[r[f"x{i}"] for i in range(6)] for r in own]), np.array([r.h % 2 == 0 for r in own]))
-        want |= {r.doc_id: x for r, x in zip(own, d, strict=True) if group[r.doc_id] == g}
+    own = {g: [r for r in rows if (r.lang, r.source)[: len(g)] == g] for g in set(group.values())}
+    distances = plain_mcd({g: (np.array([[r[f"x{i}"] for i in range(6)] for r in o]), np.array([r.h % 2 == 0 for r in o])) for g, o in own.items()})
+    want = {r.doc_id: x for g, o in own.items() for r, x in zip(o, distances[g], strict=True) if group[r.doc_id] == g}
     got = {r.doc_id: r for r in quality_rules(some, min_group=least).where("not base_failed").collect()}
     assert set(got) == set(want) and len(set(group.values())) > 2
     assert all(math.isclose(got[i].distance, want[i], rel_tol=1e-6) and got[i].kept == (want[i] <= CUTOFF) for i in want)
