@@ -157,6 +157,16 @@ def test_lsh_pairs(spark):
     assert vectors.lsh_join(df.limit(0), "id", "v", 0.9).count() == 0
 
 
+def test_lsh_pairs_leave_their_buckets_only_when_near(spark):
+    df, u = unit_rows(spark, 300, 6, 2)
+    rows = lambda x: sorted((r.a, r.b, r.score) for r in x.collect())
+    whole = vectors.lsh_join(df, "id", "v", 0.9, tables=16, bits=2)
+    plan = whole._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandas" in plan and "Deduplicate" not in plan and "Distinct" not in plan  # no candidates are shuffled
+    assert rows(whole) == rows(vectors.lsh_join(df, "id", "v", 0.9, tables=16, bits=2, block=20))
+    assert len({r[:2] for r in rows(whole)}) == len(rows(whole)) > 0
+
+
 def test_hashed_embeddings_and_means(spark):
     df = spark.createDataFrame([(1, "A b b"), (2, ""), (3, None), (4, "b B a")], "id long, t string")
     got = {r.id: r.vector for r in vectors.hash_embed(df, "id", "t", 16).collect()}
