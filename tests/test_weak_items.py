@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from ashlar.operators import graph, joins, ordered
 
@@ -42,3 +43,13 @@ def test_dimension_measured_in_bytes(spark):
     plan = lambda n: joins.join_dim(fact, wide, "k", most_bytes=n)._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" not in plan(4000) and "broadcast" in plan(6000)
     assert joins.join_dim(fact, wide.limit(0), "k").count() == 3
+
+
+def test_merging_states_calls_no_python_for_each_key(spark):
+    df = spark.range(0, 4000, 1, 4).selectExpr("if(id % 9 = 0, null, cast(id % 2000 as string)) as k", "cast(id as double) as x")
+    state = lambda pdf: pd.DataFrame({"n": pdf["x"].notna().astype(float), "least": pdf["x"]})
+    whole = ordered.batch_aggregate(df, ["k"], state, {"n": "sum", "least": "min"})
+    folded = ordered.combine_per_key(df, ["k"], lambda: [0.0, float("inf")], lambda a, r: [a[0] + 1, min(a[1], r[0])], lambda a, b: [a[0] + b[0], min(a[1], b[1])], ["x"], 100, 3)
+    want = {r.k: (float(r.n), r.least) for r in df.groupBy("k").agg(F.count("*").alias("n"), F.min("x").alias("least")).collect()}
+    assert {r.k: (r.n, r.least) for r in whole.collect()} == {r.k: tuple(r.acc) for r in folded.collect()} == want
+    assert not any("FlatMapGroups" in x._jdf.queryExecution().analyzed().toString() for x in (whole, folded))
