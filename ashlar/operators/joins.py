@@ -73,12 +73,17 @@ def contains_join(points: DataFrame, ranges: DataFrame, key: str, at: str, start
     return dealt.join(binned, [key, "_level", "_bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bin", "_level")
 
 
+def _seconds(n: int) -> Column:
+    """A span of time, exact to the microsecond and whatever the time zone."""
+    return F.make_dt_interval(secs=F.lit(n).cast("decimal(18,6)"))
+
+
 def asof_join(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts: str, values: list[str], ttl_seconds: int | None = None, tie: str | None = None, ranges: int | None = None) -> DataFrame:
     """left with the values of the latest right row at or before left_ts.
 
     Both sides meet in one window per key, in order of time, so no range join
-    is needed. Rows older than ttl_seconds (inclusive) give nulls; among equal
-    times the largest tie wins. Where keys may be hot, ranges deals each key's
+    is needed. Rows older than ttl_seconds (inclusive, to the microsecond) give
+    nulls; among equal times the largest tie wins. Where keys may be hot, ranges deals each key's
     time line to so many tasks; what a range ends with is carried to the next.
     """
     tied = F.col(tie) if tie else F.lit(None).cast("bigint")
@@ -99,7 +104,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts
     out = out.where("_side = 1")
     fresh = F.col("_f").isNotNull()
     if ttl_seconds is not None:
-        fresh &= F.unix_timestamp(F.col("_ts").cast("timestamp")) - F.unix_timestamp(F.col("_f")["_at"].cast("timestamp")) <= ttl_seconds
+        fresh &= F.col("_ts") - F.col("_f")["_at"] <= _seconds(ttl_seconds)
     return out.select("_row.*", *(F.when(fresh, F.col("_f")[v]).alias(v) for v in values))
 
 
@@ -134,8 +139,8 @@ def historical_features(labels: DataFrame, key: str, ts: str, views: dict[str, t
         out = out.where("_side = 1").join(carried, by, "left").withColumns({f"_f{i}": F.coalesce(f"_f{i}", f"_b{i}") for i in range(len(views))})
     columns = []
     for i, (name, (_, _, values, _, ttl)) in enumerate(views.items()):
-        age = F.unix_timestamp(F.col("_ts").cast("timestamp")) - F.unix_timestamp(F.col(f"_f{i}")["_at"].cast("timestamp"))
-        fresh = F.lit(True) if ttl is None else age <= ttl
+        age = F.col("_ts") - F.col(f"_f{i}")["_at"]
+        fresh = F.lit(True) if ttl is None else age <= _seconds(ttl)
         columns += [F.when(fresh, F.col(f"_f{i}")[v]).alias(f"{name}__{v}") for v in values]
     return out.where("_side = 1").select("_row.*", *columns)
 

@@ -57,6 +57,16 @@ def test_asof_in_ranges(spark):
     assert any(v is None for _, v in want) and any(v is not None for _, v in want)
 
 
+def test_asof_ttl_is_exact_to_the_microsecond(spark):
+    at = lambda df, c: df.withColumn(c, F.expr(f"timestamp_ntz '2024-03-30 12:00:00.25' + make_dt_interval(0, 0, 0, {c})"))
+    left = at(spark.createDataFrame([("a", 86400.0, 1), ("b", 86400.000001, 2), ("c", 86400.7, 3), ("d", 0.0, 4)], "k string, t double, id long"), "t")
+    right = at(spark.createDataFrame([(k, 0.0, 1.0) for k in "abcd"], "k string, u double, v double"), "u")
+    want = {1: 1.0, 2: None, 3: None, 4: 1.0}
+    for n in (None, 3):
+        assert {x.id: x.v for x in joins.asof_join(left, right, "k", "t", "u", ["v"], 86400, ranges=n).collect()} == want
+        assert {x.id: x.w__v for x in joins.historical_features(left, "k", "t", {"w": (right, "u", ["v"], None, 86400)}, n).collect()} == want
+
+
 def test_totals_and_quantiles_in_ranges(spark):
     r = random.Random(4)
     rows = [(r.choice("ab"), i, r.randint(1, 9), r.choice([None, 1.0, 2.0, 2.0, 3.5, 8.0])) for i in range(300)]
