@@ -58,8 +58,17 @@ def count_min_estimate(table: DataFrame, values: DataFrame, col: str, eps: float
 
 
 def heavy_hitters(df: DataFrame, col: str, k: int, most: int = 10_000) -> DataFrame:
-    """item, count of the k most frequent values by a mergeable summary of most counters."""
-    return df.agg(F.expr(f"approx_top_k(`{col}`, {k}, {most})").alias("r")).select(F.explode("r").alias("r")).select("r.item", "r.count")
+    """item, count of the k most frequent values by mergeable summaries of most counters each; k is at most most.
+
+    Values are dealt by hash to as many summaries as hold half their counters'
+    number of distinct values each, so that none has to drop a value: one summary
+    that drops values can't tell the frequent ones of many nearly equal counts.
+    """
+    rows = df.where(F.col(col).isNotNull()).select(col)
+    distinct = rows.agg(F.approx_count_distinct(col)).first()[0]
+    own = F.pmod(F.xxhash64(col), F.lit(math.ceil(2 * distinct / most) or 1)).alias("part")
+    found = rows.groupBy(own).agg(F.expr(f"approx_top_k(`{col}`, {k}, {most})").alias("r")).select(F.explode("r").alias("r"))
+    return found.select("r.item", "r.count").orderBy(F.desc("count"), "item").limit(k)
 
 
 def accuracy_report(df: DataFrame, col: str, lg_ks: list[int]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ashlar.functions import money, total
 from ashlar.lineage import cut
-from ashlar.operators import aggregates, graph, merge, quality, search
+from ashlar.operators import aggregates, graph, merge, quality, search, sketches
 from ashlar.plans.catalog import Tables, query
 from ashlar.plans.relational import FOLLOWS, LINKS, TREE, V1, V2, follows, links, tree, versions
 
@@ -221,4 +221,4 @@ def k5_theta(t: Tables) -> DataFrame:
 
 @query()
 def k6_heavy_hitters(t: Tables) -> DataFrame:
-    return t.lineitem.agg(F.expr("approx_top_k(l_suppkey, 10)").alias("r")).select(F.explode("r").alias("r")).select("r.item", "r.count")
+    return sketches.heavy_hitters(t.lineitem, "l_suppkey", 10)

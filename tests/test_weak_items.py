@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ashlar.operators import graph, joins, ordered
+from ashlar.operators import graph, joins, ordered, sketches
 
 
 def test_lifecycle_keeps_keys_with_many_states(spark):
@@ -53,3 +53,10 @@ def test_merging_states_calls_no_python_for_each_key(spark):
     want = {r.k: (float(r.n), r.least) for r in df.groupBy("k").agg(F.count("*").alias("n"), F.min("x").alias("least")).collect()}
     assert {r.k: (r.n, r.least) for r in whole.collect()} == {r.k: tuple(r.acc) for r in folded.collect()} == want
     assert not any("FlatMapGroups" in x._jdf.queryExecution().analyzed().toString() for x in (whole, folded))
+
+
+def test_heavy_hitters_among_more_values_than_counters(spark):
+    df = spark.range(0, 9000, 1, 3).selectExpr("nullif(id % 2000, 7) as x").union(spark.range(40).selectExpr("id % 4 + 1500 as x"))
+    want = [(r.x, r.n) for r in df.where("x is not null").groupBy("x").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "x").limit(4).collect()]
+    assert [(r.item, r["count"]) for r in sketches.heavy_hitters(df, "x", 4, 64).collect()] == want
+    assert sketches.heavy_hitters(df.limit(0), "x", 4, 64).count() == 0
