@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ashlar.lineage import cut
+
 
 def hex_cells(df: DataFrame, x: Column, y: Column, size: float) -> DataFrame:
     """df with the axial coordinates q and r of the pointy-top hexagon of that size around each point."""
@@ -101,12 +103,14 @@ def in_polygons(points: DataFrame, x: str, y: str, polygons: DataFrame, id_col:
 
     Points meet polygons by cell; only in cells near a side the ray test is
     made, against the sides of that polygon which reach the point's row of
-    cells. Points or polygons with nulls have no pairs. Choose size so that a
+    cells. Points of one place are tested once, and take their place's polygons
+    at the end. Points or polygons with nulls have no pairs. Choose size so that a
     polygon has tens to thousands of cells. Columns of points are kept as they
     are; they must not be named like id_col.
     """
     rows = points.select(F.struct(*points.columns).alias("_p"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null and _y is not null")
-    placed = hex_cells(rows, F.col("_x"), F.col("_y"), size)
+    places = cut(rows.select("_x", "_y").distinct(), "places")
+    placed = hex_cells(places, F.col("_x"), F.col("_y"), size)
     met = placed.join(cover(polygons, id_col, rings, size), ["q", "r"])
     near = _rows_of(edges(polygons, id_col, rings), size, size).groupBy(id_col, "r").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_sides"))  # sides of one polygon in one row
 
@@ -118,4 +122,5 @@ def in_polygons(points: DataFrame, x: str, y: str, polygons: DataFrame, id_col:
         return F.aggregate(sides, F.lit(0), step) % 2 == 1
 
     tested = met.where("not whole").join(near, [id_col, "r"]).where(odd(F.col("_sides")))
-    return met.where("whole").select("_p.*", id_col).unionByName(tested.select("_p.*", id_col))
+    inside = cut(met.where("whole").select("_x", "_y", id_col).unionByName(tested.select("_x", "_y", id_col)), "inside")
+    return rows.join(inside, ["_x", "_y"]).select("_p.*", id_col)

@@ -21,6 +21,15 @@ def odd(x, y, rings):
     return n % 2 == 1
 
 
+def test_points_of_one_place_are_tested_once(spark, monkeypatch):
+    real, seen = geo.hex_cells, []
+    monkeypatch.setattr(geo, "hex_cells", lambda df, *a: seen.append(df.count()) or real(df, *a))
+    polygons = spark.createDataFrame([(1, [[(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)]])], "id long, rings array<array<struct<x double, y double>>>")
+    points = spark.range(900).selectExpr("id as k", "cast(id % 3 as double) as x", "if(id % 3 = 1, -0.0D, 1.0D) as y")
+    got = geo.in_polygons(points, "x", "y", polygons, "id", "rings", 1.0)
+    assert Counter(r.x for r in got.collect()) == Counter(x for x, y in ((0.0, 1.0), (1.0, -0.0), (2.0, 1.0)) for _ in range(300) if odd(x, y, [[(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)]])) and seen == [3]
+
+
 def test_polygons_with_holes_nulls_and_degenerate_rings(spark):
     rnd = random.Random(1)
     shapes = [(i, [[(rnd.uniform(-9, 9), rnd.uniform(-9, 9)) for _ in range(rnd.choice([3, 4, 7]))] for _ in range(rnd.choice([1, 2]))]) for i in range(25)]
