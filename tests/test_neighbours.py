@@ -1,8 +1,11 @@
 """Exact nearest neighbours over cells: against plain numpy, with copies, odd vectors and clusters."""
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from ashlar.operators import neighbours
 from ashlar.operators.neighbours import knn_in_cells
 
 KIND = "id long, v array<double>"
@@ -64,3 +67,14 @@ def test_clustered_query_compares_few_pairs(spark):
 
     found, compared = clustered(Tables(spark, "/root/testdata/sf0.01"))
     assert found.count() > 0 and 0 < compared["compared"] < compared["all"] / 3
+
+
+def test_samples_and_pieces_are_bounded(spark):
+    rows = spark.range(20_000)
+    digest = F.xxhash64("id", F.lit(7))
+    few = neighbours.lowest(rows, digest, 20_000, 50)
+    assert [r.id for r in few.collect()] == [r.id for r in rows.orderBy(digest, "id").limit(50).collect()]
+    assert "Filter" in few._jdf.queryExecution().analyzed().toString()  # what is sorted isn't the table
+    assert neighbours.lowest(rows.limit(3), digest, 3, 50).count() == 3
+    pieces = [len(x) for x in neighbours.slices(iter([pd.DataFrame({"id": range(1201)}), pd.DataFrame({"id": []})]))]
+    assert sum(pieces) == 1201 and max(pieces) <= neighbours.POINTS
