@@ -60,3 +60,13 @@ def test_heavy_hitters_among_more_values_than_counters(spark):
     want = [(r.x, r.n) for r in df.where("x is not null").groupBy("x").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "x").limit(4).collect()]
     assert [(r.item, r["count"]) for r in sketches.heavy_hitters(df, "x", 4, 64).collect()] == want
     assert sketches.heavy_hitters(df.limit(0), "x", 4, 64).count() == 0
+
+
+def test_closure_of_chains_doubles_its_rounds(spark, monkeypatch):
+    real, cuts = graph.cut, []
+    monkeypatch.setattr(graph, "cut", lambda df, label: cuts.append(label) or real(df, label))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(20, 15), (50, 3), (60, 61), (70, 70)], "src long, dst long")
+    want = {(a, b) for a in range(21) for b in range(21) if b > a} | {(a, b) for a in range(15, 21) for b in range(15, 21)} | {(50, b) for b in range(3, 21)} | {(50, 3), (60, 61), (70, 70)}
+    got = [(r.src, r.dst) for r in graph.reachable(edges).collect()]
+    assert set(got) == want and len(got) == len(want) and len(cuts) <= 8
+    assert graph.chains(edges, 2) is None
