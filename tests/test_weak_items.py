@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ashlar.operators import graph, joins, ordered, sketches
+from ashlar.operators import graph, joins, ordered, sketches, udfs
 
 
 def test_lifecycle_keeps_keys_with_many_states(spark):
@@ -70,3 +70,20 @@ def test_closure_of_chains_doubles_its_rounds(spark, monkeypatch):
     got = [(r.src, r.dst) for r in graph.reachable(edges).collect()]
     assert set(got) == want and len(got) == len(want) and len(cuts) <= 8
     assert graph.chains(edges, 2) is None
+
+
+def test_pictures_of_one_size_are_measured_together(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    flats = [None, [], [5, 5], *([int(x) for x in r.integers(0, 256, n)] for n in [3, 48, 48, 50, 7] * 6)]
+    made, names, palette = [], list(udfs.COLOURS), np.array(list(udfs.COLOURS.values()), float)
+    monkeypatch.setattr(udfs, "apply_struct", lambda df, cols, fn, schema: made.append(fn))
+    udfs.image_features(None, "p")
+    calls, real = [], np.stack
+    monkeypatch.setattr(udfs.np, "stack", lambda x, **o: calls.append(len(x)) or real(x, **o))
+    got = made[0](pd.Series(flats))
+    assert list(got["colour"][:3]) == [None] * 3 and max(calls) >= 12  # at least one call for many pictures
+    for flat, row in zip(flats[3:], got.iloc[3:].itertuples(index=False), strict=True):
+        rgb = np.array(flat[: len(flat) // 3 * 3], float).reshape(-1, 3)
+        near = [names[((p - palette) ** 2).sum(axis=1).argmin()] for p in rgb]
+        want = max(names, key=lambda c: (near.count(c), -names.index(c)))
+        assert row.colour == want and abs(row.brightness - (rgb.max(axis=1) / 255).mean()) < 1e-6
