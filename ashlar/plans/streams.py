@@ -9,8 +9,8 @@ from ashlar.functions import money
 from ashlar.plans.catalog import Tables, query
 from ashlar.lineage import scratch
 from ashlar.operators import ordered
+from ashlar.streaming import buckets, keyed
 from ashlar.streaming import events as ev
-from ashlar.streaming import keyed
 
 
 def stream(t: Tables) -> DataFrame:
@@ -119,7 +119,7 @@ def t11_count_with_ttl(t: Tables) -> DataFrame:
 
 @query("select o_orderkey, o_totalprice + case when o_orderkey % 10 = 0 then 1 else 0 end as o_totalprice, c_name, case when c_custkey % 7 = 0 then 'moved' else c_mktsegment end as c_mktsegment from orders join customer on o_custkey = c_custkey where o_orderkey % 13 <> 0 and c_custkey % 11 <> 0")
 def j23_join_changes(t: Tables) -> DataFrame:
-    """Orders and customers as two streams of upserts and deletes in three files each, joined in state."""
+    """Orders and customers as two streams of upserts and deletes in three files each, joined over their latest rows in buckets."""
     o = t.orders.select(F.col("o_custkey").alias("k"), "o_orderkey", "o_totalprice")
     later = F.when(F.col("o_orderkey") % 13 != 0, F.col("o_totalprice") + 1)
     changes = o.withColumn("seq", F.lit(0)).unionByName(o.where("o_orderkey % 10 = 0 or o_orderkey % 13 = 0").withColumns({"o_totalprice": later, "seq": F.lit(1)}))
@@ -128,9 +128,7 @@ def j23_join_changes(t: Tables) -> DataFrame:
     gone, moved = F.col("k") % 11 == 0, F.when(F.col("k") % 11 != 0, F.lit("moved"))
     again = c.where("k % 7 = 0 or k % 11 = 0").withColumns({"c_name": F.when(~gone, F.col("c_name")), "c_mktsegment": moved, "seq": F.lit(1)}).withColumn("c_mktsegment", F.when(F.col("k") % 7 == 0, F.col("c_mktsegment")))
     customers = landed(t, c.withColumn("seq", F.lit(0)).unionByName(again), F.greatest(F.col("k") % 2, F.col("seq") * 2), 3)
-    with keyed.rocksdb(t.spark):
-        view = ev.upsert_sink(keyed.join_changes(orders, customers, "k", "o_orderkey", "seq", salts=4), ["o_orderkey"], ev.fresh_folder(t.spark, "j23"), mode="append")
-    return view.where("not deleted").drop("deleted")
+    return buckets.join_changes(orders, customers, "k", "o_orderkey", "seq", ev.fresh_folder(t.spark, "j23"), 16).read("view")
 
 
 LATE = f"{SIX_DAYS} + case when event_id % 33 = 0 and {SIX_DAYS} < 2 then 3 when event_id % 7 = 0 and {SIX_DAYS} < 4 and (day(ts) - 1) % 6 = 5 and hour(ts) >= 12 then 1 else 0 end"

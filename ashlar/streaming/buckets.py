@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -80,25 +82,39 @@ class Batch:
     def bucket(self, keys: list[str]) -> Column:
         return F.pmod(F.xxhash64(*keys), F.lit(self.store.buckets)).cast("int")
 
-    def change(self, name: str, keys: list[str], rows: DataFrame, merged: tuple[Column, Column]) -> DataFrame:
+    def change(self, name: str, keys: list[str], rows: DataFrame, merged: tuple[Column, Column], by: list[str] | None = None) -> DataFrame:
         """Merge rows into a table of the same columns; returns _old and _new, structs or null, of the keys whose row changed.
 
         merged: two aggregates over the rows of one key, those of the table
         (__new is 0) and the given ones (1): its row before and its row now, null
-        if it has none. Columns can be compared, so they aren't maps. rows should
-        be cut: they are read twice.
+        if it has none. by: the keys that buckets go by, all by default. Columns
+        can be compared, so they aren't maps. rows should be cut: they are read
+        twice.
         """
-        store = self.store
-        touched = sorted(r[0] for r in rows.select(self.bucket(keys)).distinct().collect())  # at most as many as there are buckets
+        store, by = self.store, by or keys
+        touched = self.touched(by, rows)
         table = store.load(name, self.written, rows.schema, touched)
         both = table.withColumn("__new", F.lit(0)).unionByName(rows.withColumn("__new", F.lit(1)))
         made = cut(both.groupBy(*keys).agg(merged[0].alias("_old"), merged[1].alias("_new")).select("_old", "_new"), "buckets")
-        now = made.where("_new is not null").select("_new.*").withColumn("bucket", self.bucket(keys))
-        now.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{store.folder}/{name}/batch_id={self.batch}")
+        now = made.where("_new is not null").select("_new.*").withColumn("bucket", self.bucket(by))
+        self.write(name, now, touched)
+        return made.where(~F.col("_old").eqNullSafe(F.col("_new")))
+
+    def touched(self, by: list[str], rows: DataFrame) -> list[int]:
+        """The buckets of rows: at most as many as there are."""
+        return sorted(r[0] for r in rows.select(self.bucket(by)).distinct().collect())
+
+    def write(self, name: str, now: DataFrame, touched: list[int]) -> None:
+        """All that a table holds now in the touched buckets, by the column bucket."""
+        folder = f"{self.store.folder}/{name}/batch_id={self.batch}"
+        now.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(folder)
         full = [r[0] for r in now.select("bucket").distinct().collect()]
         self.written = {k: b for k, b in self.written.items() if k[0] != name or k[1] not in touched} | {(name, b): self.batch for b in full}
-        self.schemas[name] = rows.schema.json()
-        return made.where(~F.col("_old").eqNullSafe(F.col("_new")))
+        self.schemas[name] = now.drop("bucket").schema.json()
+
+    def load(self, name: str, buckets: list[int]) -> DataFrame:
+        """Some buckets of a table as this batch has left it."""
+        return self.store.load(name, self.written, StructType.fromJson(json.loads(self.schemas[name])), buckets)
 
     def commit(self) -> None:
         rows = [(name, bucket, batch, None) for (name, bucket), batch in self.written.items()]
@@ -164,6 +180,39 @@ def maintain(stream: DataFrame, folder: str, key: list[str], seq: str | None, vi
     return store
 
 
+def join_changes(left: DataFrame, right: DataFrame, on: str, id_col: str, seq: str, folder: str, buckets: int = 64) -> Store:
+    """left x right, two streams of upserts, kept in step as table "view": id_col, the other columns of left, those of right.
+
+    left has a row for each version of an id, right for each version of a value
+    of on; the greatest seq counts, versions may come in any order. A left or
+    right row whose other columns are all null is a delete. An id must keep its
+    value of on; a null one joins nothing. Both sides' latest rows and the view
+    lie in buckets of on, and a batch joins anew those that its rows touch.
+    Returns the store to read from.
+    """
+    store = Store(left.sparkSession, folder, buckets)
+    keys, parts = {"left": [on, id_col], "right": [on]}, []
+    for name, df in (("left", left), ("right", right)):
+        rest = [c for c in df.columns if c not in (*keys[name], seq)]
+        row = F.when(reduce(or_, (F.col(c).isNotNull() for c in rest)), F.struct(*rest))
+        parts.append(df.where(F.col(on).isNotNull()).select(F.lit(name).alias("side_"), *keys[name], F.col(seq).alias("seq_"), row.alias(name)))
+    both = parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+    def apply(rows: DataFrame, batch: int) -> None:
+        run, rows = Batch(store, batch), cut(rows, "batch")
+        for name in ("left", "right"):
+            columns = [*keys[name], "seq_", name]
+            run.change(name, keys[name], rows.where(F.col("side_") == name).select(columns), newest(columns, "seq_"), [on])
+        touched = run.touched([on], rows)
+        now = [run.load(name, touched).where(F.col(name).isNotNull()).drop("seq_") for name in ("left", "right")]
+        view = now[0].join(now[1], on)
+        run.write("view", cut(view.select(id_col, "left.*", "right.*", run.bucket([on]).alias("bucket")), "view"), touched)
+        run.commit()
+
+    each_batch(both, folder, apply)
+    return store
+
+
 def running_totals(stream: DataFrame, key: str, order: str, value: Column, folder: str, buckets: int = 64) -> DataFrame:
     """Every row with the running total of its key, in arrival of batches and by order within one. value: whole numbers or decimals; null adds nothing.
 

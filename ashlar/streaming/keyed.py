@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import reduce
-from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -118,68 +116,6 @@ def count_with_ttl(stream: DataFrame, key: str, ttl_seconds: int | None = None)
     return stream.select(key).groupBy(key).transformWithStateInPandas(Counter(key, ttl_seconds), f"`{key}` {dtype}, n long", "Update", "ProcessingTime")
 
 
-class JoinChanges(StatefulProcessor):
-    """The latest rows of both sides of one join key; what a batch changes in the join is given out."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.left = handle.getMapState("left", "id string", "seq long, row string")
-        self.right = handle.getValueState("right", "seq long, row string")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        newest: dict[str | None, tuple[int, str | None]] = {}  # of this batch: by left id, the right row at None
-        for pdf in rows:
-            for side, id_, seq, row in zip(pdf["side_"], pdf["id_"], pdf["seq_"], pdf["row_"], strict=True):
-                at = id_ if side == "left" else None
-                if at not in newest or seq >= newest[at][0]:
-                    newest[at] = (int(seq), row)
-        right = self.right.get() if self.right.exists() else None
-        changed = None in newest and (right is None or newest[None][0] >= right[0])
-        if changed:
-            right = newest[None]
-            self.right.update(right)
-        touched = []
-        for id_, (seq, row) in newest.items():
-            if id_ is None:
-                continue
-            old = self.left.getValue((id_,)) if self.left.containsKey((id_,)) else None
-            if old is None or seq >= old[0]:
-                self.left.updateValue((id_,), (seq, row))
-                touched.append((id_, row))
-        out = [(i[0], v[1]) for i, v in self.left.iterator()] if changed else touched
-        held = right[1] if right else None
-        if out:
-            yield pd.DataFrame({"_id": [i for i, _ in out], "_left": [r if held is not None else None for _, r in out], "_right": [held] * len(out)})
-
-    def close(self) -> None:
-        pass
-
-
-def join_changes(left: DataFrame, right: DataFrame, on: str, id_col: str, seq: str, salts: int = 1) -> DataFrame:
-    """The changes of left x right, two streams of upserts, kept as state: id_col, the other columns of left, those of right, and deleted; start it inside rocksdb().
-
-    left has a row for each version of an id, right for each version of a value
-    of on; the greatest seq counts, versions may come in any order. A left or
-    right row whose other columns are all null is a delete. An id must keep its
-    value of on. A row comes out for each id that a batch changes, with deleted
-    where it isn't in the join any more; put it through an upsert sink. salts
-    deals the left rows of a key to so many groups, each with its own copy of the
-    right row, so that a hot key has several tasks.
-    """
-    sides = []
-    for df, keys, name in ((left, [on, id_col, seq], "left"), (right, [on, seq], "right")):
-        rest = [c for c in df.columns if c not in keys]
-        row = F.when(reduce(or_, (F.col(c).isNotNull() for c in rest)), F.to_json(F.struct(*rest)))
-        salt = F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int") if name == "left" else F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        ident = F.col(id_col).cast("string") if name == "left" else F.lit(None).cast("string")
-        sides.append(df.select(F.col(on).cast("string").alias("on_"), salt.alias("salt_"), F.lit(name).alias("side_"), ident.alias("id_"), F.col(seq).cast("long").alias("seq_"), row.alias("row_")))
-    both = sides[0].unionByName(sides[1])
-    out = both.groupBy("on_", "salt_").transformWithStateInPandas(JoinChanges(), "_id string, _left string, _right string", "Append", "None")
-    schema = lambda df, keys: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in keys)
-    parsed = out.withColumns({"l": F.from_json("_left", schema(left, [on, id_col, seq])), "r": F.from_json("_right", schema(right, [on, seq]))})
-    gone = F.col("_left").isNull() | F.col("_right").isNull()
-    return parsed.select(F.col("_id").cast(left.schema[id_col].dataType).alias(id_col), F.when(~gone, F.col("l")).alias("l"), F.when(~gone, F.col("r")).alias("r"), gone.alias("deleted")).select(id_col, "l.*", "r.*", "deleted")
-
-
 class DroppedRows(StreamingQueryListener):
     """Rows that stateful operators dropped as later than the watermark, by query and by the operator's place."""
 
