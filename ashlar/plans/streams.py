@@ -99,7 +99,7 @@ r as (select user_id, sid, min(ts) as start, max(ts) as last, count(*) as n from
 top as (select user_id, sid, count(*) as kinds, (list(event_type order by k desc, event_type))[1] as top_kind from c group by 1, 2)
 select user_id, start, last, n, kinds, top_kind from r join top using (user_id, sid) where last + interval 6 hour <= (select date_trunc('milliseconds', max(ts)) from events)""")
 def t11_sessions(t: Tables) -> DataFrame:
-    """Sessions by value state, map state and timers, in five batches with a stop after each."""
+    """Sessions by value state and timers, in five batches with a stop after each."""
     rows = t.events.withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "ts", "event_type")
     folder, source = ev.fresh_folder(t.spark, "t11s"), scratch(t.spark, "stream-source")
     for i in range(5):

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
@@ -38,42 +38,47 @@ def rocksdb(spark: SparkSession, empty_batches: bool = True) -> Iterator[None]:
 
 
 class Sessions(StatefulProcessor):
-    """A row for each session of a key once it is closed: by a timer when the watermark is idle after its last row, or by a row that comes that much later."""
+    """A row for each session of a key once it is closed: by a timer when the watermark is idle after its last row, or by a row that comes that much later.
+
+    A key has one value, with its kinds as a map, and one timer: rows that
+    prolong a session leave the timer, which is set anew when it fires too early.
+    """
 
     def __init__(self, key: str, idle: int) -> None:
         self.key, self.idle = key, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.session = handle.getValueState("session", "start long, last long, n long")
-        self.kinds = handle.getMapState("kinds", "kind string", "n long")
+        self.session = handle.getValueState("session", "start long, last long, n long, kinds map<string, long>")
 
-    def row(self, key: tuple, start: int, last: int, n: int, kinds: dict[str, int]) -> pd.DataFrame:
+    def row(self, key: tuple, start: int, last: int, n: int, kinds: dict[str, int]) -> Row:
         top = min(kinds, key=lambda k: (-kinds[k], k))
-        return pd.DataFrame({self.key: [key[0]], "start": [start], "last": [last], "n": [n], "kinds": [len(kinds)], "top_kind": [top]})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        state = self.session.get() if self.session.exists() else None
-        kinds = {k[0]: v[0] for k, v in self.kinds.iterator()} if state else {}
-        for at, kind in sorted(x for pdf in rows for x in zip(pdf["at_"], pdf["kind_"], strict=True)):
-            if state and at - state[1] >= self.idle:
-                yield self.row(key, *state, kinds)
-                state, kinds = None, {}
-            state = (state[0], max(at, state[1]), state[2] + 1) if state else (at, at, 1)
+        return Row(**{self.key: key[0], "start": start, "last": last, "n": n, "kinds": len(kinds), "top_kind": top})
+
+    def ends(self, last: int) -> int:
+        """When a session is over, in whole milliseconds, as timers count."""
+        return (last + self.idle + 999) // 1000
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        held = self.session.get()
+        start, last, n, kinds = (*held[:3], dict(held[3])) if held else (None, None, 0, {})
+        for at, kind in sorted((r["at_"], r["kind_"]) for r in rows):
+            if n and at - last >= self.idle:
+                yield self.row(key, start, last, n, kinds)
+                n, kinds = 0, {}
+            start, last, n = (start, max(at, last), n + 1) if n else (at, at, 1)
             kinds[kind] = kinds.get(kind, 0) + 1
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.kinds.clear()
-        for k, n in kinds.items():
-            self.kinds.updateValue((k,), (n,))
-        self.session.update(state)
-        self.handle.registerTimer((state[1] + self.idle + 999) // 1000)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self.session.get()
-        yield self.row(key, *state, {k[0]: v[0] for k, v in self.kinds.iterator()})
+        self.session.update((start, last, n, kinds))
+        if held is None:
+            self.handle.registerTimer(self.ends(last))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        held = self.session.get()
+        if self.ends(held[1]) > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(self.ends(held[1]))
+            return
+        yield self.row(key, *held)
         self.session.clear()
-        self.kinds.clear()
 
     def close(self) -> None:
         pass
@@ -88,7 +93,7 @@ def sessions(stream: DataFrame, key: str, ts: str, kind: str, idle_seconds: int,
     """
     dtype = stream.schema[key].dataType.simpleString()
     rows = stream.withWatermark(ts, delay).select(F.col(key), F.col(ts), F.unix_micros(ts).alias("at_"), F.coalesce(F.col(kind), F.lit("")).alias("kind_"))
-    out = rows.groupBy(key).transformWithStateInPandas(Sessions(key, idle_seconds * 1_000_000), f"`{key}` {dtype}, start long, last long, n long, kinds long, top_kind string", "Append", "EventTime")
+    out = rows.groupBy(key).transformWithState(Sessions(key, idle_seconds * 1_000_000), f"`{key}` {dtype}, start long, last long, n long, kinds long, top_kind string", "Append", "EventTime")
     return out.withColumns({c: F.timestamp_micros(c) for c in ("start", "last")})
 
 

@@ -184,3 +184,31 @@ def test_expired_sessions_leave_state(spark, tmp_path):
     assert sorted((r.k, r.n, r.kinds, r.top_kind) for r in closed.collect()) == [(1, 3, 2, "b"), (2, 1, 1, ""), (2, 1, 1, "c")]
     kept = spark.read.format("statestore").option("stateVarName", "session").load(f"{out}/checkpoint")
     assert [r.key.k for r in kept.select("key").collect()] == [3]
+
+
+def test_a_session_takes_few_calls_to_its_state():
+    """One value and one timer a key: what prolongs a session reads and writes the value alone; a timer that fires early is set anew."""
+    calls, value, timers = Counter(), [None], set()
+
+    class Value:
+        get = staticmethod(lambda: (calls.update(["get"]), value[0])[1])
+        update = staticmethod(lambda v: (calls.update(["update"]), value.__setitem__(0, v)))
+        clear = staticmethod(lambda: (calls.update(["clear"]), value.__setitem__(0, None)))
+
+    class Handle:
+        getValueState = staticmethod(lambda name, schema, ttl=None: Value)
+        registerTimer = staticmethod(lambda at: (calls.update(["timer"]), timers.add(at)))
+
+    class Clock:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    sessions = keyed.Sessions("k", 5000)
+    sessions.init(Handle)
+    batch = lambda *rows: [r.asDict() for r in sessions.handleInputRows((7,), iter({"at_": a, "kind_": k} for a, k in rows), Clock(0))]
+    assert batch((0, "a"), (1000, "b")) == [] and timers == {6} and calls == {"get": 1, "update": 1, "timer": 1}
+    assert batch((3000, "b")) == [] and timers == {6} and calls == {"get": 2, "update": 2, "timer": 1}
+    assert list(sessions.handleExpiredTimer((7,), Clock(6), Clock(6))) == [] and timers == {6, 8}
+    assert batch((8000, "c")) == [{"k": 7, "start": 0, "last": 3000, "n": 3, "kinds": 2, "top_kind": "b"}]
+    (out,) = sessions.handleExpiredTimer((7,), Clock(20), Clock(8))
+    assert (out.start, out.last, out.n, out.top_kind) == (8000, 8000, 1, "c") and value == [None]
