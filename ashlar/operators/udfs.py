@@ -50,6 +50,7 @@ class Runs:
     Arguments: the table, the value's column, the least length of a run. Gives
     the partition's first column, value, n and the place of the run's first row
     in its partition; the type of the first column is the table's.
+    Not by Arrow, which would make a pandas frame of each row's result.
     """
 
     @staticmethod
@@ -63,30 +64,37 @@ class Runs:
         self.key = self.value = None
         self.n = self.seen = 0
         self.least = 1
-
-    def eval(self, row: Row, value: str, least: int) -> Iterator[tuple]:
-        now = row[value]
-        if self.n and now != self.value and self.n >= least:
-            yield self.key, self.value, self.n, self.seen - self.n
-        self.n = self.n + 1 if self.n and now == self.value else 1
-        self.key, self.value, self.least = row[0], now, least
+        self.found: list[tuple] = []  # given out together: each row's result is a message of its own
+
+    def eval(self, row: Row, value: str, least: int) -> list[tuple] | None:
+        now, out = row[value], None
+        if self.n and now == self.value:
+            self.n += 1
+        else:
+            if self.n >= max(least, 1):
+                self.found.append((self.key, self.value, self.n, self.seen - self.n))
+                if len(self.found) == 1000:
+                    out, self.found = self.found, []
+            self.n, self.value = 1, now
+            self.key, self.least = row[0], least
         self.seen += 1
+        return out
 
-    def terminate(self) -> Iterator[tuple]:
-        if self.n and self.n >= self.least:
-            yield self.key, self.value, self.n, self.seen - self.n
+    def terminate(self) -> list[tuple]:
+        last = [(self.key, self.value, self.n, self.seen - self.n)] if self.n >= max(self.least, 1) else []
+        return self.found + last
 
 
 def runs_of(df: DataFrame, key: str, order: str, value: str, least: int = 1) -> DataFrame:
     """key, value, n, at: the runs of equal values of at least that length in each key's rows, in order."""
-    function = F.udtf(Runs, useArrow=True)
+    function = F.udtf(Runs, useArrow=False)
     table = df.select(key, order, F.col(value).cast("string").alias(value)).asTable()
     return function(table.partitionBy(key).orderBy(order), F.lit(value), F.lit(least))
 
 
 def register_runs(spark: SparkSession) -> None:
     """runs_of(TABLE(...) PARTITION BY ... ORDER BY ..., 'value', least) for SQL."""
-    spark.udtf.register("runs_of", F.udtf(Runs, useArrow=True))
+    spark.udtf.register("runs_of", F.udtf(Runs, useArrow=False))
 
 
 #: Palette that a pixel's colour is named by.

@@ -212,3 +212,15 @@ def test_a_session_takes_few_calls_to_its_state():
     assert batch((8000, "c")) == [{"k": 7, "start": 0, "last": 3000, "n": 3, "kinds": 2, "top_kind": "b"}]
     (out,) = sessions.handleExpiredTimer((7,), Clock(20), Clock(8))
     assert (out.start, out.last, out.n, out.top_kind) == (8000, 8000, 1, "c") and value == [None]
+
+
+def test_runs_are_given_out_together():
+    """A row's result is a message of its own, so runs wait for 1,000 of them or the end of the partition."""
+    from pyspark.sql import Row
+
+    runs = udfs.Runs()
+    results = [runs.eval(Row(k="a", v=v), "v", 1) for v in ["x", "x", None, None, *(str(i) for i in range(2000))]]
+    given = [r for r in results if r]
+    last = runs.terminate()
+    assert [len(r) for r in given] == [1000, 1000] and [*given[0][:2], last[-1]] == [("a", "x", 2, 0), ("a", None, 2, 2), ("a", "1999", 1, 2003)]
+    assert len(given[0]) + len(given[1]) + len(last) == 2002 and udfs.Runs().terminate() == []
