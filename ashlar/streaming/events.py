@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ashlar.lineage import scratch
+from ashlar.lineage import scratch, spread
 
 
 def read_events(spark: SparkSession, pattern: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -42,7 +42,7 @@ def upsert_sink(stream: DataFrame, keys: list[str], folder: str, mode: str = "up
     each_batch(stream, folder, lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch_id={batch}"), mode)
     log = stream.sparkSession.read.parquet(f"{folder}/rows")
     last = F.max_by(F.struct(*stream.columns), F.struct(order, "batch_id") if order else F.col("batch_id")).alias("row")
-    return log.groupBy(*keys).agg(last).select("row.*")
+    return spread(log, *keys).groupBy(*keys).agg(last).select("row.*")
 
 
 def tumble(df: DataFrame, ts: str, size: str, keys: list[str], *aggs: Column, slide: str | None = None, delay: str | None = None) -> DataFrame:

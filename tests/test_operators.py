@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ashlar.lineage import cut, own_dir
+from ashlar.lineage import cut, own_dir, spread
 from ashlar.operators import governance, graph, joins, merge, ordered, payloads, quality, search, sketches, udfs, vectors
 from ashlar.sources import files
 from ashlar.streaming import events as ev
@@ -274,3 +274,21 @@ def test_views_and_ledgers_by_batch(spark, tmp_path):
 def test_cuts_lie_in_one_folder(spark):
     df = cut(spark.range(3), "here")
     assert all(own_dir(spark).split("://")[-1].lstrip("/") in f for f in df.inputFiles()) and df.count() == 3
+
+
+def test_partitions_grow_with_the_sources(spark):
+    df = cut(spark.range(50_000).selectExpr("id", "id % 7 as k"), "spread")
+    least = spark.sparkContext.defaultParallelism
+    parts = spread(df, "k", part_bytes=10_000).rdd.getNumPartitions()
+    assert spread(df, "k").rdd.getNumPartitions() == least < parts and spread(df.unionByName(df), "k", part_bytes=10_000).rdd.getNumPartitions() > parts
+    assert spread(spark.createDataFrame([(1, 2)], "id long, k long"), "k").rdd.getNumPartitions() == least  # of unknown size
+    plan = spread(df, "k").groupBy("k").agg(F.max_by(F.struct("id"), "id").alias("r"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_upserts_and_views_are_dealt_before_they_are_sorted(spark, tmp_path):
+    """A file of any size isn't sorted by the task that reads it."""
+    spark.createDataFrame([(1, 0), (2, 0)], "id long, v int").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = ev.read_events(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+    plan = ev.upsert_sink(stream, ["id"], f"file://{tmp_path}/out")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Sort [") < plan.index("Exchange hashpartitioning") and plan.count("Sort [") == 1  # plans are printed from the result down
