@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ashlar.lineage import scratch, spread
+from ashlar.lineage import cut, scratch, spread
 
 
 def read_events(spark: SparkSession, pattern: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -133,9 +133,10 @@ def maintained_views(stream: DataFrame, folder: str, key: str, seq: str, views:
     spark = stream.sparkSession
 
     def apply(rows: DataFrame, batch: int) -> None:
+        rows = cut(rows, "batch")
         if batch:
             rows = rows.unionByName(spark.read.parquet(f"{folder}/base/batch_id={batch - 1}"))
-        base = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), seq).alias("r")).select("r.*")
+        base = spread(rows, key).groupBy(key).agg(F.max_by(F.struct(*rows.columns), seq).alias("r")).select("r.*")
         base.write.mode("overwrite").parquet(f"{folder}/base/batch_id={batch}")
         made = {"base": spark.read.parquet(f"{folder}/base/batch_id={batch}")}
         for name, view in views.items():
