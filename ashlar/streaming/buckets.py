@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType, StructType
 
-from ashlar.lineage import cut
+from ashlar.lineage import cut, spread
 from ashlar.streaming.events import each_batch
 
 MARK = "name string, bucket int, batch long, schema string"
@@ -95,7 +95,7 @@ class Batch:
         touched = self.touched(by, rows)
         table = store.load(name, self.written, rows.schema, touched)
         both = table.withColumn("__new", F.lit(0)).unionByName(rows.withColumn("__new", F.lit(1)))
-        made = cut(both.groupBy(*keys).agg(merged[0].alias("_old"), merged[1].alias("_new")).select("_old", "_new"), "buckets")
+        made = cut(spread(both, *keys).groupBy(*keys).agg(merged[0].alias("_old"), merged[1].alias("_new")).select("_old", "_new"), "buckets")
         now = made.where("_new is not null").select("_new.*").withColumn("bucket", self.bucket(by))
         self.write(name, now, touched)
         return made.where(~F.col("_old").eqNullSafe(F.col("_new")))
