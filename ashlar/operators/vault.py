@@ -7,10 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ashlar.functions import every
+
 
 def load_keys(target: DataFrame, staged: DataFrame, keys: list[str], load_date: str) -> DataFrame:
     """Rows to append to a hub (one key) or link (several): staged keys the target lacks, with their first load date."""
-    return staged.join(target, keys, "left_anti").groupBy(*keys).agg(F.min(load_date).alias(load_date))
+    known = target.where(every(*(F.col(k).isNotNull() for k in keys))).select(*keys, F.lit(None).cast(staged.schema[load_date].dataType).alias(load_date), F.lit(True).alias("_known"))
+    both = staged.select(*keys, load_date, F.lit(False).alias("_known")).unionByName(known)  # a key with a null equals none of the target
+    return both.groupBy(*keys).agg(F.min(load_date).alias(load_date), F.bool_or("_known").alias("_known")).where("not _known").drop("_known")
 
 
 def load_satellite(satellite: DataFrame, staged: DataFrame, key: str, attributes: list[str], load_date: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ashlar.functions import money, total
+from ashlar.lineage import spread
 from ashlar.operators import aggregates, joins, merge, vault
 from ashlar.plans.catalog import Tables, query
 
@@ -28,7 +29,7 @@ def v1_load_hub(t: Tables) -> DataFrame:
 
 @query("with l as (select o_custkey, l_partkey, l_shipdate from orders join lineitem on o_orderkey = l_orderkey) select o_custkey, l_partkey, min(l_shipdate) as l_shipdate from l where not exists (select 1 from l as m where m.o_custkey = l.o_custkey and m.l_partkey = l.l_partkey and m.l_shipdate < '1996-01-01') group by all")
 def v2_load_link(t: Tables) -> DataFrame:
-    lines = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey", "l_shipdate")
+    lines = spread(t.lineitem, "l_orderkey").join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey", "l_shipdate")
     return vault.load_keys(lines.where("l_shipdate < '1996-01-01'"), lines, ["o_custkey", "l_partkey"], "l_shipdate")
 
 

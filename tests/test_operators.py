@@ -3,13 +3,14 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ashlar.lineage import cut, own_dir, spread
-from ashlar.operators import governance, graph, joins, merge, ordered, payloads, quality, search, sketches, udfs, vectors
+from ashlar.operators import governance, graph, joins, merge, ordered, payloads, quality, search, sketches, udfs, vault, vectors
 from ashlar.sources import files
 from ashlar.streaming import events as ev
 
@@ -292,3 +293,12 @@ def test_upserts_and_views_are_dealt_before_they_are_sorted(spark, tmp_path):
     stream = ev.read_events(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
     plan = ev.upsert_sink(stream, ["id"], f"file://{tmp_path}/out")._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Sort [") < plan.index("Exchange hashpartitioning") and plan.count("Sort [") == 1  # plans are printed from the result down
+
+
+def test_new_keys_by_one_aggregate(spark):
+    target = spark.createDataFrame([(1, 1, 0), (2, None, 0), (1, 1, 5)], "a long, b long, at int")
+    staged = spark.createDataFrame([(1, 1, 9), (1, 2, 8), (1, 2, 7), (2, None, 6), (None, None, 3), (None, None, 4), (3, 3, None)], "a long, b long, at int")
+    new = vault.load_keys(target, staged, ["a", "b"], "at")
+    assert new.columns == ["a", "b", "at"] and Counter(map(tuple, new.collect())) == Counter([(1, 2, 7), (2, None, 6), (None, None, 3), (3, 3, None)])
+    assert "Join" not in new._jdf.queryExecution().optimizedPlan().toString()
+    assert Counter(map(tuple, vault.load_keys(target.limit(0), staged, ["a", "b"], "at").collect())) == Counter([(1, 1, 9), (1, 2, 7), (2, None, 6), (None, None, 3), (3, 3, None)])
