@@ -57,7 +57,7 @@ def new_files(spark: SparkSession, folder: str, ledger: DataFrame, pattern: str
     """Paths of the files in folder and below that the ledger lacks, by a listing: no file is opened."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     found = found.select("path", F.col("_metadata.file_path").alias("_source_file"))
-    return sorted(r.path for r in found.join(ledger.select("_source_file"), "_source_file", "left_anti").collect())
+    return sorted(r.path for r in found.join(ledger.select("_source_file").distinct(), "_source_file", "left_anti").collect())  # a ledger may name a file for each of its rows
 
 
 def ingest_landing(spark: SparkSession, folder: str, columns: list[str], ledger: DataFrame, pattern: str = "*") -> DataFrame:
@@ -78,6 +78,7 @@ def ingest_landing(spark: SparkSession, folder: str, columns: list[str], ledger:
     blocks = raw.groupBy("source.file", "source.block").agg(F.min("source.place").alias("first"), F.count("*").alias("n"))
     before = Window.partitionBy("file").orderBy("block")
     blocks = blocks.select("file", "block", (F.sum("n").over(before) - F.col("n") - F.col("first") + 1).alias("shift"))
+    blocks = cut(blocks, "blocks")  # a row for each block of a file: few enough to be broadcast, once their size is known
     out = raw.join(blocks, (F.col("source.file") == F.col("file")) & (F.col("source.block") == F.col("block")))
     return out.select("row.*", F.col("file").alias("_source_file"), (F.col("source.place") + F.col("shift")).alias("_line"), F.current_timestamp().alias("_ingested_at"))
 

@@ -302,3 +302,16 @@ def test_new_keys_by_one_aggregate(spark):
     assert new.columns == ["a", "b", "at"] and Counter(map(tuple, new.collect())) == Counter([(1, 2, 7), (2, None, 6), (None, None, 3), (3, 3, None)])
     assert "Join" not in new._jdf.queryExecution().optimizedPlan().toString()
     assert Counter(map(tuple, vault.load_keys(target.limit(0), staged, ["a", "b"], "at").collect())) == Counter([(1, 1, 9), (1, 2, 7), (2, None, 6), (None, None, 3), (3, 3, None)])
+
+
+def test_landed_rows_meet_their_blocks_unsorted(spark, tmp_path):
+    """The blocks' size is known, so they are broadcast however long the landing is."""
+    spark.range(20_000).selectExpr("sha2(cast(id as string), 256) as k").coalesce(1).write.option("header", "true").csv(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50000")
+    try:
+        rows = files.ingest_landing(spark, str(tmp_path / "in"), ["k"], spark.createDataFrame([], "_source_file string"))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and rows.agg(F.max("_line")).first()[0] == 20_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
