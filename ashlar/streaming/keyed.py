@@ -1,4 +1,4 @@
-"""Keyed state of the newer kind: value and map state in RocksDB, event-time timers, time to live.
+"""Keyed state of the newer kind: value state in RocksDB, event-time timers, time to live.
 
 State lies with the query's checkpoint in the shared folder, so a query that was
 stopped, or whose executors were lost, goes on with it.
