@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ashlar.lineage import cut
+from ashlar.lineage import cut, spread
 
 
 def hex_cells(df: DataFrame, x: Column, y: Column, size: float) -> DataFrame:
@@ -94,25 +94,39 @@ def cover(polygons: DataFrame, id_col: str, rings: str, size: float) -> DataFram
     first, last = (F.coalesce(f(low, high), f("x1", "x2")) for f in (F.least, F.greatest))  # of the part of the side in this row
     q_of = lambda x: x / (size * WIDTH) - F.col("r") / 2.0
     border = sides.withColumn("q", F.explode(F.sequence(F.floor(q_of(first)) - 1, F.ceil(q_of(last)) + 1))).select(id_col, "q", "r").distinct()
-    inner = polyfill(polygons, id_col, rings, size).join(border, [id_col, "q", "r"], "left_anti")
+    inner = polyfill(polygons, id_col, rings, size).join(border.hint("merge"), [id_col, "q", "r"], "left_anti")
     return border.withColumn("whole", F.lit(False)).unionByName(inner.withColumn("whole", F.lit(True)))
 
 
+#: Ids of polygons in one list, and points that meet the lists of their place in one task, at least.
+LIST, TURN = 1_000, 50_000
+
+#: So many places at most are sent to all tasks.
+FEW_PLACES = 50_000
+
+
 def in_polygons(points: DataFrame, x: str, y: str, polygons: DataFrame, id_col: str, rings: str, size: float) -> DataFrame:
     """points with the id_col of each polygon that contains them, holes left out; points on a side belong to one of its two sides by the even-odd rule.
 
     Points meet polygons by cell; only in cells near a side the ray test is
     made, against the sides of that polygon which reach the point's row of
-    cells. Points of one place are tested once, and take their place's polygons
-    at the end. Points or polygons with nulls have no pairs. Choose size so that a
-    polygon has tens to thousands of cells. Columns of points are kept as they
-    are; they must not be named like id_col.
+    cells. Points of one place are tested once, and so are polygons of one shape; at
+    the end points take the polygons of their place, which lie in lists of about LIST
+    ids. A place of many points is dealt to several tasks. Points or polygons with nulls
+    have no pairs. Choose size so that a polygon has tens to thousands of cells.
+    Columns of points are kept as they are; they must not be named like id_col.
+
+    Rows of points, polygons and cells are joined by sorting: Spark's estimates of
+    their sizes miss what explode and compression hide, so it might broadcast them.
     """
     rows = points.select(F.struct(*points.columns).alias("_p"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null and _y is not null")
-    places = cut(rows.select("_x", "_y").distinct(), "places")
+    places = cut(rows.groupBy("_x", "_y").agg(F.count("*").alias("_n")), "places")
+    n_places, n_points = places.agg(F.count("*"), F.sum("_n")).first()
+    shapes, members = _shapes(polygons, id_col, rings)
+
     placed = hex_cells(places, F.col("_x"), F.col("_y"), size)
-    met = placed.join(cover(polygons, id_col, rings, size), ["q", "r"])
-    near = _rows_of(edges(polygons, id_col, rings), size, size).groupBy(id_col, "r").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_sides"))  # sides of one polygon in one row
+    met = cover(shapes, "_shape", "_g", size).join(F.broadcast(placed) if n_places <= FEW_PLACES else placed.hint("merge"), ["q", "r"])
+    near = _rows_of(edges(shapes, "_shape", "_g"), size, size).groupBy("_shape", "r").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_sides"))  # sides of one shape in one row
 
     def odd(sides: Column) -> Column:
         def step(n: Column, s: Column) -> Column:
@@ -121,6 +135,28 @@ def in_polygons(points: DataFrame, x: str, y: str, polygons: DataFrame, id_col:
 
         return F.aggregate(sides, F.lit(0), step) % 2 == 1
 
-    tested = met.where("not whole").join(near, [id_col, "r"]).where(odd(F.col("_sides")))
-    inside = cut(met.where("whole").select("_x", "_y", id_col).unionByName(tested.select("_x", "_y", id_col)), "inside")
-    return rows.join(inside, ["_x", "_y"]).select("_p.*", id_col)
+    near = near.select(F.col("_shape").alias("_of"), F.col("r").alias("_row"), "_sides")
+    tested = met.join(near.hint("merge"), (F.col("_shape") == F.col("_of")) & (F.col("r") == F.col("_row")) & ~F.col("whole"), "left")
+    inside = cut(tested.where(F.col("whole") | odd(F.col("_sides"))).select("_x", "_y", "_n", "_shape"), "inside")
+
+    pairs = inside.join(members.hint("merge"), "_shape")
+    lists = pairs.groupBy("_x", "_y").agg(F.ceil(F.count("*") / LIST).alias("_lists"))
+    pairs = pairs.join(lists.hint("merge"), ["_x", "_y"]).withColumn("_list", F.expr("pmod(xxhash64(_id), _lists)"))
+    listed = pairs.groupBy("_x", "_y", "_n", "_list").agg(F.collect_list("_id").alias("_ids"))
+    turn = max(TURN, -(-(n_points or 0) // 1000))  # at most 1,000 places have more points
+    turns = F.ceil(F.col("_n") / turn)
+    hot = places.where(F.col("_n") > turn).select("_x", "_y", turns.alias("_turns"))
+    known = F.xxhash64(*(F.col("_p").getField(f.name) for f in points.schema if "map<" not in f.dataType.simpleString()))
+    dealt = rows.join(F.broadcast(hot), ["_x", "_y"], "left").withColumn("_turn", F.coalesce(F.pmod(known, F.col("_turns")), F.lit(0)))
+    listed = listed.withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), turns - 1)))
+    return dealt.join(listed.hint("merge"), ["_x", "_y", "_turn"]).select("_p.*", F.explode("_ids").alias(id_col))
+
+
+def _shapes(polygons: DataFrame, id_col: str, rings: str) -> tuple[DataFrame, DataFrame]:
+    """(_shape, _g: each shape once, by the smallest id of its polygons, and its rings; _shape, _id: every polygon's shape). Rings of one id are one polygon's."""
+    plain = F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))))
+    whole = polygons.select(F.col(id_col).alias("_id"), plain.alias("_g")).where("_id is not null").groupBy("_id").agg(F.array_sort(F.flatten(F.collect_list("_g"))).alias("_g"))
+    whole = cut(whole, "polygons")
+    first = whole.groupBy("_g").agg(F.min("_id").alias("_shape"))
+    whole = cut(whole.join(first.hint("merge"), "_g"), "shapes")
+    return spread(whole.where("_id = _shape").select("_shape", "_g"), "_shape"), whole.select("_shape", "_id")

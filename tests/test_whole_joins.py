@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from ashlar.operators import vectors
+from ashlar.operators import geo, vectors
 from ashlar.plans import retrieval  # noqa: F401
 from ashlar.plans.catalog import ORACLE_SQL, QUERIES
 
@@ -54,3 +54,41 @@ def test_lsh_query_has_copies(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     assert set(con.execute(ORACLE_SQL["e4_lsh_join"]).fetchall()) == got
+
+
+RINGS = "array<array<struct<x double, y double>>>"
+
+
+def square(x, y, side):
+    return [(x, y), (x + side, y), (x + side, y + side), (x, y + side)]
+
+
+def test_polygons_are_not_broadcast(spark, monkeypatch):
+    real, made = geo.cut, []
+    monkeypatch.setattr(geo, "FEW_PLACES", 0, raising=False)
+    monkeypatch.setattr(geo, "cut", lambda df, label: made.append(df) or real(df, label))
+    polygons = spark.createDataFrame([(i, [square(float(i % 3), 0.0, 2.0)]) for i in range(30)], f"id long, rings {RINGS}")
+    points = spark.range(900).selectExpr("id as k", "id % 5 + 0.5D as x", "0.5D as y")
+    made.append(geo.in_polygons(points, "x", "y", polygons, "id", "rings", 0.5))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in made]
+    assert sum(p.count("BroadcastExchange") for p in plans) == 1  # the places of many points, 1,000 at most
+    assert made[-1].count() == 180 * 10 * (1 + 2 + 2 + 1)
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_shapes_are_tested_once_and_places_of_many_points_are_dealt(spark, monkeypatch, few):
+    monkeypatch.setattr(geo, "FEW_PLACES", few, raising=False)
+    monkeypatch.setattr(geo, "LIST", 4, raising=False)
+    monkeypatch.setattr(geo, "TURN", 7, raising=False)
+    real, seen = geo.cover, []
+    monkeypatch.setattr(geo, "cover", lambda df, *a: seen.append(df.count()) or real(df, *a))
+    hole = [square(0.0, 0.0, 4.0), square(1.0, 1.0, 2.0)]
+    shapes = [(i, [square(float(i % 3), 0.0, 2.0)]) for i in range(30)] + [(40, hole), (41, hole[::-1]), (42, hole[:1]), (42, hole[1:]), (None, hole), (43, None)]
+    polygons = spark.createDataFrame(shapes, f"id long, rings {RINGS}")
+    spots = [(k, k % 4 + 0.5, 0.5) for k in range(100)] + [(200, 2.0, 2.0), (200, 1.5, 1.5), (201, 0.5, 3.5), (201, 0.5, 3.5)]
+    points = spark.createDataFrame([(k, {"k": k}, x, y) for k, x, y in spots], "k long, m map<string,long>, x double, y double")
+    inside = lambda x, y, i: i % 3 <= x < i % 3 + 2 and y < 2 if i < 30 else not (1 <= x < 3 and 1 <= y < 3)
+    want = sorted((k, x, y, i) for k, x, y in spots for i in (*range(30), 40, 41, 42) if inside(x, y, i))
+    got = geo.in_polygons(points, "x", "y", polygons, "id", "rings", 0.7)
+    assert sorted((r.k, r.x, r.y, r.id) for r in got.collect()) == want
+    assert seen == [5]  # three squares, one with a hole, one without rings
